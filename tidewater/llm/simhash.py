@@ -23,6 +23,8 @@ from tidewater.llm.shingles import shingle_hashes
 
 #: Rows of a bucket that are compared in one piece.
 BLOCK = 1024
+#: Most large buckets whose sizes are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 #: Groups up to this size are compared by shifted rows, all of them at once.
 SMALL = 8
 
@@ -179,14 +181,20 @@ def near_edges(nodes: DataFrame, max_bits: int = 4, sets: DataFrame | None = Non
 
     With `sets` (id, shingles: sorted uint64 as binary) a link also needs a Jaccard similarity of `least`.
     """
-    keys = signatures(nodes, max_bits)
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
-    dealt = (
-        keys.join(counts, "key").select("key", "fp", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "fp", "id")
-    )
+    spark = nodes.sparkSession
+    # Nodes are few bytes and each becomes 64 rows, so they are dealt out before.
+    keys = signatures(nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), max_bits)
+    hot = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    n_hot = hot.count()
+    dealt = keys.withColumns({"bi": F.lit(0), "bj": F.lit(0)})
+    if n_hot:
+        parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+        mine = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
+        dealt = (
+            keys.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, "key", "left")
+            .select("key", "fp", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            .select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "fp", "id")
+        )
     order = ["key", "bi", "bj"]
     run = lambda df, out, **kw: df.mapInArrow(partial(_group_batches, max_bits=max_bits, **kw), out)
     grouped = dealt.repartition(*order).sortWithinPartitions(*order, "id")
