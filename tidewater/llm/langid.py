@@ -7,7 +7,6 @@ trained by expectation-maximisation (forward-backward) on a bounded sample of la
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from functools import partial
 
@@ -26,8 +25,8 @@ PER_LANGUAGE, ROUNDS = 500, 3
 #: Letters in a piece of a longer run of letters; bound of a worker's cache; pieces' pseudo-count; an unknown letter.
 RUN, CACHE, PSEUDO, UNKNOWN = 48, 400_000, 0.01, 1e-9
 LETTERS = regex.compile(r"\p{L}+")
-_vocabularies: dict[str, dict[str, int]] = {}
-_scores: dict[str, dict[str, np.ndarray]] = {}
+_vocabularies: dict[str, tuple] = {}
+_scores: dict[str, tuple] = {}
 
 
 def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -36,68 +35,98 @@ def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    """Piece to index, without control and byte pieces."""
+def vocabulary(path: str) -> tuple[dict[str, int], set[str]]:
+    """Piece to index, without control and byte pieces; and all beginnings of pieces."""
     if path not in _vocabularies:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        _vocabularies[path] = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+        pieces = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+        _vocabularies[path] = pieces, {p[:i] for p in pieces for i in range(1, len(p) + 1)}
     return _vocabularies[path]
 
 
-def words_of(text: str | None) -> Counter:
-    """Runs of letters in lower case with a mark of their start, cut every RUN letters."""
-    found = Counter(LETTERS.findall(text.lower())) if text else Counter()
-    out: Counter = Counter()
-    for word, n in found.items():
-        for i in range(0, len(word), RUN):
-            out["▁" * (i == 0) + word[i : i + RUN]] += n
-    return out
-
-
-def lattice(word: str, pieces: dict[str, int], longest: int = 16) -> list[list[tuple[int, int]]]:
-    """For each end, the (start, piece) that end there; -1 for a letter that is no piece."""
-    out: list[list[tuple[int, int]]] = [[]]
-    for j in range(1, len(word) + 1):
-        own = [(i, pieces[word[i:j]]) for i in range(max(0, j - longest), j) if word[i:j] in pieces]
-        out.append(own if own and own[-1][0] == j - 1 else [*own, (j - 1, -1)])
-    return out
-
-
-def forward(edges, p) -> list[float]:
-    """alpha[j]: total probability of all segmentations of the first j letters."""
-    alpha = [1.0]
-    for own in edges[1:]:
-        alpha.append(sum(alpha[i] * (p[k] if k >= 0 else UNKNOWN) for i, k in own))
-    return alpha
-
-
-def word_scores(word: str, pieces: dict[str, int], models: list) -> np.ndarray:
-    edges = lattice(word, pieces)
-    return np.array([math.log(max(forward(edges, p)[-1], 1e-300)) for p in models])
+def runs_of(letters: str) -> list[str]:
+    """A run of letters with a mark of its start, cut every RUN letters."""
+    return ["▁" * (i == 0) + letters[i : i + RUN] for i in range(0, len(letters), RUN)]
+
+
+class Lattice:
+    """All pieces in many words: arrays of word, start, end and piece; piece -1 is a letter that is no piece."""
+
+    def __init__(self, words: list[str], vocab: tuple[dict[str, int], set[str]]):
+        (pieces, beginnings), rows = vocab, []
+        for w, word in enumerate(words):
+            n = len(word)
+            for i in range(n):
+                k = pieces.get(word[i], -1)
+                rows.append((w, i, i + 1, k))
+                for j in range(i + 2, n + 1):
+                    part = word[i:j]
+                    if part not in beginnings:
+                        break
+                    if (k := pieces.get(part)) is not None:
+                        rows.append((w, i, j, k))
+        self.words, self.ends = len(words), np.array([len(w) for w in words], np.int64)
+        self.word, self.start, self.end, self.piece = np.array(rows, np.int64).reshape(-1, 4).T
+
+    def _sweep(self, into, out_of, p, steps, first):
+        """total[w, into] += total[w, out_of] * p over edges, in order of steps of `into`."""
+        total = np.zeros((self.words, int(self.ends.max(initial=0)) + 1, p.shape[1]))
+        total[np.arange(self.words), first] = 1.0
+        order = np.lexsort((self.word, into))
+        cuts = np.searchsorted(into[order], np.arange(total.shape[1] + 1))
+        for j in steps(total.shape[1]):
+            e = order[cuts[j] : cuts[j + 1]]
+            if len(e):
+                w = self.word[e]
+                at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                total[w[at], j] += np.add.reduceat(total[w, out_of[e]] * p[e], at, axis=0)
+        return total
+
+    def forward(self, p):
+        """alpha[w, j]: probability of all segmentations of the first j letters, for each column of p (one row an edge)."""
+        return self._sweep(self.end, self.start, p, lambda n: range(1, n), np.zeros(self.words, np.int64))
+
+    def backward(self, p):
+        return self._sweep(self.start, self.end, p, lambda n: range(n - 2, -1, -1), self.ends)
+
+
+def _of_edges(table: np.ndarray, lattice: Lattice) -> np.ndarray:
+    """Probabilities of each edge's piece: a row of table (pieces x languages), UNKNOWN for no piece."""
+    return np.where((lattice.piece >= 0)[:, None], table[lattice.piece], UNKNOWN)
+
+
+def word_scores(words: list[str], path: str, table: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language."""
+    if not words:
+        return np.zeros((0, table.shape[1]))
+    lattice = Lattice(words, vocabulary(path))
+    alpha = lattice.forward(_of_edges(table, lattice))
+    return np.log(np.maximum(alpha[np.arange(len(words)), lattice.ends], 1e-300))
 
 
 def _expect_batches(batches, path: str, models):
     """Expected piece counts of (lang, word, n) rows under the languages' current probabilities."""
-    pieces, total = vocabulary(path), Counter()
+    tables, total = models.value, {}
     for batch in batches:
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-            for start in range(0, len(word), RUN):
-                part = "▁" * (start == 0) + word[start : start + RUN]
-                edges, p = lattice(part, pieces), models.value.get(lang)
-                p = p if p is not None else models.value[None]
-                alpha = forward(edges, p)
-                beta = [0.0] * len(part) + [1.0]
-                for j in range(len(part), 0, -1):
-                    for i, k in edges[j]:
-                        beta[i] += beta[j] * (p[k] if k >= 0 else UNKNOWN)
-                if alpha[-1] > 0:
-                    for j, own in enumerate(edges):
-                        for i, k in own:
-                            if k >= 0:
-                                total[lang, k] += n * alpha[i] * p[k] * beta[j] / alpha[-1]
-    rows = [(lang, k, x) for (lang, k), x in total.items()]
+        rows = [(lang, part, n) for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)) for part in runs_of(word)]
+        for at in range(0, len(rows), 2000):
+            some = rows[at : at + 2000]
+            lattice = Lattice([x[1] for x in some], vocabulary(path))
+            for lang in {x[0] for x in some}:
+                total.setdefault(lang, np.zeros(len(tables[None])))
+            of = [x[0] for x in some]
+            p = np.full((len(lattice.word), 1), UNKNOWN)
+            own = {lang: np.array([x == lang for x in of])[lattice.word] & (lattice.piece >= 0) for lang in set(of)}
+            for lang, e in own.items():
+                p[e, 0] = tables.get(lang, tables[None])[lattice.piece[e]]
+            alpha, beta = lattice.forward(p)[:, :, 0], lattice.backward(p)[:, :, 0]
+            whole = np.maximum(alpha[np.arange(len(some)), lattice.ends], 1e-300)
+            share = np.array([x[2] for x in some])[lattice.word] * alpha[lattice.word, lattice.start] * p[:, 0] * beta[lattice.word, lattice.end] / whole[lattice.word]
+            for lang, e in own.items():
+                total[lang] += np.bincount(lattice.piece[e], share[e], len(total[lang]))
+    rows = [(lang, int(k), float(x[k])) for lang, x in total.items() for k in np.flatnonzero(x)]
     columns = list(zip(*rows)) or [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], ["lang", "piece", "x"])
 
@@ -111,39 +140,66 @@ def train(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE, roun
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = labelled.where("text is not null and lang is not null").select("lang", "doc_id", "text").withColumn("order", order).where(F.col("order") <= per_language)
     words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = durable(words.groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")))
-    size = max(vocabulary(path).values()) + 1
-    models: dict = {None: np.full(size, 1.0 / size).tolist()}
+    # Few bytes but long work for each, so the words are dealt out evenly.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = durable(words.groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).repartition(parts))
+    size = max(vocabulary(path)[0].values()) + 1
+    models: dict = {None: np.full(size, 1.0 / size)}
     for _ in range(rounds):
         step = counts.mapInArrow(partial(_expect_batches, path=path, models=spark.sparkContext.broadcast(models)), "lang string, piece int, x double")
         found = step.groupBy("lang", "piece").agg(F.sum("x").alias("x")).toPandas()
         for lang, own in found.groupby("lang"):
             p = np.full(size, PSEUDO)
             p[own["piece"]] += own["x"]
-            models[lang] = (p / p.sum()).tolist()
+            models[lang] = p / p.sum()
     return {k: v for k, v in sorted((k, v) for k, v in models.items() if k is not None)}
 
 
+class _Known:
+    """Scores of words that a worker has met, by their place in one array; runs of other characters than white space are words."""
+
+    def __init__(self, languages: int):
+        self.place: dict[str, int] = {}
+        self.score = np.zeros((CACHE + 200_000, languages))
+        self.letters = np.zeros(len(self.score), bool)
+
+    def add(self, words: list[str], path: str, table: np.ndarray):
+        parts = [(k, run) for k, w in enumerate(words) for letters in LETTERS.findall(w) for run in runs_of(letters)]
+        at = len(self.place)
+        if at + len(words) > len(self.score):
+            self.score = np.vstack([self.score, np.zeros((len(words), table.shape[1]))])
+            self.letters = np.r_[self.letters, np.zeros(len(words), bool)]
+        self.score[at : at + len(words)], self.letters[at : at + len(words)] = 0, False
+        if parts:
+            of = np.array([k for k, _ in parts])
+            for i in range(0, len(parts), 4000):
+                np.add.at(self.score, at + of[i : i + 4000], word_scores([r for _, r in parts[i : i + 4000]], path, table))
+            self.letters[at + of] = True
+        self.place.update(zip(words, range(at, at + len(words))))
+
+
 def _predict_batches(batches, path: str, models, name: str):
     """Columns row and text; adds lang_pred and score."""
-    langs, pieces = list(models.value), vocabulary(path)
-    tables = list(models.value.values())
-    known = _scores.setdefault(name, {})
+    langs = list(models.value)
+    table = np.array(list(models.value.values())).T if langs else np.zeros((1, 0))
+    if name not in _scores:
+        _scores.clear()
+        _scores[name] = _Known(len(langs))
     for whole in batches:
-        for at in range(0, len(whole), 512):
-            batch = whole.slice(at, 512)
+        for at in range(0, len(whole), 256):
+            batch, known = whole.slice(at, 256), _scores[name]
+            if len(known.place) > CACHE:
+                known = _scores[name] = _Known(len(langs))
+            counts = [Counter(t.lower().split()) if t and langs else Counter() for t in batch.column(1).to_pylist()]
+            known.add(list({w for c in counts for w in c}.difference(known.place)), path, table)
             picked, score = [], []
-            for text in batch.column(1).to_pylist():
-                counts = words_of(text)
-                if not counts or not langs:
+            for c in counts:
+                place = np.fromiter(map(known.place.__getitem__, c), np.int64, len(c))
+                if not known.letters[place].any():
                     picked.append("und")
                     score.append(0.0)
                     continue
-                if len(known) > CACHE:
-                    known.clear()
-                for w in counts.keys() - known.keys():
-                    known[w] = word_scores(w, pieces, tables)
-                total = np.array(list(counts.values()), float) @ np.array([known[w] for w in counts])
+                total = np.fromiter(c.values(), float, len(c)) @ known.score[place]
                 best = int(np.argmax(total))
                 picked.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))

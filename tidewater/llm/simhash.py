@@ -25,8 +25,6 @@ from tidewater.llm.shingles import shingle_hashes
 BLOCK = 1024
 #: Most large buckets whose sizes are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
-#: Groups up to this size are compared by shifted rows, all of them at once.
-SMALL = 8
 
 
 def majority_bits(h: np.ndarray) -> int:
@@ -80,75 +78,68 @@ class Links:
     def near(self, a, b, variant):
         """True where a and b are within max_bits and `variant` is the first signature they share."""
         x = a ^ b
-        seg = self.seg[variant]
-        own = x & np.array(self.masks)[seg]
-        ok = (np.bitwise_count(x) <= self.max_bits) & ((own == self.bit[variant]) | ((own == 0) & self.first[variant]))
-        for s, mask in enumerate(self.masks[:-1]):
-            ok &= (np.bitwise_count(x & mask) >= 2) | (seg <= s)
+        ok = np.bitwise_count(x) <= self.max_bits
+        at = np.flatnonzero(ok)
+        if len(at):
+            x, variant = x[at], variant[at]
+            seg = self.seg[variant]
+            own = x & np.array(self.masks)[seg]
+            good = (own == self.bit[variant]) | ((own == 0) & self.first[variant])
+            for s, mask in enumerate(self.masks[:-1]):
+                good &= (np.bitwise_count(x & mask) >= 2) | (seg <= s)
+            ok[at] = good
         return ok
 
 
-def _similar(sets, i: int, others: np.ndarray, least: float) -> np.ndarray:
-    """Exact Jaccard similarity of set i to each of others, at least `least`."""
-    mine = sets[i]
-    sizes = np.array([len(sets[j]) for j in others])
-    out = np.zeros(len(others), bool)
-    for k in np.flatnonzero(np.minimum(sizes, len(mine)) >= least * np.maximum(sizes, len(mine))):
-        both = len(np.intersect1d(mine, sets[others[k]], assume_unique=True))
-        out[k] = both >= least * (len(mine) + sizes[k] - both) - 1e-9
-    return out
-
-
-def _forest(fp, variant: int, links: Links, sets=None, least: float = 0.0):
-    """Edges (i, j) of a spanning forest of the links of one group."""
-    left, edges = np.arange(len(fp)), []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            hit = links.near(fp[i], fp[left], variant)
-            if sets is not None and hit.any():
-                at = np.flatnonzero(hit)
-                hit[at] = _similar(sets, i, left[at], least)
-            found = left[hit]
-            edges += [(i, j) for j in found]
-            queue += found.tolist()
-            left = left[~hit]
-    return edges
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is `least` or more."""
+    low, high = sorted((len(x), len(y)))
+    if low < least * high:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (low + high - both) - 1e-9
+
+
+def _forest(pairs, sets=None, least: float = 0.0):
+    """A spanning forest of the given pairs, or of those whose sets are similar."""
+    parent: dict[int, int] = {}
+
+    def find(i):
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent[up]
+        return i
+
+    edges = []
+    for i, j in pairs.tolist():
+        a, b = find(i), find(j)
+        if a != b and (sets is None or _similar(sets[i], sets[j], least)):
+            parent[b] = a
+            edges.append((i, j))
+    return np.array(edges, np.int64).reshape(-1, 2)
 
 
 def _group_batches(batches, max_bits: int, least: float | None, incidence: bool):
     """Rows (key, bi, bj, fp, id[, shingles]) sorted by group: edges (a, b), or the rows that have a link."""
     links, held = Links(max_bits), None
 
-    def result(pairs, t, at):
-        ids = t["id"].to_numpy()
-        if incidence:
-            rows = np.unique(np.concatenate([at(pairs[:, 0]), at(pairs[:, 1])])) if len(pairs) else np.zeros(0, np.int64)
-            return t.take(pa.array(rows)).select(["key", "bi", "bj", "fp", "id"])
-        return pa.table({"a": ids[at(pairs[:, 0])], "b": ids[at(pairs[:, 1])]})
-
     def work(t):
         key, bi, bj = (t[c].to_numpy() for c in ("key", "bi", "bj"))
-        fp = t["fp"].to_numpy().view(np.uint64)
+        fp, variant = t["fp"].to_numpy().view(np.uint64), key >> 32
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
         size = np.diff(np.r_[new, len(key)])
-        variant, group, pairs = key >> 32, np.repeat(np.arange(len(new)), size), []
+        after = np.repeat(new + size, size)  # the first row beyond each row's group
+        i, d, found = np.arange(len(key)), 1, []
+        while len(i := i[i + d < after[i]]):
+            hit = i[links.near(fp[i], fp[i + d], variant[i])]
+            if len(hit):
+                found.append(np.stack([hit, hit + d], 1))
+            d += 1
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        if incidence:
+            return t.take(pa.array(np.unique(pairs))).select(["key", "bi", "bj", "fp", "id"])
         sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()] if least is not None else None
-        small = np.repeat(size <= SMALL, size) if sets is None else np.zeros(len(key), bool)
-        for d in range(1, SMALL):
-            i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(key) > d else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[links.near(fp[i], fp[i + d], variant[i])]
-            pairs.append(np.stack([i, i + d], 1))
-        for g in np.flatnonzero(size > (SMALL if sets is None else 1)):
-            a, b = new[g], new[g] + size[g]
-            own = _forest(fp[a:b], int(variant[a]), links, sets[a:b] if sets is not None else None, least or 0.0)
-            if own:
-                pairs.append(np.array(own, np.int64) + a)
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        return result(found, t, lambda x: x)
+        edges, ids = _forest(pairs, sets, least or 0.0), t["id"].to_numpy()
+        return pa.table({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
