@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +23,29 @@ EPS, MIN_SAMPLES = 0.68, 5
 
 
 class Star:
-    """The frames that queries share, for one folder of tables."""
+    """The frames that queries share, for one folder of tables. Raw lines, tagged rows and split ratings feed many queries, so each is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.raw = star_raw(spark, sf_dir)
 
-    @property
+    @cached_property
+    def raw(self):
+        return durable(star_raw(self.spark, self.dir))
+
+    @cached_property
     def tagged(self):
-        return C.tag_all(self.raw, STAR)
+        return durable(C.tag_all(self.raw, STAR))
 
-    @property
+    @cached_property
     def kept(self):
-        return C.kept_lines(self.tagged)
+        return durable(C.kept_lines(self.tagged))
 
     def typed(self, kind):
         return to_typed(self.kept.where(F.col("kind") == kind), kind)
 
-    @property
+    @cached_property
     def split(self):
-        return FE.time_split(self.typed("ratings"), STAR)
+        return durable(FE.time_split(self.typed("ratings"), STAR))
 
     @property
     def cells(self):
@@ -214,7 +219,7 @@ _ALL = {
     "attribute_tables": lambda s: s.typed("movies").select("item_id", "title", F.array_join("genres", "|").alias("genres")),
     "event_features": lambda s: s.features.select("user_id", "item_id", "ts", "period", "label", F.round("f1", 6).alias("f1"), F.round("f2", 6).alias("f2"), F.array_join("genres", "").alias("genres"), "age_code", "gender", "occupation"),
     "cold_start_counts": lambda s: L.cold_start_counts(s.features),
-    "standardize": lambda s: L.standardize(s.features).groupBy("period").agg(*[F.round(F.avg(c), 5).alias(f"avg_{c}") for c in ("z1", "z2")], *[F.round(F.stddev_pop(c), 5).alias(f"dev_{c}") for c in ("z1", "z2")]),
+    "standardize": lambda s: L.standardize(s.features).groupBy("period").agg(*[(F.round(F.avg(c), 5) + 0.0).alias(f"avg_{c}") for c in ("z1", "z2")], *[F.round(F.stddev_pop(c), 5).alias(f"dev_{c}") for c in ("z1", "z2")]),
     "average_precision": lambda s: L.average_precision(_scores(s).where("period = 'val'")).select(F.round("average_precision", 6).alias("average_precision")),
     "threshold_metrics": lambda s: L.threshold_metrics(_scores(s).where("period = 'test'"), 0.5),
     "predict_status": lambda s: L.predict_status(_pairs(s), s.split, s.typed("users"), s.typed("movies")),
@@ -247,4 +252,14 @@ _ALL = {
     "scatter_2d": _scatter,
 }
 
-QUERIES = {name: (lambda spark, sf_dir, f=f: f(Star(spark, sf_dir))) for name, f in _ALL.items()}
+_STARS: dict[tuple[str, str], Star] = {}
+
+
+def star(spark: SparkSession, sf_dir: str) -> Star:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STARS:
+        _STARS[key] = Star(spark, sf_dir)
+    return _STARS[key]
+
+
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(star(spark, sf_dir))) for name, f in _ALL.items()}
