@@ -25,7 +25,7 @@ PER_LANGUAGE, ROUNDS = 500, 3
 #: Letters in a piece of a longer run of letters; bound of a worker's cache; pieces' pseudo-count; an unknown letter.
 RUN, CACHE, PSEUDO, UNKNOWN = 48, 400_000, 0.01, 1e-9
 LETTERS = regex.compile(r"\p{L}+")
-_vocabularies: dict[str, tuple] = {}
+_vocabularies: dict[str, "Trie"] = {}
 _scores: dict[str, tuple] = {}
 
 
@@ -35,14 +35,38 @@ def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def vocabulary(path: str) -> tuple[dict[str, int], set[str]]:
-    """Piece to index, without control and byte pieces; and all beginnings of pieces."""
+class Trie:
+    """All beginnings of a vocabulary's pieces as nodes; a step is the key `node * letters + letter`, found by bisection."""
+
+    def __init__(self, pieces: dict[str, int]):
+        beginnings = sorted({p[:i] for p in pieces for i in range(1, len(p) + 1)})
+        node = {"": 0} | {p: k for k, p in enumerate(beginnings, 1)}
+        alphabet = sorted({p[-1] for p in beginnings})
+        letter = {c: k for k, c in enumerate(alphabet, 1)}
+        self.letters, self.pieces = len(alphabet) + 1, max(pieces.values(), default=0) + 1
+        #: Letter by code point; 0 for one in no piece.
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in alphabet]] = list(letter.values())
+        keys = np.array([node[p[:-1]] * self.letters + letter[p[-1]] for p in beginnings] or [-1], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.arange(1, len(keys) + 1)[order]
+        #: A node's piece, -1 for none.
+        self.piece = np.array([-1] + [pieces.get(p, -1) for p in beginnings], np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node after each node's letter, -1 for none."""
+        key = node * self.letters + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
+
+
+def vocabulary(path: str) -> Trie:
+    """The trie of a public vocabulary's pieces, without control and byte pieces."""
     if path not in _vocabularies:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-        _vocabularies[path] = pieces, {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        _vocabularies[path] = Trie({sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))})
     return _vocabularies[path]
 
 
@@ -52,44 +76,53 @@ def runs_of(letters: str) -> list[str]:
 
 
 class Lattice:
-    """All pieces in many words: arrays of word, start, end and piece; piece -1 is a letter that is no piece."""
-
-    def __init__(self, words: list[str], vocab: tuple[dict[str, int], set[str]]):
-        (pieces, beginnings), rows = vocab, []
-        for w, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                k = pieces.get(word[i], -1)
-                rows.append((w, i, i + 1, k))
-                for j in range(i + 2, n + 1):
-                    part = word[i:j]
-                    if part not in beginnings:
-                        break
-                    if (k := pieces.get(part)) is not None:
-                        rows.append((w, i, j, k))
-        self.words, self.ends = len(words), np.array([len(w) for w in words], np.int64)
-        self.word, self.start, self.end, self.piece = np.array(rows, np.int64).reshape(-1, 4).T
+    """All pieces in many words: arrays of word, start, end and piece; piece -1 is a letter that is no piece.
+
+    The pieces of each length lie together, in order of their start.
+    """
 
-    def _sweep(self, into, out_of, p, steps, first):
-        """total[w, into] += total[w, out_of] * p over edges, in order of steps of `into`."""
+    def __init__(self, words: list[str], trie: Trie):
+        self.words, self.ends = len(words), np.array([len(w) for w in words], np.int64)
+        longest = int(self.ends.max(initial=0))
+        inside = np.arange(longest)[:, None] < self.ends
+        start, word = np.nonzero(inside)
+        letters = np.zeros((self.words, longest), np.int32)
+        letters[inside.T] = trie.letter[np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4")]
+        node, size, kept = np.zeros(len(word), np.int64), 0, []
+        self.cuts, edges = [], 0
+        while len(word):
+            node = trie.step(node, letters[word, start + size])
+            size += 1
+            # Single letters are always there.
+            own = np.where(node >= 0, trie.piece[node], -1)
+            e = np.flatnonzero(own >= 0) if size > 1 else np.arange(len(word))
+            kept.append((word[e], start[e], start[e] + size, own[e]))
+            self.cuts.append((edges + np.searchsorted(start[e], np.arange(longest + 1))).tolist())
+            edges += len(e)
+            on = np.flatnonzero((node >= 0) & (start + size < self.ends[word]))
+            word, start, node = word[on], start[on], node[on]
+        self.word, self.start, self.end, self.piece = (np.concatenate(x) for x in zip(*kept)) if kept else np.zeros((4, 0), np.int64)
+
+    def _sweep(self, p, starts, first, push: bool):
+        """Adds total * p along the edges, start by start; edges of one start and length are of different words."""
         total = np.zeros((self.words, int(self.ends.max(initial=0)) + 1, p.shape[1]))
         total[np.arange(self.words), first] = 1.0
-        order = np.lexsort((self.word, into))
-        cuts = np.searchsorted(into[order], np.arange(total.shape[1] + 1))
-        for j in steps(total.shape[1]):
-            e = order[cuts[j] : cuts[j + 1]]
-            if len(e):
-                w = self.word[e]
-                at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                total[w[at], j] += np.add.reduceat(total[w, out_of[e]] * p[e], at, axis=0)
+        for i in starts(total.shape[1] - 1):
+            for size, cut in enumerate(self.cuts, 1):
+                if cut[i] < cut[i + 1]:
+                    e = slice(cut[i], cut[i + 1])
+                    w = self.word[e]
+                    a, b = (i, i + size) if push else (i + size, i)
+                    total[w, b] += total[w, a] * p[e]
         return total
 
     def forward(self, p):
         """alpha[w, j]: probability of all segmentations of the first j letters, for each column of p (one row an edge)."""
-        return self._sweep(self.end, self.start, p, lambda n: range(1, n), np.zeros(self.words, np.int64))
+        return self._sweep(p, range, np.zeros(self.words, np.int64), True)
 
     def backward(self, p):
-        return self._sweep(self.start, self.end, p, lambda n: range(n - 2, -1, -1), self.ends)
+        """beta[w, j]: probability of all segmentations of the letters from j on."""
+        return self._sweep(p, lambda n: range(n - 1, -1, -1), self.ends, False)
 
 
 def _of_edges(table: np.ndarray, lattice: Lattice) -> np.ndarray:
@@ -143,7 +176,7 @@ def train(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE, roun
     # Few bytes but long work for each, so the words are dealt out evenly.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = durable(words.groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).repartition(parts))
-    size = max(vocabulary(path)[0].values()) + 1
+    size = vocabulary(path).pieces
     models: dict = {None: np.full(size, 1.0 / size)}
     for _ in range(rounds):
         step = counts.mapInArrow(partial(_expect_batches, path=path, models=spark.sparkContext.broadcast(models)), "lang string, piece int, x double")
@@ -164,7 +197,7 @@ class _Known:
         self.letters = np.zeros(len(self.score), bool)
 
     def add(self, words: list[str], path: str, table: np.ndarray):
-        parts = [(k, run) for k, w in enumerate(words) for letters in LETTERS.findall(w) for run in runs_of(letters)]
+        parts = [(k, run) for k, w in enumerate(words) for letters in ([w] if w.isalpha() else LETTERS.findall(w)) for run in runs_of(letters)]
         at = len(self.place)
         if at + len(words) > len(self.score):
             self.score = np.vstack([self.score, np.zeros((len(words), table.shape[1]))])
