@@ -133,7 +133,8 @@ def scored(docs: DataFrame, trees: list[str] | None = None) -> DataFrame:
     """(row, gaps, cands) with a score in each candidate; trees are trained on docs' own findings if not given."""
     rows = with_candidates(docs)
     if trees is None:
-        found = rows.select(F.explode("cands").alias("c")).select("c.*")
+        # explode() would have the optimiser push a copy of all expressions down as a filter on empty arrays.
+        found = rows.select(F.explode_outer("cands").alias("c")).where("c is not null").select("c.*")
         trees = train(label_by_format(found))
     return rows.withColumn("cands", F.transform("cands", lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), vote(trees, c["features"]).alias("score"))))
 
@@ -144,7 +145,7 @@ def scan(docs: DataFrame, least: float = 0.5, trees: list[str] | None = None) ->
     Null and empty texts have none; repeated rows give their secrets each; other columns are not read.
     """
     rows = scored(docs.select("doc_id", "text"), trees)
-    found = rows.select("row.doc_id", F.explode(F.filter("cands", lambda c: c["score"] >= least)).alias("c"))
+    found = rows.select("row.doc_id", F.explode_outer("cands").alias("c")).where(F.col("c.score") >= least)
     return found.select("doc_id", F.col("c.start").alias("start"), F.length("c.value").alias("length"), F.col("c.value").alias("secret"), F.col("c.score").alias("score"))
 
 
