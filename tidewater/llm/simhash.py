@@ -11,10 +11,12 @@ A link counts in exactly one of the buckets that both share, the first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from tidewater.llm.shingles import shingle_hashes
 
 #: Rows of a bucket that are compared in one piece.
 BLOCK = 1024
-#: Most large buckets whose sizes are broadcast; more are joined by a shuffle.
+#: Most large buckets, or wanted texts, whose keys are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
 
 
@@ -167,10 +169,11 @@ def signatures(nodes: DataFrame, max_bits: int) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "id")
 
 
-def near_edges(nodes: DataFrame, max_bits: int = 4, sets: DataFrame | None = None, least: float | None = None, block: int = BLOCK) -> DataFrame:
+def near_edges(nodes: DataFrame, max_bits: int = 4, sets: Callable[[DataFrame], DataFrame] | None = None, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all links between nodes (id, fp).
 
-    With `sets` (id, shingles: sorted uint64 as binary) a link also needs a Jaccard similarity of `least`.
+    With `sets`, which gives (id, shingles: sorted uint64 as binary) for ids, a link also needs a Jaccard similarity
+    of `least`.
     """
     spark = nodes.sparkSession
     # Nodes are few bytes and each becomes 64 rows, so they are dealt out before.
@@ -191,8 +194,8 @@ def near_edges(nodes: DataFrame, max_bits: int = 4, sets: DataFrame | None = Non
     grouped = dealt.repartition(*order).sortWithinPartitions(*order, "id")
     if sets is None:
         return run(grouped, "a long, b long", least=None, incidence=False).distinct()
-    linked = run(grouped, "key long, bi int, bj int, fp long, id long", least=None, incidence=True)
-    with_sets = linked.join(sets, "id").select(*order, "fp", "id", "shingles")
+    linked = durable(run(grouped, "key long, bi int, bj int, fp long, id long", least=None, incidence=True))
+    with_sets = linked.join(sets(linked.select("id").distinct()), "id").select(*order, "fp", "id", "shingles")
     return run(with_sets.repartition(*order).sortWithinPartitions(*order, "id"), "a long, b long", least=least, incidence=False).distinct()
 
 
@@ -210,12 +213,27 @@ def near_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _set_batches(batches, width: int):
+def _normal_id(text: bytes | None) -> int:
+    """Signed XXH64 of the words of a text, lower-cased in A-Z and joined by one space; that of b"" without words."""
+    digest = xxhash.xxh64_intdigest(b" ".join(text.lower().split()) if text else b"", 42)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def _node_batches(batches):
+    """Identity and fingerprint over distinct words; texts stay where they are read."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        full = [np.unique(shingle_hashes(t, width)) for t in texts]
-        fps = [majority_bits(np.unique(shingle_hashes(t, 1))) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], ["id", "fp", "shingles"])
+        distinct = (set(t.lower().split()) if t else () for t in texts)
+        fps = [majority_bits(np.unique(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64))) for words in distinct]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_normal_id, texts), pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "id", "fp"])
+
+
+def _set_batches(batches, width: int):
+    """Shingle sets of the texts that have the wanted identity."""
+    for batch in batches:
+        own = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _normal_id(t) == i]
+        sets = [np.unique(shingle_hashes(t, width)).tobytes() for _, t in own]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
@@ -226,15 +244,21 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bit
     under an edit than those over shingles (an edit of one word in forty moves about four of 64 bits), at most
     max_bits apart. Texts equal after lower-casing A-Z and joining words count as one. Texts without words and null
     texts are copies of each other. Of repeated rows one stays. All columns come back.
+
+    Shingle sets, which are as large as the texts, are made only for texts that some candidate pair holds.
     """
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    ids = durable(docs.select("doc_id", F.xxhash64(words).alias("id"), F.octet_length(F.col("text")).alias("n")))
-    # One text for each id: that of its smallest document, the shortest if a doc_id repeats.
-    first = ids.groupBy("id").agg(F.min("doc_id").alias("first"))
-    texts = docs.select("doc_id", F.xxhash64(words).alias("id"), F.col("text").cast("binary").alias("text"))
-    own = texts.join(first.select(F.col("id").alias("id2"), "first"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("id") == F.col("id2")), "left_semi")
-    sets = durable(own.select("id", "text").mapInArrow(partial(_set_batches, width=width), "id long, fp long, shingles binary").dropDuplicates(["id"]))
-    roots = components(near_edges(sets.select("id", "fp"), max_bits, sets.select("id", "shingles"), similarity))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    ids = durable(texts.mapInArrow(_node_batches, "doc_id long, id long, fp long"))
+    first = ids.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
+
+    def shingle_sets(wanted: DataFrame) -> DataFrame:
+        """(id, shingles), from the smallest document of each id."""
+        named = durable(first.join(wanted, "id").select("id", "first"))
+        named = F.broadcast(named) if named.count() <= BROADCAST else named
+        own = texts.join(named, F.col("doc_id").eqNullSafe(F.col("first"))).select("id", "text")
+        return own.mapInArrow(partial(_set_batches, width=width), "id long, shingles binary").dropDuplicates(["id"])
+
+    roots = components(near_edges(first.select("id", "fp"), max_bits, shingle_sets, similarity))
     group = first.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("keep"))
     kept = docs.join(group.select(F.col("keep")), F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
     rows = ids.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
