@@ -158,7 +158,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, n_trees: int = 16, leaf: i
     shares = [np.zeros(t["leaves"]) for t in forest.value]
     for r in counts:
         shares[r["tree"]][r["leaf"]] = r["count"] / total
-    asked = clean.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "vector")
+    # Queries are few bytes and long walks, so they are dealt out before.
+    asked = clean.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "vector").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     routed = asked.mapInArrow(partial(_route_batches, forest=forest, shares=spark.sparkContext.broadcast(shares), wanted=wanted), "query_id long, vector array<double>, opened array<array<int>>")
     n_shards, n_blocks = -(-n // SHARD), -(-asked.count() // QUERIES) or 1
     here = lambda c, m: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(m)).cast("int")
