@@ -69,6 +69,23 @@ def test_near_dedup_keeps_one(spark, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_finds_block_edits(spark):
+    texts = []
+    for i in range(60):
+        base, other = ([f"{x}{i}q{j}" for j in range(200)] for x in "ab")
+        edited = [base + other[:30], base + other[:46], base[:165], other[:10] + base[10:], base[:90] + other[:15] + base[105:], [w if j % 45 else "zz" for j, w in enumerate(base)]][i % 6]
+        texts += [" ".join(base), " ".join(edited)]
+    assert [r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).orderBy("doc_id").collect()] == list(range(0, 120, 2))
+
+
+def test_near_dedup_keeps_texts_that_share_a_doc_id(spark):
+    a, b, c, d = (words(i, 60) for i in (40, 41, 42, 43))
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, c), (None, d), (3, d)]
+    got = simhash.near_dedup(spark.createDataFrame([(i, t, "en", "s", 1, "k", "f", "b") for i, t in rows], COLUMNS))
+    assert got.columns == [x.split()[0] for x in COLUMNS.split(", ")]
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (1, b), (0, c), (3, d)])
+
+
 def test_langid(spark, odd, empty):
     a, b = "the and of house tree water".split(), "und der die haus baum wasser".split()
     text = lambda i: " ".join(random.Random(i).choices(a if i % 2 else b, k=12)) if i else "123 !!"

@@ -19,12 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.llm.common import components, durable, table
 from tidewater.llm.shingles import shingle_hashes
 
 #: Rows of a bucket that are compared in one piece.
 BLOCK = 1024
+#: Bands of min-hashes and min-hashes in each: at Jaccard similarity 0.8 a pair shares no band in 1 of 38,000 cases.
+BANDS, BAND_ROWS = 20, 4
 #: Most large buckets, or wanted texts, whose keys are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
 
@@ -219,13 +222,100 @@ def _normal_id(text: bytes | None) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def _node_batches(batches):
-    """Identity and fingerprint over distinct words; texts stay where they are read."""
+def _odd(n: int) -> np.ndarray:
+    """n fixed odd multipliers."""
+    return np.random.default_rng(1).integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for each band of min-hashes of a set of hashes; none of an empty set.
+
+    Two sets share a band with probability J ** rows at Jaccard similarity J, wherever they differ.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64)
+    by = _odd(bands * rows)
+    h = h ^ (h >> np.uint64(29))
+    low = np.minimum.reduce([(h[i : i + 4096, None] * by).min(0) for i in range(0, len(h), 4096)])
+    key = np.arange(bands, dtype=np.uint64)
+    for column in low.reshape(bands, rows).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def _node_batches(batches, width: int):
+    """Identity, fingerprint over distinct words and band keys over shingles; texts stay where they are read."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         distinct = (set(t.lower().split()) if t else () for t in texts)
         fps = [majority_bits(np.unique(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64))) for words in distinct]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_normal_id, texts), pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "id", "fp"])
+        bands = [band_keys(np.unique(shingle_hashes(t, width))).tolist() for t in texts]
+        columns = [batch.column(0), pa.array(map(_normal_id, texts), pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "fp", "bands"])
+
+
+def _identity_batches(batches):
+    """Rows of documents with the identity of their text added."""
+    for batch in batches:
+        ids = pa.array(map(_normal_id, batch.column("text").cast(pa.binary()).to_pylist()), pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "near_id"])
+
+
+def _similar_batches(batches, least: float):
+    """Rows (key, bi, bj, id, shingles) sorted by group: edges of a spanning forest of each group's similar pairs."""
+    held = None
+
+    def work(t):
+        key, bi, bj = (t[c].to_numpy() for c in ("key", "bi", "bj"))
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+        ids, raw, edges = t["id"].to_numpy(), t["shingles"].to_pylist(), []
+        for start, end in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
+            sets = [np.frombuffer(x, np.uint64) for x in raw[start:end]]
+            size, label, d = np.array([len(x) for x in sets]), np.arange(end - start), 1
+            while d < len(sets) and (label != label[0]).any():
+                fits = np.minimum(size[:-d], size[d:]) >= least * np.maximum(size[:-d], size[d:]) - 1e-9
+                for i in np.flatnonzero(fits & (label[:-d] != label[d:])).tolist():
+                    if label[i] != label[i + d] and _similar(sets[i], sets[i + d], least):
+                        label[label == label[i + d]] = label[i]
+                        edges.append((ids[start + i], ids[start + i + d]))
+                d += 1
+        edges = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        if not len(t):
+            continue
+        last = [t[c][-1] for c in ("key", "bi", "bj")]
+        same = np.logical_and.reduce([t[c].to_numpy() == x.as_py() for c, x in zip(("key", "bi", "bj"), last)])
+        cut = int(np.argmax(same))
+        held = t.slice(cut)
+        if cut:
+            yield from work(t.slice(0, cut)).to_batches()
+    if held is not None:
+        yield from work(held).to_batches()
+
+
+def band_edges(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of nodes (id, bands) that share a band and are similar.
+
+    Bands with the same members are compared once, since near copies share most of their bands.
+    """
+    rows = nodes.select(F.explode("bands").alias("key"), "id")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1")
+    picked = durable(groups.groupBy("n", "mark", "low", "high").agg(F.min("key").alias("key")).select("key", "n"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
+    order = ["key", "bi", "bj"]
+    dealt = durable(
+        rows.join(F.broadcast(picked) if picked.count() <= BROADCAST else picked, "key")
+        .select("key", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "id")
+    )
+    with_sets = dealt.join(sets(dealt.select("id").distinct()), "id").select(*order, "id", "shingles")
+    return with_sets.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(partial(_similar_batches, least=least), "a long, b long").distinct()
 
 
 def _set_batches(batches, width: int):
@@ -240,16 +330,18 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bit
     """The documents, one of each group of near copies: the one of smallest doc_id.
 
     Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups
-    are connected components of that. Candidates come from fingerprints over the distinct words, which move less
-    under an edit than those over shingles (an edit of one word in forty moves about four of 64 bits), at most
-    max_bits apart. Texts equal after lower-casing A-Z and joining words count as one. Texts without words and null
-    texts are copies of each other. Of repeated rows one stays. All columns come back.
+    are connected components of that. Candidates come from two kinds of signatures: bands of min-hashes over the
+    shingles, which depend on the similarity alone, so that scattered, appended, cut and block edits are found alike,
+    and fingerprints over the distinct words, at most max_bits apart. Texts equal after lower-casing A-Z and joining
+    words count as one. Texts without words and null texts are copies of each other. Of repeated rows one stays; rows
+    that share a doc_id but not a text are documents of their own. All columns come back.
 
     Shingle sets, which are as large as the texts, are made only for texts that some candidate pair holds.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ids = durable(texts.mapInArrow(_node_batches, "doc_id long, id long, fp long"))
+    ids = durable(texts.mapInArrow(partial(_node_batches, width=width), "doc_id long, id long, fp long, bands array<long>"))
     first = ids.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
+    banded = durable(ids.select("id", "bands").dropDuplicates(["id"]))
 
     def shingle_sets(wanted: DataFrame) -> DataFrame:
         """(id, shingles), from the smallest document of each id."""
@@ -258,11 +350,16 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bit
         own = texts.join(named, F.col("doc_id").eqNullSafe(F.col("first"))).select("id", "text")
         return own.mapInArrow(partial(_set_batches, width=width), "id long, shingles binary").dropDuplicates(["id"])
 
-    roots = components(near_edges(first.select("id", "fp"), max_bits, shingle_sets, similarity))
-    group = first.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("keep"))
-    kept = docs.join(group.select(F.col("keep")), F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
+    edges = durable(band_edges(banded, shingle_sets, similarity))
+    roots = components(edges.union(near_edges(first.select("id", "fp"), max_bits, shingle_sets, similarity)))
+    group = first.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"))
+    keep = group.agg(F.min(F.struct(F.col("first").isNull(), "first", "id")).alias("m")).select(F.col("m.first").alias("near_keep"), F.col("m.id").alias("near_of"))
     rows = ids.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return kept if rows[0] == rows[1] else kept.dropDuplicates(["doc_id"])
+    if rows[0] == rows[1]:
+        return docs.join(keep.select("near_keep"), F.col("doc_id").eqNullSafe(F.col("near_keep")), "left_semi")
+    marked = docs.mapInArrow(_identity_batches, StructType([*docs.schema.fields, StructField("near_id", LongType())]))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("near_keep")) & (F.col("near_id") == F.col("near_of")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "near_id"]).drop("near_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
