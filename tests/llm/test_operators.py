@@ -118,6 +118,24 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact(odd).count() == odd.count() and secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_one_kind(spark):
+    keys = ["AKIA" + "".join(random.Random(i).choices("ABCDEFGHIJKLMNOP234567", k=16)) for i in range(5)]
+    d = docs_of(spark, [f"some words {k} more" for k in keys])
+    assert {(r.doc_id, r.secret) for r in secrets.scan(d).collect()} == set(enumerate(keys))
+    assert all(r.text == "some words [SECRET] more" for r in secrets.redact(d).collect())
+    assert secrets.scan(docs_of(spark, [f"card 4{i:015d} phone" for i in range(5)])).count() == 0
+
+
+def test_secrets_rare_beyond_the_sample(spark):
+    keys = ["AKIA" + "".join(random.Random(i).choices("ABCDEFGHIJKLMNOP234567", k=16)) for i in range(4)]
+    r = random.Random(9)
+    other = lambda i: [f"card 4{r.randrange(10**15):015d} phone", f"see /var/lib/{words(i, 1)}/part-{i:05d}.log now", f"id {r.randrange(1 << 40):x}-{i:06d} end"][i % 3]
+    d = docs_of(spark, [f"some words {k} more" for k in keys] + [" ".join(other(9 * j + i) for i in range(9)) for j in range(600)])
+    found = secrets.with_candidates(d).select(F.explode_outer("cands").alias("c")).where("c is not null").select("c.*")
+    trees = secrets.train(secrets.label_by_format(found), limit=100)
+    assert {(r.doc_id, r.secret) for r in secrets.scan(d, trees=trees).collect()} == set(enumerate(keys))
+
+
 def test_mixing(spark, odd, empty):
     d = docs_of(spark, [words(i, 10 + i % 90) for i in range(200)], source=lambda i: "a" if i % 2 else "b" if i % 3 else None)
     rows = mixing.plan(d).collect()

@@ -23,6 +23,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]{0,256}[0-9])[A-Za-z0-9+/_
 CONTEXT = 48
 #: Labelled findings that train the forest, dictionary words, trees and their depth.
 LABELLED, DICTIONARY, TREES, DEPTH = 20_000, 1000, 20, 5
+#: Least share of the sample's weight that positives have.
+RARE = 0.25
 MASK = "[SECRET]"
 _NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|credential|bearer)[^A-Za-z]{0,12}$"
 #: Published formats of providers' keys.
@@ -95,20 +97,28 @@ def label_by_format(found: DataFrame) -> DataFrame:
 
 
 def train(found: DataFrame, limit: int = LABELLED, trees: int = TREES, depth: int = DEPTH) -> list[str]:
-    """The forest's trees as text, from findings (value, features, label), at most `limit` of them by hash order.
+    """The forest's trees as text, from findings (value, features, label), at most `limit` of them.
 
-    Each finding trains twice, once without its neighbouring words, so that a key is known by its own characters too.
-    One tree that always says no if the labels are all alike.
+    Positives are all taken, or as many as half the limit or as negatives leave room for; negatives fill the rest, each
+    in hash order. Where positives are few, they weigh as much together as RARE of the sample, so that keys are found
+    whatever the table's size and mix. Each finding trains twice, once without its neighbouring words, so that a key is
+    known by its own characters too. One tree that always says the same if the labels are all alike; no without findings.
     """
     names = list(_features(F.struct(F.lit("").alias("value"), F.lit("").alias("left"), F.lit("").alias("right")), F.array(F.lit(""))))
-    picked = durable(found.orderBy(F.xxhash64("value", "features"), "value").limit(limit).select("features", "label"))
-    if picked.select("label").distinct().count() < 2:
-        return ["Predict: 0.0"]
+    order = [F.xxhash64("value", "features"), F.col("value")]
+    one, other = (durable(found.where(F.col("label") == k).orderBy(*order).limit(limit).select("value", "features", "label")) for k in (1.0, 0.0))
+    n_one, n_other = one.count(), other.count()
+    if not n_one or not n_other:
+        return [f"Predict: {float(n_one > 0)}"]
+    n_one = min(n_one, max(limit // 2, limit - n_other))
+    n_other = min(n_other, limit - n_one)
+    picked = one.orderBy(*order).limit(n_one).union(other.orderBy(*order).limit(n_other)).select("features", "label")
     blank = [F.lit(0.0) if n in ("assigned", "named", "quoted") else F.col("features")[i] for i, n in enumerate(names)]
     both = picked.union(picked.select(F.array(*blank), "label"))
-    wide = both.select("label", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
+    weight = F.when(F.col("label") == 1, max(1.0, RARE / (1 - RARE) * n_other / n_one)).otherwise(1.0)
+    wide = both.select("label", weight.alias("weight"), *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
     rows = VectorAssembler(inputCols=names, outputCol="vector").transform(wide)
-    model = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=1, featureSubsetStrategy="onethird").fit(rows)
+    model = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=1, featureSubsetStrategy="onethird").fit(rows)
     return [x.split("\n", 1)[1] for x in re.split(r"\n\s*Tree \d+", "\n" + model.toDebugString)[1:]]
 
 
