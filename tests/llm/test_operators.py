@@ -150,6 +150,23 @@ def test_mixing(spark, odd, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_op4_mixing_takes_documents_through_positions(spark, tmp_path, monkeypatch):
+    texts = [words(i, 10 + i % 90) for i in range(200)] + [None, "", "", words(3, 13)]
+    d = docs_of(spark, texts, source=lambda i: "a" if i % 2 else "b" if i % 3 else None)
+    d.union(d.where("doc_id in (5, 202)")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(mixing, "positions", lambda p, f=mixing.positions: seen.append(1) or f(p))
+    got = mixing.op4_mixing(spark, str(tmp_path))
+    planned = mixing.plan(mixing.table(spark, str(tmp_path), "documents"))
+    assert seen and got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, planned.select(*got.columns).collect()))
+    copies = mixing.in_training_order(planned)
+    full = mixing.taken_of(planned, copies).collect()
+    assert all((r.first_position is None) == (r.taken == 0) for r in full) and any(r.first_position for r in full)
+    order = [r.position for r in copies.collect()]
+    assert order == sorted(order)
+
+
 def test_classlm(spark, odd, empty):
     d = docs_of(spark, [" ".join(["the", "cat", "sat"] * (i % 5 + 1)) for i in range(30)])
     rows = classlm.score(d, F.col("doc_id") % 5 == 1, classes=4).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD, durable, table
+from tidewater.llm.common import WORD, durable, stored, table
 
 #: Start and end weights of the sources in code point order, null last, repeating; the means are 5, 2 and 1.
 CYCLE = ((7.0, 3.0), (2.0, 2.0), (0.5, 1.5))
@@ -87,6 +87,27 @@ def positions(planned: DataFrame) -> DataFrame:
     return out.withColumns({"words": F.least("size", F.col("taken") - F.col("copy") * F.col("size")), "position": t})
 
 
+def in_training_order(planned: DataFrame) -> DataFrame:
+    """The copies of positions(), range-sorted by position as a training run reads them."""
+    return positions(planned).repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def taken_of(planned: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of plan() with taken (words of all copies) and first_position from the copies; documents without a copy have 0 and null.
+
+    Rows that are equal in doc_id, source and text share their copies by their place in the source's line.
+    """
+    key = ["doc_id", "source", "mark", "at", "size"]
+    dealt = copies.select(*key, "words", "position", F.lit(1).alias("is_copy"), "source_size", "target")
+    own = planned.select(*key, F.lit(0).cast("long").alias("words"), F.lit(None).cast("double").alias("position"), F.lit(0).alias("is_copy"), "source_size", "target")
+    both = own.union(dealt).groupBy(*key).agg(
+        F.sum(1 - F.col("is_copy")).alias("rows"), F.sum("words").cast("long").alias("all_words"), F.min("position").alias("first_position"),
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    # Rows of one key have size 0 or are one row, since the place grows by the size.
+    each = both.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "size", "source", "source_size", "target", F.col("all_words").alias("taken"), "first_position")
+
+
 def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, cycle=CYCLE) -> DataFrame:
     """The training mix: the columns of docs, a row per copy, range-sorted by position; the last copy of a source is cut.
 
@@ -105,7 +126,10 @@ def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, cycle=CYCLE) ->
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Words taken of each document, by way of its copies in training order; the SQL has no column for their positions."""
+    planned = stored(plan(table(spark, sf_dir, "documents")), "planned")
+    copies = stored(in_training_order(planned), "positions")
+    return taken_of(planned, copies).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""
