@@ -249,3 +249,13 @@ def test_sketch(spark, odd, empty):
     both = sketch.sketch(words(30, 4000) + " " + words(31, 4000))
     assert sketch.containment(a, both) > 0.99 and len(np.setdiff1d(sketch.merge(a, b), both)) == 0
     assert sketch.compare_with_next(odd).count() == odd.count() and sketch.compare_with_next(empty).count() == 0
+
+
+def test_sketch_of_short_texts_in_long_ones(spark):
+    texts = []
+    for i in range(60):
+        long = words(1000 + i, 500).split()
+        texts += [" ".join(long[7 : 12 + i % 16]), " ".join(long)]
+    rows = sorted(sketch.compare_with_next(docs_of(spark, texts)).collect())
+    assert all(r.near_next == 1.0 for r in rows[::2]) and all(r.near_next == 0.0 for r in rows[1::2])
+    assert all(r.fingerprint == sketch.as_text(sketch.sketch(t)) for r, t in zip(rows, texts))

@@ -21,22 +21,29 @@ from tidewater.llm.shingles import shingle_hashes
 SCALE = 8
 
 
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """All distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text.encode("utf-8", "replace"), width))
+
+
+def retained(h: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """Of a sorted set, the hashes under the threshold, or the smallest if none is."""
+    kept = h[: np.searchsorted(h, np.uint64(2**64 // scale))]
+    return kept if len(kept) else h[:1]
+
+
 def sketch(text: str, width: int = 5, scale: int = SCALE) -> np.ndarray:
     """The distinct shingle hashes under the threshold, sorted.
 
-    A text with shingles but none under the threshold keeps its smallest hash, so that short texts compare too; a
-    merge drops such a hash once another is under the threshold. A text without words has an empty sketch.
+    A text with shingles but none under the threshold keeps its smallest hash, so that it has a fingerprint; a merge
+    drops such a hash once another is under the threshold. A text without words has an empty sketch.
     """
-    h = np.unique(shingle_hashes(text.encode("utf-8", "replace"), width))
-    kept = h[: np.searchsorted(h, np.uint64(2**64 // scale))]
-    return kept if len(kept) else h[:1]
+    return retained(shingle_set(text, width), scale)
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    h = np.union1d(a, b)
-    kept = h[: np.searchsorted(h, np.uint64(2**64 // scale))]
-    return kept if len(kept) else h[:1]
+    return retained(np.union1d(a, b), scale)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
@@ -46,6 +53,18 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
+def likeness(x: np.ndarray, y: np.ndarray, scale: int = SCALE) -> float:
+    """Containment of two shingle sets, estimated from their sketches.
+
+    A set without a hash under the threshold has no sample that compares with another's, so such a pair is compared on
+    the whole sets.
+    """
+    limit = np.uint64(2**64 // scale)
+    if any(len(h) and h[0] >= limit for h in (x, y)):
+        return containment(x, y)
+    return containment(retained(x, scale), retained(y, scale))
+
+
 def as_text(h: np.ndarray) -> str:
     """Lowercase hex, 16 digits for each hash."""
     return h.astype(">u8").tobytes().hex()
@@ -53,19 +72,18 @@ def as_text(h: np.ndarray) -> str:
 
 def _compare_batches(batches, width: int, scale: int):
     """Rows (bucket, copied, doc_id, text) in order: each original against the row after it in its bucket."""
-    make = partial(sketch, width=width, scale=scale)
     out: list[tuple] = []
     held = None
     for batch in batches:
         for bucket, copied, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = make(text)
+            own = shingle_set(text, width)
             if held is not None and held[0] == bucket and not held[1]:
                 _, _, before, prior, mine = held
                 n = len(prior) // 2
                 edited = prior[: len(prior) - n] + text[:n]
-                changed = make(edited)
+                changed = shingle_set(edited, width)
                 digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-                out.append((before, len(prior), digest, as_text(mine), as_text(changed), containment(mine, changed), containment(mine, own)))
+                out.append((before, len(prior), digest, as_text(retained(mine, scale)), as_text(retained(changed, scale)), likeness(mine, changed, scale), likeness(mine, own, scale)))
             held = (bucket, copied, doc_id, text, own)
             if len(out) >= 256:
                 yield _rows(out)
