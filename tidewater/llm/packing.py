@@ -8,22 +8,26 @@ are updated. Pieces then find their place in a pattern by their rank among the p
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import stored, table
 
-#: Bound of a worker's cache of encoded words.
-CACHE = 700_000
+#: Bound of a worker's cache of encoded words, and bytes of text that are encoded in one piece.
+CACHE, CHUNK = 1_000_000, 8 << 20
 #: Bins in which pieces of one length are ranked; no length lands in one task.
 BINS = 1024
-_encoders: dict[str, tuple] = {}
+#: Words of ASCII letters, with ASCII marks other than ' after them.
+PLAIN = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
+_encoders: dict[str, "Encoder"] = {}
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -32,48 +36,123 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(texts: list[bytes | None], path: str, end: int) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text and the end id.
+class Encoder:
+    """Ids of texts by a tokenizer that lower-cases and never joins over ASCII white space.
 
-    The tokenizer never joins over ASCII white space, so each distinct word is encoded once and kept.
+    Each distinct word is encoded once; its ids lie in one array, `pool[start : start + length]`, so the ids of many
+    texts are one gather.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _encoders[path]
-    if len(known) > CACHE:
-        known.clear()
-    # Lower-casing first saves entries, as the tokenizer does so itself; but special tokens have a case.
-    words = [((t if b"<|" in t else t.lower()).split() if t else []) for t in texts]
-    new = list({w for ws in words for w in ws}.difference(known))
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for word, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-    tail = np.array([end], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) + tail for ws in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        #: A word that is one id, which no other word has; words that hold its character are encoded alone.
+        self.mark = self.tokenizer.encode("~", add_special_tokens=False).ids
+        #: Whether the model alone gives the ids of letters and marks, as where both are pieces of their own.
+        self.direct = [x.id for w in ("tokenizers", "?!") for x in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode("tokenizers?!", add_special_tokens=False).ids
+        self._clear()
+
+    def _clear(self):
+        self.place: dict[bytes, int] = {}
+        #: Place 0 is the end of a text.
+        self.start, self.length, self.pool = np.zeros(1, np.int32), np.ones(1, np.int32), np.zeros(1, np.uint32)
+
+    def _add(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray):
+        self.place.update(zip(words, range(len(self.start), len(self.start) + len(words))))
+        self.start = np.r_[self.start, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)]
+        self.length, self.pool = np.r_[self.length, lengths.astype(np.int32)], np.r_[self.pool, ids]
+
+    def _learn(self, words: list[bytes]):
+        """Encodes new words. A text of many words costs less than as many texts."""
+        several, alone, done, lengths, found, model = [], [], [], [], [], self.tokenizer.model
+        own, sizes, ids, tails = [], [], [], {b"": []}
+        for w in words:
+            if self.direct and (m := PLAIN.fullmatch(w)):
+                stem, tail = m.groups()
+                if tail not in tails:
+                    tails[tail] = [x.id for x in model.tokenize(tail.decode())]
+                before = len(ids)
+                ids += [x.id for x in model.tokenize(stem.decode())]
+                ids += tails[tail]
+                own.append(w)
+                sizes.append(len(ids) - before)
+            else:
+                (alone if b"~" in w or len(self.mark) != 1 else several).append(w)
+        self._add(own, np.array(sizes, np.int64), np.array(ids, np.uint32))
+        for i in range(0, len(several), 512):
+            own = several[i : i + 512]
+            text = " ~ ".join([w.decode("utf-8", "replace") for w in own]) + " ~"
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) == len(own):
+                done += own
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+                found.append(np.delete(ids, ends))
+            else:
+                alone += own
+        for i in range(0, len(alone), 4096):
+            own = alone[i : i + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in own], add_special_tokens=False)]
+            done += own
+            lengths.append(np.array([len(x) for x in ids]))
+            found.append(np.array([y for x in ids for y in x], np.uint32))
+        if done:
+            self._add(done, np.concatenate(lengths), np.concatenate(found))
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        if len(self.place) > CACHE:
+            self._clear()
+        if new := [w for w in words if w not in self.place]:
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and where each text's begin and the last's end."""
+        texts = pc.fill_null(texts, "")
+        # Lower-casing first saves entries, as the tokenizer does so itself; but special tokens have a case.
+        special = pc.match_substring(texts, "<|")
+        lower = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
+        words, ends = split.values.dictionary_encode(), split.offsets.to_numpy()[1:]
+        place = self._places(words.dictionary.cast(pa.binary()).to_pylist())[words.indices.to_numpy()]
+        place = np.insert(place, ends, 0)
+        length = self.length[place]
+        to = np.cumsum(length, dtype=np.int64)
+        source = np.repeat((self.start[place] - to + length).astype(np.int32), length)
+        source += np.arange(len(source), dtype=np.int32)
+        self.pool[0] = end
+        return self.pool[source].astype("<u4", copy=False), np.r_[0, to[ends + np.arange(len(ends))]]
 
 
 def _piece_batches(batches, path: str, size: int, end: int):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    encoder = _encoders[path]
     for whole in batches:
-        for at in range(0, len(whole), 256):
-            batch, rows = whole.slice(at, 256), []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), _encode(batch.column(1).to_pylist(), path, end)):
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    piece = ids[4 * start : 4 * (start + size)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.r_[0, np.flatnonzero(np.diff(ends // CHUNK)) + 1, len(ends)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            batch = whole.slice(a, b - a)
+            ids, bounds = encoder.ids(batch.column(1), end)
+            tokens = np.diff(bounds)
+            number = -(-tokens // size)
+            of = np.repeat(np.arange(len(batch)), number)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)) * size
+            length = np.minimum(size, tokens[of] - start)
+            crc = [zlib.crc32(ids[i:j]) for i, j in zip((bounds[of] + start).tolist(), (bounds[of] + start + length).tolist())]
+            columns = [batch.column(0).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[of])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 2) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full pieces of `size` ids and the rest of each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_piece_batches, path=tokenizer, size=size, end=end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
