@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.operators.graph import durable, label_components
+from tidewater.operators.graph import components, durable
 
 #: Rows of a block of the pairwise passes.
 BLOCK = 2000
@@ -138,7 +138,7 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int, block: int = BLOCK) ->
     marked = durable(live.join(degree, "id").select("id", "x", (F.col("n") >= min_samples).alias("core")))
     core = marked.where("core").select("id", "x")
     edges = durable(_pairs(core, block).groupBy("p", "q").applyInPandas(partial(_core_edges, eps=eps), "a long, b long"))
-    roots = core.select("id").join(label_components(edges), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    roots = core.select("id").join(components(edges), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     numbers = roots.select("root").distinct().withColumn("cluster", (F.row_number().over(W.orderBy("root")) - 1).cast("int"))
     cores = durable(roots.join(numbers, "root").select("id", "cluster"))
     n = -(-marked.count() // block) or 1

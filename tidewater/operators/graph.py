@@ -1,32 +1,90 @@
-"""Durable intermediate results and connected components."""
+"""Durable intermediate results, joins that split hot keys, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key of more rows than this and than one in HOT_KEYS of all rows is hot; so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+#: Edges from which on components() splits hubs.
+SPLIT_EDGES = 100_000
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. In local mode a temporary one where that is unset; on a cluster that is an error."""
     sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tidewater-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-"))
+        sc.setCheckpointDir(configured)
+    return configured or sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: computed once, kept in the shared folder, lineage cut."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def label_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of undirected (a, b) edges; root is the smallest node reached. Minimum labels spread along edges and by pointer jumps until none changes."""
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    now = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        jump = now.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        step = now.join(near, F.col("node") == F.col("a"), "left").join(jump, "root", "left")
-        new = durable(step.select("node", "root", F.least("root", "m", "far").alias("next")))
-        changed = new.where("next <> root").limit(1).count()
-        now = new.select("node", F.col("next").alias("root"))
-        if not changed:
-            return now
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as compressed Parquet in the shared folder. Unlike a checkpoint's, size estimates are those of the files."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows.join(keyed, key) for `keyed` of one row a key with a column n, the key's count of `rows`; n is dropped.
+
+    Hot keys, at most HOT_KEYS, are broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    few = keyed.where(hot).drop("n")
+    if not few.limit(1).count():
+        return rows.join(keyed.drop("n"), key)
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.where(~hot).drop("n"), key)
+    return cold.unionByName(rows.join(F.broadcast(few), key))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of (a, b) longs as (node, root), root the smallest node reached.
+
+    Alternating large-star and small-star rounds, about twice the logarithm of the longest chain. A round joins edges
+    to one minimum for each node, so a hub is one row for each of its edges, never a list, and its rows are split.
+    Each round is written as Parquet, so that lineage and size estimates don't grow. Nodes without an edge to another
+    don't appear; an empty table gives an empty table.
+    """
+
+    def mark(e: DataFrame):
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    def least_of(e: DataFrame, split: bool) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return stored(least, "components-least") if split else least
+
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    before = mark(now)
+    while before[0]:
+        # With few edges a hub is small too, and splitting it costs more than it saves.
+        split = before[0] > SPLIT_EDGES
+        join = join_hot if split else lambda rows, keyed, key: rows.join(keyed.drop("n"), key)
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = least_of(both, split).withColumn("m", F.least("u", "m"))
+        large = join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "components") if split else large
+        small = join(large, least_of(large, split), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = stored(small.where("u <> v").distinct(), "components")
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
