@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidewater.operators.graph import components, durable, join_hot, shared_dir, stored
+
+__all__ = ["WORD", "components", "durable", "join_hot", "shared_dir", "stored", "table"]
 
 #: ASCII white space; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,57 +14,3 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, kept in the shared folder, lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as compressed Parquet in the shared folder, for results too large for a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) longs as (node, root), root the smallest node reached.
-
-    Alternating large-star and small-star rounds: each round joins edges to one minimum for each node, so a hub
-    is one row for each of its edges and never a list. Nodes without an edge don't appear; an empty table
-    gives an empty table.
-    """
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-
-    def mark(e: DataFrame):
-        return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-
-    before = mark(now)
-    while before["n"]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = durable(small.where("u <> v").distinct())
-        after = mark(now)
-        if (after["n"], after["h"]) == (before["n"], before["h"]):
-            break
-        before = after
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

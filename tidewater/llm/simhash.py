@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewater.llm.common import components, durable, table
+from tidewater.llm.common import components, durable, join_hot, table
 from tidewater.llm.shingles import shingle_hashes
 
 #: Rows of a bucket that are compared in one piece.
@@ -209,11 +209,12 @@ def near_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     doc_id is a member but never names a component unless all members are null. Only doc_id and text are read.
     """
     fps = durable(fingerprints(docs, width))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(near_edges(nodes.select(F.col("fp").alias("id"), "fp"), max_bits))
-    rooted = durable(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = durable(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = durable(join_hot(rooted.withColumnRenamed("n", "copies"), heads, "root"))
+    return join_hot(fps, named.select("fp", "component_id", F.col("copies").alias("n")), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _normal_id(text: bytes | None) -> int:
