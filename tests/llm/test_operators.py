@@ -96,16 +96,6 @@ def test_langid(spark, odd, empty):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
-def test_forward_sums_all_segmentations():
-    vocab = ({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, {"a", "b", "ab", "ba", "aba"})
-    lattice = langid.Lattice(["aba", "b"], vocab)
-    p = np.array([[0.2], [0.1], [0.3], [0.05], [0.15]])
-    alpha = lattice.forward(langid._of_edges(p, lattice))
-    assert np.isclose(alpha[0, 3, 0], 0.2 * 0.1 * 0.2 + 0.3 * 0.2 + 0.2 * 0.05 + 0.15) and np.isclose(alpha[1, 1, 0], 0.1)
-    beta = lattice.backward(langid._of_edges(p, lattice))
-    assert np.isclose(beta[0, 0, 0], alpha[0, 3, 0])
-
-
 def test_secrets(spark, odd, empty):
     keys = ["AKIA" + "".join(random.Random(i).choices("ABCDEFGHIJKLMNOP234567", k=16)) for i in range(30)]
     hexes = ["".join(random.Random(i).choices("0123456789abcdef", k=40)) for i in range(30)]

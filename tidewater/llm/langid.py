@@ -13,7 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +22,14 @@ from tidewater.llm.common import durable, table
 
 #: Documents of each language that train it, and rounds of expectation-maximisation.
 PER_LANGUAGE, ROUNDS = 500, 3
-#: Letters in a piece of a longer run of letters; bound of a worker's cache; pieces' pseudo-count; an unknown letter.
-RUN, CACHE, PSEUDO, UNKNOWN = 48, 400_000, 0.01, 1e-9
+#: Bound of a worker's cache; pieces' pseudo-count; an unknown letter.
+CACHE, PSEUDO, UNKNOWN = 400_000, 0.01, 1e-9
+#: Letters of a run that are summed in one step; the sums are carried from step to step. Letters in one lattice.
+STEP, CELLS = 1024, 60_000
+#: Letters after which sums are scaled, so that they never underflow.
+SCALED = 8
+#: Sampled documents whose hashes are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 LETTERS = regex.compile(r"\p{L}+")
 _vocabularies: dict[str, "Trie"] = {}
 _scores: dict[str, tuple] = {}
@@ -52,6 +58,7 @@ class Trie:
         self.keys, self.next = keys[order], np.arange(1, len(keys) + 1)[order]
         #: A node's piece, -1 for none.
         self.piece = np.array([-1] + [pieces.get(p, -1) for p in beginnings], np.int64)
+        self.longest = max(map(len, beginnings), default=1)
 
     def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The node after each node's letter, -1 for none."""
@@ -70,19 +77,15 @@ def vocabulary(path: str) -> Trie:
     return _vocabularies[path]
 
 
-def runs_of(letters: str) -> list[str]:
-    """A run of letters with a mark of its start, cut every RUN letters."""
-    return ["▁" * (i == 0) + letters[i : i + RUN] for i in range(0, len(letters), RUN)]
-
-
 class Lattice:
     """All pieces in many words: arrays of word, start, end and piece; piece -1 is a letter that is no piece.
 
-    The pieces of each length lie together, in order of their start.
+    The pieces of each length lie together, in order of their start. Pieces that end in the first `seen` letters are
+    left out, as the sums over these are known.
     """
 
-    def __init__(self, words: list[str], trie: Trie):
-        self.words, self.ends = len(words), np.array([len(w) for w in words], np.int64)
+    def __init__(self, words: list[str], trie: Trie, seen: int = 0):
+        self.words, self.ends, self.seen, self.reach = len(words), np.array([len(w) for w in words], np.int64), seen, trie.longest
         longest = int(self.ends.max(initial=0))
         inside = np.arange(longest)[:, None] < self.ends
         start, word = np.nonzero(inside)
@@ -95,7 +98,7 @@ class Lattice:
             size += 1
             # Single letters are always there.
             own = np.where(node >= 0, trie.piece[node], -1)
-            e = np.flatnonzero(own >= 0) if size > 1 else np.arange(len(word))
+            e = np.flatnonzero(((own >= 0) | (size == 1)) & (start + size > seen))
             kept.append((word[e], start[e], start[e] + size, own[e]))
             self.cuts.append((edges + np.searchsorted(start[e], np.arange(longest + 1))).tolist())
             edges += len(e)
@@ -103,26 +106,46 @@ class Lattice:
             word, start, node = word[on], start[on], node[on]
         self.word, self.start, self.end, self.piece = (np.concatenate(x) for x in zip(*kept)) if kept else np.zeros((4, 0), np.int64)
 
-    def _sweep(self, p, starts, first, push: bool):
-        """Adds total * p along the edges, start by start; edges of one start and length are of different words."""
+    def forward(self, p, known: np.ndarray | None = None):
+        """(alpha, log scale): alpha[w, j] * exp(scale[w, j]) is the probability of all segmentations of the first j
+        letters, for each column of p (one row an edge). `known`: alpha of the first seen + 1 places, if any are seen."""
         total = np.zeros((self.words, int(self.ends.max(initial=0)) + 1, p.shape[1]))
-        total[np.arange(self.words), first] = 1.0
-        for i in starts(total.shape[1] - 1):
+        if known is None:
+            total[:, 0] = 1.0
+        else:
+            total[:, : self.seen + 1] = known
+        scale = np.zeros_like(total)
+        for i in range(total.shape[1] - 1):
+            if i > self.seen and i % SCALED == 0:
+                top = total[:, i : i + self.reach].max(1)
+                top[top == 0] = 1.0
+                total[:, i : i + self.reach] /= top[:, None]
+                scale[:, i:] += np.log(top)[:, None]
             for size, cut in enumerate(self.cuts, 1):
                 if cut[i] < cut[i + 1]:
                     e = slice(cut[i], cut[i + 1])
                     w = self.word[e]
-                    a, b = (i, i + size) if push else (i + size, i)
-                    total[w, b] += total[w, a] * p[e]
-        return total
-
-    def forward(self, p):
-        """alpha[w, j]: probability of all segmentations of the first j letters, for each column of p (one row an edge)."""
-        return self._sweep(p, range, np.zeros(self.words, np.int64), True)
+                    total[w, i + size] += total[w, i] * p[e]
+        return total, scale
 
     def backward(self, p):
-        """beta[w, j]: probability of all segmentations of the letters from j on."""
-        return self._sweep(p, lambda n: range(n - 1, -1, -1), self.ends, False)
+        """(beta, log scale) of all segmentations of the letters from j on."""
+        total = np.zeros((self.words, int(self.ends.max(initial=0)) + 1, p.shape[1]))
+        total[np.arange(self.words), self.ends] = 1.0
+        scale = np.zeros_like(total)
+        for i in range(total.shape[1] - 2, -1, -1):
+            for size, cut in enumerate(self.cuts, 1):
+                if cut[i] < cut[i + 1]:
+                    e = slice(cut[i], cut[i + 1])
+                    w = self.word[e]
+                    total[w, i] += total[w, i + size] * p[e]
+            if i and i % SCALED == 0:
+                top = total[:, i : i + self.reach].max(1)
+                top[top == 0] = 1.0
+                total[:, i : i + self.reach] /= top[:, None]
+                scale[:, i : i + self.reach] += np.log(top)[:, None]
+                scale[:, :i] = scale[:, i : i + 1]
+        return total, scale
 
 
 def _of_edges(table: np.ndarray, lattice: Lattice) -> np.ndarray:
@@ -130,52 +153,112 @@ def _of_edges(table: np.ndarray, lattice: Lattice) -> np.ndarray:
     return np.where((lattice.piece >= 0)[:, None], table[lattice.piece], UNKNOWN)
 
 
+def _grouped(lengths: np.ndarray, most: int | None = None):
+    """Places of words in groups of like length, whose lattices (of at most `most` letters a word) hold about CELLS letters."""
+    order, at = np.argsort(lengths, kind="stable"), 0
+    wide = np.minimum(lengths[order], most) if most else lengths[order]
+    while at < len(order):
+        size = np.arange(1, len(order) - at + 1) * wide[at:]
+        to = at + max(1, int(np.searchsorted(size, CELLS, "right")))
+        yield order[at:to]
+        at = to
+
+
+def _log_sums(words: list[str], trie: Trie, table: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language, STEP letters at a time; the sums at the last places, as many as a
+    piece is long, are carried on."""
+    out, lengths = np.zeros((len(words), table.shape[1])), np.array([len(w) for w in words])
+    live, at, known = np.arange(len(words)), 0, None
+    while len(live):
+        seen = min(at, trie.longest)
+        lattice = Lattice([words[k][at - seen : at + STEP] for k in live], trie, seen)
+        alpha, scale = lattice.forward(_of_edges(table, lattice), known)
+        row, end = np.arange(len(live)), lattice.ends
+        last = scale[row, end]
+        more = lengths[live] > at + STEP
+        out[live[~more]] += np.log(alpha[row, end])[~more] + last[~more]
+        at += STEP
+        if more.any():
+            # Those that go on all end at the same place.
+            span = slice(seen + STEP - min(at, trie.longest), seen + STEP + 1)
+            known = alpha[more, span] * np.exp(scale[more, span] - last[more][:, None])
+            top = known.max(1)
+            known /= top[:, None]
+            out[live[more]] += last[more] + np.log(top)
+        live = live[more]
+    return out
+
+
 def word_scores(words: list[str], path: str, table: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
-    if not words:
-        return np.zeros((0, table.shape[1]))
-    lattice = Lattice(words, vocabulary(path))
-    alpha = lattice.forward(_of_edges(table, lattice))
-    return np.log(np.maximum(alpha[np.arange(len(words)), lattice.ends], 1e-300))
+    """Log probability of each word in each language, over all its segmentations, however long it is."""
+    trie, out = vocabulary(path), np.zeros((len(words), table.shape[1]))
+    for own in _grouped(np.array([len(w) for w in words], np.int64), STEP):
+        out[own] = _log_sums([words[k] for k in own], trie, table)
+    return out
 
 
 def _expect_batches(batches, path: str, models):
     """Expected piece counts of (lang, word, n) rows under the languages' current probabilities."""
     tables, total = models.value, {}
     for batch in batches:
-        rows = [(lang, part, n) for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)) for part in runs_of(word)]
-        for at in range(0, len(rows), 2000):
-            some = rows[at : at + 2000]
-            lattice = Lattice([x[1] for x in some], vocabulary(path))
-            for lang in {x[0] for x in some}:
-                total.setdefault(lang, np.zeros(len(tables[None])))
-            of = [x[0] for x in some]
+        langs, words, counts = (batch[c].to_pylist() for c in ("lang", "word", "n"))
+        for lang in set(langs):
+            total.setdefault(lang, np.zeros(len(tables[None])))
+        for own in _grouped(np.array([len(w) for w in words], np.int64)):
+            lattice = Lattice([words[k] for k in own], vocabulary(path))
+            of, row = np.array([langs[k] for k in own], object), np.arange(len(own))
             p = np.full((len(lattice.word), 1), UNKNOWN)
-            own = {lang: np.array([x == lang for x in of])[lattice.word] & (lattice.piece >= 0) for lang in set(of)}
-            for lang, e in own.items():
+            edges = {lang: (of == lang)[lattice.word] & (lattice.piece >= 0) for lang in set(of)}
+            for lang, e in edges.items():
                 p[e, 0] = tables.get(lang, tables[None])[lattice.piece[e]]
-            alpha, beta = lattice.forward(p)[:, :, 0], lattice.backward(p)[:, :, 0]
-            whole = np.maximum(alpha[np.arange(len(some)), lattice.ends], 1e-300)
-            share = np.array([x[2] for x in some])[lattice.word] * alpha[lattice.word, lattice.start] * p[:, 0] * beta[lattice.word, lattice.end] / whole[lattice.word]
-            for lang, e in own.items():
+            (alpha, up), (beta, down) = ((x[:, :, 0] for x in both) for both in (lattice.forward(p), lattice.backward(p)))
+            whole = np.log(alpha[row, lattice.ends]) + up[row, lattice.ends]
+            w, i, j = lattice.word, lattice.start, lattice.end
+            share = np.array([counts[k] for k in own])[w] * alpha[w, i] * p[:, 0] * beta[w, j] * np.exp(up[w, i] + down[w, j] - whole[w])
+            for lang, e in edges.items():
                 total[lang] += np.bincount(lattice.piece[e], share[e], len(total[lang]))
     rows = [(lang, int(k), float(x[k])) for lang, x in total.items() for k in np.flatnonzero(x)]
     columns = list(zip(*rows)) or [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], ["lang", "piece", "x"])
 
 
+def _count_batches(batches):
+    """Counts of the words, each after a mark of its start, in (lang, text) rows."""
+    for batch in batches:
+        count: Counter = Counter()
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+            count.update((lang, "▁" + w) for w in LETTERS.findall(text.lower()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(count.values(), pa.float64())], ["lang", "word", "n"])
+
+
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text) of about `per_language` documents of each language, those of least hash; rows of the same text and doc_id count once.
+
+    Languages are counted first; then only hashes below a threshold that lets through four times as many documents as
+    wanted are ranked, and texts are read for those that are picked.
+    """
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    marks = durable(rows.select("lang", "mark").distinct())
+    share = F.shiftrightunsigned("mark", 1) / float(1 << 63)
+    counts = marks.groupBy("lang").agg((4.0 * per_language / F.count("*")).alias("share"))
+    near = marks.join(counts, "lang").where(share <= F.col("share"))
+    order = F.row_number().over(W.partitionBy("lang").orderBy(share, "mark"))
+    picked = durable(near.withColumn("order", order).where(F.col("order") <= per_language).select("lang", "mark"))
+    small = F.broadcast(picked) if picked.count() <= BROADCAST else picked
+    return rows.join(small, ["lang", "mark"]).dropDuplicates(["lang", "mark"]).select("lang", "text")
+
+
 def train(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Piece probabilities of each language from (doc_id, text, lang) rows; those without a text or language don't count.
 
     The driver holds one number for each language and piece of the vocabulary.
     """
     spark = labelled.sparkSession
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = labelled.where("text is not null and lang is not null").select("lang", "doc_id", "text").withColumn("order", order).where(F.col("order") <= per_language)
-    words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    words = sample(labelled, per_language).mapInArrow(_count_batches, "lang string, word string, n double")
     # Few bytes but long work for each, so the words are dealt out evenly.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = durable(words.groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).repartition(parts))
+    counts = durable(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(parts))
     size = vocabulary(path).pieces
     models: dict = {None: np.full(size, 1.0 / size)}
     for _ in range(rounds):
@@ -197,7 +280,7 @@ class _Known:
         self.letters = np.zeros(len(self.score), bool)
 
     def add(self, words: list[str], path: str, table: np.ndarray):
-        parts = [(k, run) for k, w in enumerate(words) for letters in ([w] if w.isalpha() else LETTERS.findall(w)) for run in runs_of(letters)]
+        parts = [(k, "▁" + letters) for k, w in enumerate(words) for letters in ([w] if w.isalpha() else LETTERS.findall(w))]
         at = len(self.place)
         if at + len(words) > len(self.score):
             self.score = np.vstack([self.score, np.zeros((len(words), table.shape[1]))])
@@ -205,8 +288,7 @@ class _Known:
         self.score[at : at + len(words)], self.letters[at : at + len(words)] = 0, False
         if parts:
             of = np.array([k for k, _ in parts])
-            for i in range(0, len(parts), 4000):
-                np.add.at(self.score, at + of[i : i + 4000], word_scores([r for _, r in parts[i : i + 4000]], path, table))
+            np.add.at(self.score, at + of, word_scores([r for _, r in parts], path, table))
             self.letters[at + of] = True
         self.place.update(zip(words, range(at, at + len(words))))
 
@@ -252,15 +334,18 @@ def predict(docs: DataFrame, models: dict[str, np.ndarray], path: str) -> DataFr
     return docs.select(F.struct("*").alias("row"), "text").mapInArrow(run, schema)
 
 
-def split(docs: DataFrame):
-    """True where a document is held out of training."""
-    return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 4 == 2
+def split(doc_id: Column) -> Column:
+    """True where a document is held out of training; a null doc_id never is."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """predict() of all documents, trained on the labelled ones that aren't held out."""
+    """predict() of all documents, trained on the labelled ones that aren't held out; a null doc_id isn't.
+
+    Where no document is labelled, all are `und`. An empty table gives no rows.
+    """
     path = path or public_vocabulary()
-    return predict(docs, train(docs.where(~split(docs)).select("doc_id", "text", "lang"), path), path)
+    return predict(docs, train(docs.where(~split(F.col("doc_id"))).select("doc_id", "text", "lang"), path), path)
 
 
 def keep_identified(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -269,6 +354,6 @@ def keep_identified(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = identify(docs)
-    return out.select("row.doc_id", (F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    """doc_id, held_out, lang_pred, score of every document; see predict() and split() for nulls, empty texts and repeats."""
+    out = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("row.doc_id", split(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
