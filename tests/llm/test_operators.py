@@ -197,25 +197,6 @@ def test_preferences(spark):
     assert preferences.format_pairs(a.limit(0), b.limit(0)).count() == 0
 
 
-def test_nearest(spark):
-    x = np.random.default_rng(1).normal(size=(600, 16)).round(3)
-    x[100:140] = x[100]
-    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (None, [1.0] * 16, 1)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {}
-    for r in ann.search(d, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
-    assert len(got) == 30
-    hits = 0
-    for q, found in got.items():
-        s = x @ x[q]
-        order = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]
-        hits += len({v for _, v in found} & set(order))
-        assert [r for r, _ in sorted(found)] == list(range(1, 21))
-    assert hits / 600 >= 0.9
-    assert ann.search(d.limit(0), F.lit(True)).count() == 0
-
-
 def test_packing(spark, odd, empty):
     rows = packing.pack(odd, size=64).collect()
     by = {}

@@ -1,18 +1,18 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees split a bounded sample of the vectors by hyperplanes between two random members until leaves hold `leaf`
-sample rows (fewer in a small table); every vector is then indexed by its leaf in each tree. A query walks all trees through one priority
-queue, nearest hyperplane margin first, until the leaves it has opened hold the wanted share of the vectors. The
-vectors in those leaves are ranked exactly on the original vectors.
+sample rows (fewer in a small table); every vector is then indexed by its leaf in each tree. A query walks all trees
+through one priority queue, nearest hyperplane margin first, until the leaves it has opened hold the wanted share of the
+vectors and more than k of them. Index and opened leaves are joined on (tree, leaf), and a leaf's vectors are ranked
+exactly for the queries that opened it.
 """
 
 from __future__ import annotations
 
 import heapq
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import durable, table
 
-#: Bounds of what the driver fits trees on and of the rows compared in one piece.
-SAMPLE, SHARD, QUERIES = 10_000, 12_288, 512
+#: Bounds of what the driver fits trees on, and of the rows and queries of a leaf that are compared in one piece.
+SAMPLE, SHARD, QUERIES = 10_000, 8192, 2048
 
 
 def build_tree(s: np.ndarray, leaf: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -60,18 +60,21 @@ def leaf_of(tree, x: np.ndarray) -> np.ndarray:
     return -at - 1
 
 
-def walk(trees, sizes, margins, wanted: float) -> list[list[int]]:
-    """Leaves to open in each tree for one query; margins: its distances to each tree's hyperplanes."""
+def walk(trees, counts, total: int, margins, wanted: float, least: int) -> list[list[int]]:
+    """Leaves to open in each tree for one query; margins: its distances to each tree's hyperplanes.
+
+    Goes on until the share is reached and one tree's opened leaves hold `least` vectors, or all are open.
+    """
     heap = [(0.0, t, tree["root"]) for t, tree in enumerate(trees)]
     opened: list[list[int]] = [[] for _ in trees]
-    missed, total = 1.0, [0.0] * len(trees)
-    while heap and 1 - missed < wanted:
+    missed, held = 1.0, [0] * len(trees)
+    while heap and (1 - missed < wanted or max(held) < least):
         far, t, k = heapq.heappop(heap)
         if k < 0:
             opened[t].append(-k - 1)
-            total[t] += sizes[t][-k - 1]
+            held[t] += counts[t][-k - 1]
             # Shares of different trees overlap as if they were independent.
-            missed = float(np.prod([1 - x for x in total]))
+            missed = float(np.prod([1 - x / total for x in held]))
             continue
         d = margins[t][k]
         low, high = trees[t]["children"][k]
@@ -81,95 +84,116 @@ def walk(trees, sizes, margins, wanted: float) -> list[list[int]]:
     return opened
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def _index_batches(batches, forest):
     trees = forest.value
     for b in batches:
         if len(b):
-            x = np.array(b["vector"].to_pylist(), float)
+            x = _matrix(b["vector"])
             leaves = np.stack([leaf_of(t, x) for t in trees], 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["vec_id"], b["vector"], pa.array(leaves.tolist(), pa.list_(pa.int32()))], ["vec_id", "vector", "leaves"])
 
 
-def _route_batches(batches, forest, shares, wanted: float):
-    trees, sizes = forest.value, shares.value
+def _route_batches(batches, forest, members, counts, total: int, k: int, wanted: float):
+    """Opened leaves as (tree, leaf) and `low`, the k-th best score among the sample's vectors in these leaves.
+
+    At least k vectors that the query will meet score `low` or more, so the leaves need not give any below it.
+    """
+    trees, (ids, s, leaves) = forest.value, members.value
     for b in batches:
-        if len(b):
-            x = np.array(b["vector"].to_pylist(), float)
-            margins = [x @ t["normals"].T - t["offsets"] for t in trees]
-            opened = [walk(trees, sizes, [m[i] for m in margins], wanted) for i in range(len(x))]
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["vector"], pa.array(opened, pa.list_(pa.list_(pa.int32())))], ["query_id", "vector", "opened"])
+        if not len(b):
+            continue
+        x = _matrix(b["vector"])
+        margins = [x @ t["normals"].T - t["offsets"] for t in trees]
+        opened, lows = [], []
+        for i, query in enumerate(b["vec_id"].to_pylist()):
+            own = walk(trees, counts.value, total, [m[i] for m in margins], wanted, k + 1)
+            seen = np.logical_or.reduce([np.isin(leaves[t], o) for t, o in enumerate(own)]) & (ids != query)
+            score = s[seen] @ x[i]
+            lows.append(float(np.partition(score, -k)[-k]) if len(score) >= k else -np.inf)
+            opened.append([{"tree": t, "leaf": leaf} for t, o in enumerate(own) for leaf in o])
+        kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([b["vec_id"], b["vector"], pa.array(lows), pa.array(opened, kind)], ["query_id", "vector", "low", "opened"])
 
 
 def _best(qs: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """The k best rows of this piece of the index for each of these queries."""
-    out: list[tuple] = []
+    """Of one piece of a leaf, the k best rows for each of these queries, none below the query's `low`."""
+    query, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if len(rows) and len(qs):
-        ids = rows["vec_id"].to_numpy()
-        x = np.array(rows["vector"].to_pylist(), float)
-        leaves = np.array(rows["leaves"].to_pylist())
-        members = [pd.Series(np.arange(len(ids))).groupby(leaves[:, t]).indices for t in range(leaves.shape[1])]
-        q = np.array(qs["vector"].to_pylist(), float)
+        ids, queries, x, q = rows["vec_id"].to_numpy(), qs["query_id"].to_numpy(), _matrix(rows["vector"]), _matrix(qs["vector"])
         scores = q @ x.T
-        for i, (query, opened) in enumerate(zip(qs["query_id"].to_pylist(), qs["opened"].to_pylist())):
-            seen = np.zeros(len(ids), bool)
-            for t, own in enumerate(opened):
-                for leaf in own:
-                    if leaf in members[t]:
-                        seen[members[t][leaf]] = True
-            at = np.flatnonzero(seen & (ids != query))
-            s = scores[i, at]
-            if len(at) > k:
-                at = at[s >= np.partition(s, -k)[-k] - 1e-9]
-            exact = (x[at] * q[i]).sum(1)
-            best = np.lexsort((ids[at], -exact))[:k]
-            out += zip([query] * len(best), ids[at[best]].tolist(), exact[best].tolist())
-    columns = list(zip(*out)) or [[], [], []]
-    return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, n_trees: int = 16, leaf: int = 40, wanted: float = 0.6, sample: int = SAMPLE, seed: int = 1) -> DataFrame:
+        low = qs["low"].to_numpy() - 1e-9
+        if len(ids) > k:
+            low = np.maximum(low, np.partition(scores, -k - 1, axis=1)[:, -k - 1] - 1e-9)
+        i, j = np.nonzero((scores >= low[:, None]) & (queries[:, None] != ids))
+        query, vec, score = queries[i], ids[j], (x[j] * q[i]).sum(1)
+    return pa.table({"query_id": query, "vec_id": vec, "score": score})
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, n_trees: int = 16, leaf: int = 40, wanted: float = 0.5, sample: int = SAMPLE, seed: int = 1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, best first, ties to the smaller vec_id.
 
     `vectors` has vec_id and embedding; `is_query` is a Column over it. Vectors that are null, empty, zero or hold a
-    null or non-finite component take no part, nor do rows of null vec_id; a length other than the most frequent one
-    is left out too. Of equal vectors only the k + 1 smallest vec_ids can ever be among a query's k nearest, so the
-    others need no place in the index as candidates; all of them may be queries. Rows that repeat a vec_id count once.
-    The index is dealt in shards by hash and the queries in blocks; each piece returns k rows for a query.
+    null or non-finite component take no part, nor do rows of null vec_id; a vector meets those of its length only. A
+    query gets k rows, or all candidates if there are fewer. Of equal vectors only the k + 1 smallest vec_ids can ever
+    be among a query's k nearest, so the others need no place in the index; all of them may be queries. Of rows that
+    repeat a vec_id the least vector counts. Other columns are not read.
     """
-    spark = vectors.sparkSession
     v = F.transform("embedding", lambda c: c.cast("double"))
     ok = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))) & F.exists(v, lambda c: c != 0)
-    clean = vectors.where(F.col("vec_id").isNotNull() & ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"), is_query.alias("is_query"))
-    size = clean.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if size is None:
-        return spark.createDataFrame([], schema)
-    clean = clean.where(F.size("vector") == size["d"])
-    n = size["count"]
+    # Vectors keep their own type, which may be half as wide.
+    clean = vectors.where(F.col("vec_id").isNotNull() & ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), is_query.alias("is_query"))
+    clean = durable(clean.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("is_query").alias("is_query")))
+    lengths = [r[0] for r in clean.select(F.size("vector")).distinct().orderBy(F.size("vector")).collect()]
+    found = [_search(clean.where(F.size("vector") == d), k, n_trees, leaf, wanted, sample, seed) for d in lengths]
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(clean: DataFrame, k: int, n_trees: int, leaf: int, wanted: float, sample: int, seed: int) -> DataFrame:
+    spark = clean.sparkSession
+    kind = dict(clean.dtypes)["vector"]
     first = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
-    distinct = clean.select("vec_id", "vector").dropDuplicates(["vec_id"]).withColumn("copy", first).where(f"copy <= {k + 1}").drop("copy")
-    picked = clean.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("vector").dropDuplicates(["vector"]).orderBy("vector").toPandas()["vector"]
-    s, rng = np.array(picked.tolist(), float), np.random.default_rng(seed)
+    distinct = clean.select("vec_id", "vector").withColumn("copy", first).where(f"copy <= {k + 1}")
+    picked = distinct.where("copy = 1").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("vec_id", "vector").orderBy("vec_id").toPandas()
+    ids, s, rng = picked["vec_id"].to_numpy(), np.array(picked["vector"].tolist(), float), np.random.default_rng(seed)
     leaf = max(2, min(leaf, len(s) // 64))
-    forest = spark.sparkContext.broadcast([build_tree(s, leaf, rng) for _ in range(n_trees)])
-    index = durable(distinct.mapInArrow(partial(_index_batches, forest=forest), "vec_id long, vector array<double>, leaves array<int>"))
-    counts = index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect()  # trees x leaves rows
-    total = sum(r["count"] for r in counts) / n_trees
-    shares = [np.zeros(t["leaves"]) for t in forest.value]
-    for r in counts:
-        shares[r["tree"]][r["leaf"]] = r["count"] / total
+    trees = [build_tree(s, leaf, rng) for _ in range(n_trees)]
+    forest = spark.sparkContext.broadcast(trees)
+    members = spark.sparkContext.broadcast((ids, s, [leaf_of(t, s) for t in trees]))
+    index = durable(distinct.select("vec_id", "vector").mapInArrow(partial(_index_batches, forest=forest), f"vec_id long, vector {kind}, leaves array<int>"))
+    placed = index.select("vec_id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
+    counts = [np.zeros(t["leaves"], np.int64) for t in trees]
+    for r in placed.groupBy("tree", "leaf").count().collect():  # trees x leaves rows
+        counts[r["tree"]][r["leaf"]] = r["count"]
+    total = int(counts[0].sum())
     # Queries are few bytes and long walks, so they are dealt out before.
-    asked = clean.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "vector").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
-    routed = asked.mapInArrow(partial(_route_batches, forest=forest, shares=spark.sparkContext.broadcast(shares), wanted=wanted), "query_id long, vector array<double>, opened array<array<int>>")
-    n_shards, n_blocks = -(-n // SHARD), -(-asked.count() // QUERIES) or 1
-    here = lambda c, m: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    pieces = index.select("vec_id", "vector", "leaves", here("vec_id", n_shards).alias("shard"), every(n_blocks).alias("block"))
-    blocks = durable(routed).select("query_id", "vector", "opened", here("query_id", n_blocks).alias("block"), every(n_shards).alias("shard"))
-    found = blocks.groupBy("shard", "block").cogroup(pieces.groupBy("shard", "block")).applyInArrow(partial(_best, k=k), "query_id long, vec_id long, score double")
+    asked = clean.where("is_query").select("vec_id", "vector").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    route = partial(_route_batches, forest=forest, members=members, counts=spark.sparkContext.broadcast(counts), total=total, k=k, wanted=wanted)
+    routed = durable(asked.mapInArrow(route, f"query_id long, vector {kind}, low double, opened array<struct<tree: int, leaf: int>>"))
+    opened = routed.select("query_id", "vector", "low", F.explode("opened").alias("at")).select("query_id", "vector", "low", "at.tree", "at.leaf")
+    # Large leaves, and leaves that many queries opened, are dealt in pieces; one row for each tree and leaf.
+    pieces = [
+        (r["tree"], r["leaf"], -(-int(counts[r["tree"]][r["leaf"]]) // SHARD), -(-r["count"] // QUERIES))
+        for r in opened.groupBy("tree", "leaf").count().collect()
+    ]
+    pieces = F.broadcast(spark.createDataFrame(pieces, "tree int, leaf int, n_rows int, n_queries int"))
+    mine = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["tree", "leaf", "p", "q"]
+    left = opened.join(pieces, ["tree", "leaf"]).where("n_rows > 0").select("query_id", "vector", "low", "tree", "leaf", every("n_rows").alias("p"), mine("query_id", "n_queries").alias("q"))
+    right = placed.join(pieces, ["tree", "leaf"]).select("vec_id", "vector", "tree", "leaf", mine("vec_id", "n_rows").alias("p"), every("n_queries").alias("q"))
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(partial(_best, k=k), "query_id long, vec_id long, score double")
+    # A vector may come from several trees.
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of every twentieth vec_id; see search() for nulls, zeros, ties and small tables."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
