@@ -161,7 +161,7 @@ def test_classlm(spark, odd, empty):
     d = docs_of(spark, [" ".join(["the", "cat", "sat"] * (i % 5 + 1)) for i in range(30)])
     rows = classlm.score(d, F.col("doc_id") % 5 == 1, classes=4).collect()
     assert len(rows) == 30 and all(r.n_tokens == 3 * (r.doc_id % 5 + 1) + 1 == r.n_known and r.score > r.base_score for r in rows)
-    assert classlm.score(odd, F.lit(False), classes=4).count() == odd.count()
+    assert classlm.score(odd, F.lit(False), classes=4, sweeps=2).count() == odd.count()
     assert classlm.score(odd, F.lit(True), classes=4).count() == odd.count()
     assert classlm.score(empty, F.lit(False), classes=4).count() == 0
 
