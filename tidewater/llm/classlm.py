@@ -148,8 +148,15 @@ def moved(after: np.ndarray, before: np.ndarray, own: np.ndarray, cls: np.ndarra
     Class counts follow each move; a unit's neighbours are those counted before the first.
     """
     cls, n = cls.copy(), transitions(after, cls)
-    classes = after.shape[1] - 1
+    classes, fn = after.shape[1] - 1, _f(n)
     d = np.arange(classes)
+
+    def shift(k, out, into, self_, sign):
+        n[k] += sign * out
+        n[:, k] += sign * into
+        n[k, k] += sign * self_
+        fn[k], fn[:, k] = _f(n[k]), _f(n[:, k])
+
     for u in np.argsort(-after[:-1].sum(1), kind="stable"):
         out, into, self_ = after[u].astype(float), before[u].astype(float), float(own[u])
         if not out.sum() + into.sum():
@@ -157,19 +164,17 @@ def moved(after: np.ndarray, before: np.ndarray, own: np.ndarray, cls: np.ndarra
         a = cls[u]
         out[a] -= self_
         into[a] -= self_
-        n[a] -= out
-        n[:, a] -= into
-        n[a, a] -= self_
+        shift(a, out, into, self_, -1)
         rows, cols = n.sum(1)[:classes], n.sum(0)[:classes]
-        gain = (_f(n[:classes] + out) - _f(n[:classes])).sum(1) + (_f(n.T[:classes] + into) - _f(n.T[:classes])).sum(1)
+        # Only classes that the unit meets change.
+        x, y = np.flatnonzero(out), np.flatnonzero(into)
+        gain = (_f(n[:classes, x] + out[x]) - fn[:classes, x]).sum(1) + (_f(n[y, :classes] + into[y, None]) - fn[y, :classes]).sum(0)
         corner = n[d, d]
-        gain += _f(corner + out[d] + into[d] + self_) - _f(corner + out[d]) - _f(corner + into[d]) + _f(corner)
+        gain += _f(corner + out[d] + into[d] + self_) - _f(corner + out[d]) - _f(corner + into[d]) + fn[d, d]
         gain -= _f(rows + out.sum() + self_) - _f(rows) + _f(cols + into.sum() + self_) - _f(cols)
         b = int(np.argmax(gain))
         b = a if gain[b] <= gain[a] + 1e-9 else b
-        n[b] += out
-        n[:, b] += into
-        n[b, b] += self_
+        shift(b, out, into, self_, 1)
         cls[u] = b
     return cls
 
