@@ -40,5 +40,5 @@ def test_chain_and_star(spark):
 def test_join_hot_equals_join(spark):
     rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("k"), "id")
     keyed = rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("k <> 4")
-    got, want = graph.join_hot(rows, keyed, "k"), rows.join(keyed.drop("n"), "k")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and "Union" in got._jdf.queryExecution().toString()
+    got, want = graph.join_hot(rows, keyed, "k", ["id"]), rows.join(keyed.drop("n"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and "hot_part" in got._jdf.queryExecution().toString()

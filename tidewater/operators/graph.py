@@ -40,18 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, by: list[str]) -> DataFrame:
     """rows.join(keyed, key) for `keyed` of one row a key with a column n, the key's count of `rows`; n is dropped.
 
-    Hot keys, at most HOT_KEYS, are broadcast, so their rows stay where they are; the others are shuffled.
+    A hot key's rows are dealt by the columns `by` over as many parts as it has limits of rows, and its row of `keyed`
+    is copied to each. Only the numbers of parts of hot keys, at most HOT_KEYS of them, are broadcast.
     """
-    total = keyed.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
-    few = keyed.where(hot).drop("n")
-    if not few.limit(1).count():
+    limit = max(HOT_ROWS, (keyed.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = keyed.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("hot_parts"))
+    if not hot.limit(1).count():
         return rows.join(keyed.drop("n"), key)
-    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.where(~hot).drop("n"), key)
-    return cold.unionByName(rows.join(F.broadcast(few), key))
+    part = F.pmod(F.xxhash64(*by), F.coalesce("hot_parts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("hot_part", part).drop("hot_parts")
+    parts = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1).cast("int")
+    copied = keyed.withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copied, [key, "hot_part"]).drop("hot_part")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,12 +78,12 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # With few edges a hub is small too, and splitting it costs more than it saves.
         split = before[0] > SPLIT_EDGES
-        join = join_hot if split else lambda rows, keyed, key: rows.join(keyed.drop("n"), key)
+        join = (lambda rows, keyed: join_hot(rows, keyed, "u", ["v"])) if split else (lambda rows, keyed: rows.join(keyed.drop("n"), "u"))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = least_of(both, split).withColumn("m", F.least("u", "m"))
-        large = join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "components") if split else large
-        small = join(large, least_of(large, split), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = join(large, least_of(large, split)).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = stored(small.where("u <> v").distinct(), "components")
         after = mark(now)
         if after == before:
