@@ -235,7 +235,7 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, sweeps: int = SWEEP
     tokens, types = np.zeros(end + 1, np.int64), np.zeros(end + 1, np.int64)
     for r in counts.where("c > 0").groupBy("unit").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():  # one row a unit
         tokens[r["unit"]], types[r["unit"]] = r["tokens"], r["types"]
-    met = join_hot(listed.select(F.col("block").alias("of"), "idx", "h"), counts, "h").select("of", "idx", "c", "unit")
+    met = join_hot(listed.select(F.col("block").alias("of"), "idx", "h"), counts, "h", ["of"]).select("of", "idx", "c", "unit")
     encode = partial(_encode, tokens=int(tokens.sum()), types=int(types.sum()))
     encoded = stored(coded.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(encode, _DOCS), "lm-docs")
     cls, n = exchange(encoded, tokens, classes, sweeps)

@@ -213,8 +213,8 @@ def near_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     roots = components(near_edges(nodes.select(F.col("fp").alias("id"), "fp"), max_bits))
     rooted = durable(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    named = durable(join_hot(rooted.withColumnRenamed("n", "copies"), heads, "root"))
-    return join_hot(fps, named.select("fp", "component_id", F.col("copies").alias("n")), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = durable(join_hot(rooted.withColumnRenamed("n", "copies"), heads, "root", ["fp"]))
+    return join_hot(fps, named.select("fp", "component_id", F.col("copies").alias("n")), "fp", ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _normal_id(text: bytes | None) -> int:
