@@ -40,20 +40,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """rows.join(keyed, key) for `keyed` of one row a key with a column n, the key's count of `rows`; n is dropped.
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, by: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """rows.join(keyed, key) for `keyed` of one row a key; `counts` (key, n) says how many of `rows` a key has.
 
-    A hot key's rows are dealt by the columns `by` over as many parts as it has limits of rows, and its row of `keyed`
-    is copied to each. Only the numbers of parts of hot keys, at most HOT_KEYS of them, are broadcast.
+    Without `counts` n is a column of `keyed`, which is dropped. A hot key's rows are dealt by the columns `by` over as
+    many parts as it has limits of rows, and its row of `keyed` is copied to each. Only the numbers of parts of hot
+    keys, at most HOT_KEYS of them, are broadcast.
     """
-    limit = max(HOT_ROWS, (keyed.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = keyed.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("hot_parts"))
-    if not hot.limit(1).count():
+    counts = keyed.select(key, "n") if counts is None else counts
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
         return rows.join(keyed.drop("n"), key)
-    part = F.pmod(F.xxhash64(*by), F.coalesce("hot_parts", F.lit(1))).cast("int")
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("hot_part", part).drop("hot_parts")
-    parts = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1).cast("int")
-    copied = keyed.withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("hot_parts")))
+    parts = F.coalesce("hot_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("hot_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("hot_parts")
+    copied = keyed.drop("n").join(hot, key, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
     return dealt.join(copied, [key, "hot_part"]).drop("hot_part")
 
 
