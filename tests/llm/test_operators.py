@@ -148,8 +148,18 @@ def test_op4_mixing_takes_documents_through_positions(spark, tmp_path, monkeypat
     monkeypatch.setattr(mixing, "positions", lambda p, f=mixing.positions: seen.append(1) or f(p))
     got = mixing.op4_mixing(spark, str(tmp_path))
     planned = mixing.plan(mixing.table(spark, str(tmp_path), "documents"))
-    assert seen and got.columns == ["doc_id", "size", "source_size", "target", "taken"]
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, planned.select(*got.columns).collect()))
+    assert seen and got.columns == ["doc_id", "size", "source_size", "target", "taken", "copies", "first_position"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(map(tuple, planned.select(*got.columns[:5]).collect()))
+    import duckdb
+
+    con = duckdb.connect()
+    once = mixing.table(spark, str(tmp_path), "documents").where("doc_id not in (5, 202)")
+    once.write.parquet(f"{tmp_path}/once/documents.parquet")
+    con.sql(f"create view documents as select * from '{tmp_path}/once/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, size, source_size, target, taken, copies, first_position from ({mixing.OP4_SQL})").fetchall()
+    order = mixing.op4_mixing(spark, f"{tmp_path}/once").collect()
+    assert sorted(map(tuple, order)) == sorted(want)
+    assert [r.first_position or 0.0 for r in order] == sorted(r.first_position or 0.0 for r in order)
     copies = mixing.in_training_order(planned)
     full = mixing.taken_of(planned, copies).collect()
     assert all((r.first_position is None) == (r.taken == 0) for r in full) and any(r.first_position for r in full)

@@ -93,7 +93,7 @@ def in_training_order(planned: DataFrame) -> DataFrame:
 
 
 def taken_of(planned: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of plan() with taken (words of all copies) and first_position from the copies; documents without a copy have 0 and null.
+    """The rows of plan() with taken (words of all copies), copies and first_position from the copies; documents without a copy have 0 and null.
 
     Rows that are equal in doc_id, source and text share their copies by their place in the source's line.
     """
@@ -101,11 +101,11 @@ def taken_of(planned: DataFrame, copies: DataFrame) -> DataFrame:
     dealt = copies.select(*key, "words", "position", F.lit(1).alias("is_copy"), "source_size", "target")
     own = planned.select(*key, F.lit(0).cast("long").alias("words"), F.lit(None).cast("double").alias("position"), F.lit(0).alias("is_copy"), "source_size", "target")
     both = own.union(dealt).groupBy(*key).agg(
-        F.sum(1 - F.col("is_copy")).alias("rows"), F.sum("words").cast("long").alias("all_words"), F.min("position").alias("first_position"),
+        F.sum(1 - F.col("is_copy")).alias("rows"), F.sum("is_copy").alias("copies"), F.sum("words").cast("long").alias("all_words"), F.min("position").alias("first_position"),
         F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     # Rows of one key have size 0 or are one row, since the place grows by the size.
     each = both.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", "size", "source", "source_size", "target", F.col("all_words").alias("taken"), "first_position")
+    return each.select("doc_id", "size", "source", "source_size", "target", F.col("all_words").alias("taken"), "copies", "first_position")
 
 
 def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, cycle=CYCLE) -> DataFrame:
@@ -126,25 +126,33 @@ def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, cycle=CYCLE) ->
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of each document, by way of its copies in training order; the SQL has no column for their positions."""
+    """doc_id, size, source_size, target, taken, copies, first_position (0..1 along training, null without a copy), in training order.
+
+    Words and positions are those of the copies as a training run reads them; see plan() for nulls, empty texts and
+    repeats, and taken_of() for documents that nothing is taken of.
+    """
     planned = stored(plan(table(spark, sf_dir, "documents")), "planned")
     copies = stored(in_training_order(planned), "positions")
-    return taken_of(planned, copies).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_of(planned, copies).drop("source").orderBy("first_position", "doc_id")
 
 
 OP4_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, md5(coalesce(doc_id::varchar, '')) line from documents),
 per as (select source, sum(size)::bigint source_size from d group by source),
 placed as (select *, (row_number() over (order by source nulls last) - 1) % 3 place from per),
-rated as (select source, source_size, case place when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end weight, source_size * 2.0::double cap from placed),
+rated as (select source, place, source_size, case place when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end weight, source_size * 2.0::double cap from placed),
 levels as (select *, coalesce(sum(cap) over b, 0) filled, sum(weight) over () - coalesce(sum(weight) over b, 0) unfilled, (sum(source_size) over ())::double * 1.5::double everything
   from rated window b as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 water as (select *, max(case when (everything - filled) / unfilled * weight <= cap then (everything - filled) / unfilled end) over () w from levels),
-targets as (select source, source_size, least(cap, coalesce(w * weight, cap)) target from water),
-placed_d as (select d.*, t.source_size, t.target, coalesce(sum(size) over (partition by d.source order by line, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint spot
-  from d join targets t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
+targets as (select source, source_size, least(cap, coalesce(w * weight, cap)) target, case place when 0 then -4.0::double / 10 when 1 then 0.0::double else 1.0::double / 2 end slope from water),
+placed_d as (select d.*, t.source_size, t.target, t.slope, coalesce(sum(size) over (partition by d.source order by line, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint spot
+  from d join targets t on d.source is not distinct from t.source),
+counted as (select *,
   ((floor(target)::bigint // greatest(source_size, 1)) * size
-   + least(greatest(floor(target)::bigint - (floor(target)::bigint // greatest(source_size, 1)) * greatest(source_size, 1) - spot, 0), size))::bigint taken
-from placed_d
+   + least(greatest(floor(target)::bigint - (floor(target)::bigint // greatest(source_size, 1)) * greatest(source_size, 1) - spot, 0), size))::bigint taken,
+  least(spot / greatest(target, 1.0::double), 1.0::double) u from placed_d)
+select doc_id, size, source_size, target, taken, ceil(taken::double / greatest(size, 1))::bigint copies,
+  case when taken = 0 then null when slope = 0 then u
+    else (slope - 1 + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * u, 0.0::double))) / (2 * slope) end first_position
+from counted
 """
