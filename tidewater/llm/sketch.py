@@ -124,10 +124,11 @@ def compare_with_next(docs: DataFrame, width: int = 5, scale: int = SCALE) -> Da
     heads = spark.createDataFrame(to, "head long, before int")
     extra = dealt.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")))
     both = dealt.select("bucket", F.lit(0).alias("copied"), "doc_id", "text", "mark").union(extra.select(F.col("before").alias("bucket"), F.lit(1).alias("copied"), "doc_id", "text", "mark"))
-    ordered = both.repartition(n, "bucket").sortWithinPartitions("bucket", "copied", F.col("doc_id").asc_nulls_first(), "mark")
+    ordered = both.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "copied", F.col("doc_id").asc_nulls_first(), "mark")
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("bucket", "copied", "doc_id", "text").mapInArrow(partial(_compare_batches, width=width, scale=scale), out)
 
 
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of compare_with_next() for all documents; see there for nulls, empty texts and repeated doc_ids."""
     return compare_with_next(table(spark, sf_dir, "documents"))
