@@ -23,3 +23,16 @@ def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def rolled_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Like shingle_hashes(), but rolled from one XXH64 for each word; a text of fewer words gives none."""
+    words = text.lower().split() if text else []
+    if len(words) < width:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h, n = w[: len(w) - width + 1].copy(), len(w) - width + 1
+    for k in range(1, width):
+        h ^= h >> np.uint64(29)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+    return h ^ (h >> np.uint64(32))
