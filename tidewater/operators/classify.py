@@ -12,13 +12,14 @@ from tidewater.config import Rules
 from tidewater.operators import profile as P
 
 
-def event_features(split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+def event_features(split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules, rows: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, ts, rating, period, label, f1, f2, genres, age_code, gender, occupation): user mean (else the global
     mean), log1p of the item's count, genre flags in name order, age ordinal (missing as 35), gender (missing as M), occupation
-    (missing as 0). f1 of a train event contains its own label. Joins are left to the planner's size checks."""
+    (missing as 0). f1 of a train event contains its own label. Features are those of `rows`, the events of split unless given;
+    statistics are always of split's train events. Joins are left to the planner's size checks."""
     stats, counts, mean = P.user_stats(split), P.item_stats(split), P.global_mean(split)
     # Attribute tables come deduplicated; a null-safe default follows each left join.
-    x = split.join(stats.select("user_id", "user_mean"), "user_id", "left").join(counts, "item_id", "left")
+    x = (split if rows is None else rows).join(stats.select("user_id", "user_mean"), "user_id", "left").join(counts, "item_id", "left")
     x = x.join(users.select("user_id", "gender", "age", "occupation"), "user_id", "left").join(items.select("item_id", F.col("genres").alias("names")), "item_id", "left").join(mean)
     genres = F.array(*[F.coalesce(F.array_contains("names", g), F.lit(False)).cast("int") for g in sorted(rules.genres)])
     ages = F.array(*[F.lit(int(a)) for a in rules.ages])
@@ -33,9 +34,9 @@ def cold_start_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("period").agg(*[F.count_if(c).alias(c) for c in ("cold_user", "cold_item", "no_demographics")])
 
 
-def standardize(features: DataFrame) -> DataFrame:
-    """f1, f2 less the train mean, over the population deviation of train events."""
-    train = features.where("period = 'train'").agg(*[g(c).alias(f"{n}_{c}") for c in ("f1", "f2") for n, g in (("m", F.avg), ("s", F.stddev_pop))])
+def standardize(features: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """f1, f2 less the train mean, over the population deviation of train events, those in features unless given."""
+    train = (features if train is None else train).where("period = 'train'").agg(*[g(c).alias(f"{n}_{c}") for c in ("f1", "f2") for n, g in (("m", F.avg), ("s", F.stddev_pop))])
     z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))
     return features.join(train).withColumns({"z1": z("f1"), "z2": z("f2")}).drop("m_f1", "s_f1", "m_f2", "s_f2")
 
@@ -113,3 +114,24 @@ def predict_status(pairs: DataFrame, split: DataFrame, users: DataFrame, items:
     notes = [(~has("ut"), "user_no_history"), (~has("it"), "item_cold"), (~has("ia"), "item_no_attributes"), (~has("ua"), "user_no_demographics")]
     text = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in notes])), ",")
     return x.select("user_id", "item_id", status.alias("status"), F.when(status == "ok", text).otherwise("").alias("notes"))
+
+
+def predict_pairs(model, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules, threshold: float = 0.5) -> DataFrame:
+    """predict_status() with prob and pred of the pairs whose status is ok; null for the others. Features are those of the train period."""
+    status = predict_status(pairs, split, users, items)
+    blank = lambda c, t: F.lit(None).cast(t).alias(c)
+    asked = status.where("status = 'ok'").select("user_id", "item_id", blank("ts", "long"), blank("rating", "int"), F.lit("asked").alias("period"))
+    known = event_features(split, users, items, rules, asked)
+    scaled = feature_vectors(standardize(known, event_features(split, users, items, rules)), rules)
+    prob = scored(model, scaled).select("user_id", "item_id", F.col("score").alias("prob"))
+    return status.join(prob, ["user_id", "item_id"], "left").withColumn("pred", (F.col("prob") >= threshold).cast("int"))
+
+
+def compare_models(models: dict, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+    """One row a pair: status, notes, prob_ and pred_ of each named model, and whether all models agree (null where none scores)."""
+    out = None
+    for name, model in models.items():
+        own = predict_pairs(model, pairs, split, users, items, rules).withColumnsRenamed({"prob": f"prob_{name}", "pred": f"pred_{name}"})
+        out = own if out is None else out.join(own.drop("status", "notes"), ["user_id", "item_id"])
+    preds = [F.col(f"pred_{n}") for n in models]
+    return out.withColumn("agree", F.when(preds[0].isNotNull(), F.size(F.array_distinct(F.array(*preds))) == 1))

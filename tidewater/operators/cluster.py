@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,9 +31,14 @@ def l2_normalize(cells: DataFrame) -> DataFrame:
     return cells.join(n, "user_id").select("user_id", "item_id", F.round(F.when(F.col("n") > 0, F.col("value") / F.col("n")).otherwise(0.0), 6).alias("value"))
 
 
-def kmeans_grid(rows: DataFrame, ks: list[int], n_init: int = 10, max_iter: int = 300) -> dict[int, DataFrame]:
+def kmeans_grid(rows: DataFrame, ks: list[int], n_init: int = 10, max_iter: int = 300) -> dict[int, tuple[DataFrame, float]]:
     """For each k the labels (id, x, cluster) and cost of the best of n_init seeds, fitted on the unit rows, zero rows included."""
-    data, out = durable(unit_rows(rows).withColumn("features", array_to_vector("x"))), {}
+    return fit_kmeans(durable(unit_rows(rows).withColumn("features", array_to_vector("x"))), ks, n_init, max_iter)
+
+
+def fit_kmeans(data: DataFrame, ks: list[int], n_init: int = 10, max_iter: int = 300) -> dict[int, tuple[DataFrame, float]]:
+    """The same for rows with a vector `features`, dense or sparse, scaled by the caller."""
+    out = {}
     for k in ks:
         fits = [KMeans(k=k, seed=s, maxIter=max_iter, predictionCol="cluster").fit(data) for s in range(n_init)]
         best = min(fits, key=lambda m: m.summary.trainingCost)
@@ -165,5 +170,18 @@ def select_dbscan(grid: DataFrame) -> DataFrame:
     return grid.orderBy(good.desc(), F.coalesce("silhouette", F.lit(-1.0)).desc(), "position").limit(1)
 
 
-def as_arrays(vectors: DataFrame, id_column: str) -> DataFrame:
-    return vectors.select(F.col(id_column).alias("id"), vector_to_array("vector").alias("x"))
+def dbscan_sizes(labels: DataFrame) -> DataFrame:
+    """(cluster, n), noise as -1."""
+    return labels.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def dbscan_grid(rows: DataFrame, percents: list[int], min_samples: list[int]) -> DataFrame:
+    """(position, eps, min_samples, clusters, noise, largest, silhouette) for eps at percentiles of the distance to the min_samples-th neighbour."""
+    rows, out = durable(rows), []
+    for m in min_samples:
+        for r in eps_candidates(knn_distance(rows, m), percents).collect():  # one row a percentile
+            labels = durable(dbscan(rows, r["eps"], m))
+            head = dbscan_metrics(labels, rows).first()
+            largest = dbscan_sizes(labels.where("cluster >= 0")).agg(F.max("n")).first()[0] or 0
+            out.append((len(out), r["eps"], m, head["clusters"], head["noise"], largest, cosine_silhouette(rows.join(labels, "id"))))
+    return rows.sparkSession.createDataFrame(out, "position int, eps double, min_samples int, clusters long, noise double, largest long, silhouette double")

@@ -116,6 +116,11 @@ def counts_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+def with_total(counts: DataFrame, column: str) -> DataFrame:
+    """counts_by() of one column and a row `total`."""
+    return counts.union(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias(column), "n"))
+
+
 def first_rows(df: DataFrame, group: list[str], n: int) -> DataFrame:
     """The n rows of each group with the smallest lines."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy("line"))).where(F.col("place") <= n)

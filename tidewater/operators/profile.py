@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,12 +37,14 @@ def user_item_cells(split: DataFrame) -> DataFrame:
 
 
 def profile_vectors(cells: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, vector): a row for each vocabulary user, also of users without cells; dense vectors over the item vocabulary."""
+    """(user_id, vector): a row for each vocabulary user, also of users without cells; sparse vectors over the item vocabulary."""
     width = items.count()
-    own = cells.join(items, F.col("item_id") == F.col("id")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("value").cast("double")))).alias("m"))
+    pair = F.struct(F.col("idx").cast("int").alias("i"), F.col("value").cast("double").alias("v"))
+    own = cells.join(items, F.col("item_id") == F.col("id")).groupBy("user_id").agg(F.array_sort(F.collect_list(pair)).alias("m"))
     full = users.select(F.col("id").alias("user_id")).join(own, "user_id", "left")
-    wide = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0.0)))
-    return full.select("user_id", array_to_vector(wide).alias("vector"))
+    # There is no function that makes a sparse vector of columns.
+    sparse = F.udf(lambda i, v: Vectors.sparse(width, i or [], v or []), VectorUDT())
+    return full.select("user_id", sparse("m.i", "m.v").alias("vector"))
 
 
 def user_stats(split: DataFrame) -> DataFrame:

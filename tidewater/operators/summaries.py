@@ -44,11 +44,11 @@ def demographics(labels: DataFrame, users: DataFrame) -> DataFrame:
     return ratio.join(mode("age"), "cluster").join(mode("occupation"), "cluster")
 
 
-def summarize(cells: DataFrame, labels: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+def summarize(cells: DataFrame, labels: DataFrame, users: DataFrame, items: DataFrame, least: int = 10, good: float = 4.0) -> DataFrame:
     """One row a cluster, with lists of genres and items as arrays of structs."""
     listed = lambda df, *c: df.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", *c))).alias("x"))
     g = listed(genre_pref(cells, labels, items), "genre", "avg_rating", "delta").withColumnRenamed("x", "genres")
-    r = listed(rep_items(cells, labels, items), "item_id", "title", "avg_rating", "n").withColumnRenamed("x", "items")
+    r = listed(rep_items(cells, labels, items, least=least, good=good), "item_id", "title", "avg_rating", "n").withColumnRenamed("x", "items")
     return size_rating(cells, labels).join(g, "cluster", "left").join(r, "cluster", "left").join(demographics(labels, users), "cluster", "left")
 
 
@@ -68,9 +68,12 @@ def membership(asked: DataFrame, labels: DataFrame, users: DataFrame, low: DataF
     return x.select("user_id", status.alias("status"), "cluster", (F.col("cluster") == -1).alias("noise"), F.when(in_, F.coalesce("low", F.lit(False))).alias("low_history"), F.when(in_, F.col("attr").isNull()).alias("no_demographics"))
 
 
-def touched_groups(members: DataFrame, genres: DataFrame, n: int = 3) -> DataFrame:
+def touched_groups(members: DataFrame, genres: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
+    """(cluster, kind, place, name, avg_rating, delta): the first genres and items of the clusters that members are in."""
     hit = members.where("cluster >= 0").select("cluster").distinct()
-    return genres.join(hit, "cluster", "left_semi").where(F.col("place") <= n)
+    g = genres.select("cluster", F.lit("genre").alias("kind"), "place", F.col("genre").alias("name"), "avg_rating", "delta")
+    i = items.select("cluster", F.lit("item").alias("kind"), "place", F.col("title").alias("name"), "avg_rating", F.lit(None).cast("double").alias("delta"))
+    return g.union(i).where(F.col("place") <= n).join(hit, "cluster", "left_semi")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "artifact_id") -> DataFrame:

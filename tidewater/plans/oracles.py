@@ -87,7 +87,7 @@ _PREF = """, gc as (select user_id, item_id, value, unnest(genres) genre from tc
 gb as (select genre, round(sum(value)/count(*),6) baseline, count(*) n from gc group by 1),
 gp as (select cluster, genre, round(m,3) avg_rating, round(m-baseline,3) delta from (select cluster, genre, sum(value)/count(*) m from gc join lb using (user_id) where cluster>=0 group by all) join gb using (genre)),
 gt as (select *, row_number() over (partition by cluster order by delta desc, genre) place from gp)"""
-_SPEC = """, spec as (select unnest([c_custkey::varchar, (c_custkey+9)||'-'||(c_custkey+5)]) p from customer where c_custkey%100=1),
+_SPEC = """, spec as (select unnest([c_custkey::varchar, (c_custkey+9)||'-'||(c_custkey+5)]) p from customer),
 asked as (select distinct unnest(range(least(a,z),greatest(a,z)+1)) user_id from (select string_split(p,'-')[1]::bigint a, string_split(p,'-')[-1]::bigint z from spec))"""
 _MEMBERS = _SPEC + """, lo as (select user_id from st where user_count<5),
 mem as (select user_id, case when cluster is not null then 'clustered' when user_id in (select user_id from us) then 'no_profile' else 'unknown' end status, cluster, cluster=-1 noise,
@@ -104,6 +104,13 @@ cl as (select id, c from ro join nu using (root)), bo as (select d.i id, min(c)
 lab as (select v.id, coalesce(cl.c, bo.c, -1)::int cluster from v left join cl using (id) left join bo using (id))"""
 _GRID = """, gr as (select 'class-'||period artifact_id, 'v1' version, round(avg(f2),6) metric from fe group by period)"""
 
+_REP = "select item_id, cluster, n, avg_rating, title, place from (select *, row_number() over (partition by cluster order by avg_rating desc, n desc, item_id)::int place from (select cluster, item_id, count(*) n, round(sum(value)/count(*),6) avg_rating from tc join lb using (user_id) where cluster>=0 group by all) join im using (item_id) where n>=2 and avg_rating>=3) where place<=5"
+_SIZE = "select * from (select cluster, count(*) size from lb where cluster>=0 group by 1) left join (select cluster, round(sum(value)/count(*),3) avg_rating from tc join lb using (user_id) where cluster>=0 group by 1) using (cluster)"
+_DEMO = ", dm as (select * from lb join us using (user_id) where cluster>=0)"
+_DEMOS = "select cluster, male_ratio, top_age, top_occupation from (select cluster, round(avg((gender='M')::int::double),3) male_ratio from dm group by 1) join (select cluster, age top_age from (select cluster, age, row_number() over (partition by cluster order by count(*) desc, age) k from dm group by cluster, age) where k=1) using (cluster) join (select cluster, occupation top_occupation from (select cluster, occupation, row_number() over (partition by cluster order by count(*) desc, occupation) k from dm group by cluster, occupation) where k=1) using (cluster)"
+_SILHOUETTE = """, lc as (select id, id%3 c from z), ms as (select d.i, a.c own, b.c other, sum(d.d) t from dist d join lc a on a.id=d.i join lc b on b.id=d.j where d.i<>d.j group by all),
+nn as (select c, count(*) n from lc group by 1), ab as (select i, max(case when own=other then t/(n-1) end) a, min(case when own<>other then t/n end) b from ms join nn on nn.c=other group by i)"""
+
 
 def _q(ctes: str, body: str) -> str:
     return f"with {ctes.strip()}\n{body}"
@@ -120,7 +127,8 @@ ORACLES: dict[str, str] = {
     "quarantine_by_reason": _q(_TAGGED, "select kind, reason, count(*) n from qr group by all"),
     "quarantine_rows": _q(_TAGGED, "select * from qr"),
     "quarantine_samples": _q(_TAGGED, "select * from (select *, row_number() over (partition by kind, reason order by line)::int place from (select distinct * from qr)) where place<=3"),
-    "clean_counts": _q(_TAGGED, "select kind, count(*) n from kept group by 1"),
+    "clean_counts": _q(_TAGGED, "select kind, count(*) n from kept group by 1 union all select 'total', count(*) from kept"),
+    "clean_samples": _q(_TAGGED, "select * from (select *, row_number() over (partition by kind order by line)::int place from (select distinct kind, line from kept)) where place<=3"),
     "bad_decoding": _q(_RAW, "select kind, count(*) lines, sum(contains(line,'�')::int)::bigint bad_lines from raw group by 1"),
     "reference_ids": _q(_RAW, "select id, 'users' kind from uid union all select id, 'movies' from iid"),
     "referential_check": _q(_RAW, "select line from r4 where m not in (select id from iid)"),
@@ -161,14 +169,22 @@ ORACLES: dict[str, str] = {
     "dbscan_labels": _q(_DB, "select * from lab"),
     "dbscan_metrics": _q(_DB, "select count(distinct cluster) filter (cluster>=0) clusters, round(avg((cluster=-1)::int::double),4) noise from lab join z using (id)"),
     "genre_baseline": _q(_TYPED + _PREF, "select * from gb"),
-    "cluster_size_rating": _q(_TYPED, "select * from (select cluster, count(*) size from lb where cluster>=0 group by 1) left join (select cluster, round(sum(value)/count(*),3) avg_rating from tc join lb using (user_id) where cluster>=0 group by 1) using (cluster)"),
+    "cluster_size_rating": _q(_TYPED, _SIZE),
     "cluster_genre_pref": _q(_TYPED + _PREF, "select cluster, genre, avg_rating, delta, place::int place from gt where place<=5"),
-    "cluster_rep_items": _q(_TYPED, "select item_id, cluster, n, avg_rating, title, place from (select *, row_number() over (partition by cluster order by avg_rating desc, n desc, item_id)::int place from (select cluster, item_id, count(*) n, round(sum(value)/count(*),6) avg_rating from tc join lb using (user_id) where cluster>=0 group by all) join im using (item_id) where n>=2 and avg_rating>=3) where place<=5"),
-    "cluster_demographics": _q(_TYPED + ", dm as (select * from lb join us using (user_id) where cluster>=0)", "select cluster, male_ratio, top_age, top_occupation from (select cluster, round(avg((gender='M')::int::double),3) male_ratio from dm group by 1) join (select cluster, age top_age from (select cluster, age, row_number() over (partition by cluster order by count(*) desc, age) k from dm group by cluster, age) where k=1) using (cluster) join (select cluster, occupation top_occupation from (select cluster, occupation, row_number() over (partition by cluster order by count(*) desc, occupation) k from dm group by cluster, occupation) where k=1) using (cluster)"),
+    "cluster_rep_items": _q(_TYPED, _REP),
+    "cluster_demographics": _q(_TYPED + _DEMO, _DEMOS),
     "expand_user_spec": _q(_RAW + _SPEC, "select user_id from asked"),
     "membership": _q(_TYPED + _MEMBERS, "select * from mem"),
-    "touched_groups": _q(_TYPED + _MEMBERS + _PREF, "select cluster, genre, avg_rating, delta, place::int place from gt where place<=3 and cluster in (select cluster from mem)"),
+    "touched_groups": _q(_TYPED + _MEMBERS + _PREF, "select cluster, 'genre' kind, place::int place, genre as name, avg_rating, delta from gt where place<=3 and cluster in (select cluster from mem) union all select cluster, 'item', place, title, avg_rating, null from (" + _REP + ") where place<=3 and cluster in (select cluster from mem)"),
     "top_loading_items": _q(_TYPED, "select component, place, item_id, title, round(loading,4) loading from (select *, row_number() over (partition by component order by abs(loading) desc, item_id)::int place from (select (item_id%3)::int component, item_id, round(avg(value)-3,6) loading from tc group by all) join im using (item_id)) where place<=8"),
     "grid_upsert": _q(_FEATURES + _GRID, "select artifact_id, case artifact_id when 'class-val' then 'v2' else version end version, metric from gr"),
-    "overview": _q(_FEATURES + _GRID, "select 'class' task, 'lr' algorithm, artifact_id as position, metric, row_number() over (order by metric desc, artifact_id)=1 selected from gr"),
+    "overview": _q(_FEATURES, "select *, row_number() over (partition by task, algorithm order by metric desc, position)=1 selected from (select (['class','cluster','reduce'])[user_id%3+1] task, (['first','second'])[item_id%2+1] algorithm, period as position, round(avg(rating),6) metric from fe group by all)"),
+    "select_best": _q(_FEATURES, "select (user_id%8)::int as position, round(avg(label),6) val_ap from fe group by 1 order by val_ap desc, position limit 1"),
+    "select_kmeans": _q(_FEATURES, "select (user_id%4)::int+5 k, round(avg(label),6) silhouette, count(*) sse from fe group by 1 order by silhouette desc, k limit 1"),
+    "select_dbscan": _q(_FEATURES, "select * from (select (user_id%12)::int as position, count(*)%20 clusters, round(avg(label),6) noise, round(avg(rating)-3,6) silhouette from fe group by 1) order by (clusters between 2 and 15 and noise<0.5) desc, silhouette desc, position limit 1"),
+    "reduction_report": _q(_FEATURES, "select 'pca' algorithm, dim, evr, error, case when evr is null then 'not_registered' else 'ok' end status from (select unnest([10,12])::int dim) left join (select ([2,10,20,50])[item_id%4+1]::int dim, round(avg(label),4) evr, round(avg(rating),4) error from fe where user_id%2=0 group by 1) using (dim)"),
+    "cosine_silhouette": _q(_VEC + _SILHOUETTE, "select round(avg((b-a)/greatest(a,b)),6) silhouette from ab"),
+    "cluster_sizes": _q(_TYPED, "select k::int cluster, count(cluster) n from (select unnest(range(6)) k) left join lb on cluster=k group by 1"),
+    "dbscan_sizes": _q(_DB, "select cluster, count(*) n from lab group by 1"),
+    "cluster_summaries": _q(_TYPED + _PREF + _DEMO, "select cluster, size, avg_rating, genres, items, male_ratio, top_age, top_occupation from (" + _SIZE + ") left join (select cluster, string_agg(place||':'||genre, ',' order by place) genres from gt where place<=5 group by 1) using (cluster) left join (select cluster, string_agg(place||':'||item_id, ',' order by place) items from (" + _REP + ") group by 1) using (cluster) left join (" + _DEMOS + ") using (cluster)"),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.feature import Normalizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,23 +125,79 @@ def _kmeans(s):
     return s.spark.createDataFrame(rows, "k int, silhouette double, sse double")
 
 
+def _summaries(s):
+    """summarize() with its lists as text, place:genre and place:item_id."""
+    text = lambda c, field: F.nullif(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["place"].cast("string"), x[field].cast("string"))), ","), F.lit("")).alias(c)
+    x = S.summarize(s.cells, s.labels, s.typed("users"), s.typed("movies"), least=2, good=3.0)
+    return x.select("cluster", "size", "avg_rating", text("genres", "genre"), text("items", "item_id"), "male_ratio", "top_age", "top_occupation")
+
+
+def _eps(rows) -> float:
+    """The 90th percentile of the distance to the MIN_SAMPLES-th neighbour."""
+    return K.eps_candidates(K.knn_distance(rows, MIN_SAMPLES), [90]).first()["eps"]
+
+
+def _profile_kmeans(s):
+    """k-means on the sparse user x item profiles of each period, over the train vocabulary."""
+    users, items, out = durable(FE.vocabulary(s.split, "user_id")), durable(FE.vocabulary(s.split, "item_id")), []
+    every = durable(FE.user_item_cells(s.split))
+    for period in ("train", "val", "test"):
+        own = FE.profile_vectors(every.where(F.col("period") == period), users, items)
+        unit = durable(Normalizer(inputCol="vector", outputCol="features").transform(own).select(F.col("user_id").alias("id"), "features"))
+        for k, (labelled, cost) in K.fit_kmeans(unit, [5], n_init=2, max_iter=20).items():
+            sizes = [r["n"] for r in K.cluster_sizes(labelled, k).orderBy("cluster").collect()]  # k rows
+            out.append((period, k, cost, sizes))
+    return s.spark.createDataFrame(out, "period string, k int, sse double, sizes array<long>")
+
+
+def _models(s) -> dict:
+    train = L.balanced(durable(L.feature_vectors(L.standardize(s.features), STAR).where("period = 'train'")))
+    return {"lr": L.train_logreg(train, 0.1), "tree": L.train_tree(train, 6, 50)}
+
+
+def _top_features(s):
+    rows = [(m, i + 1, n, w) for m, model in _models(s).items() for i, (n, w) in enumerate(L.top_features(model, L.feature_names(STAR)))]
+    return s.spark.createDataFrame(rows, "model string, place int, feature string, weight double")
+
+
+def _settings(s, n: int) -> DataFrame:
+    """n settings with figures of the events of every n-th user, in place of a fitted grid."""
+    g = s.features.groupBy((F.col("user_id") % n).cast("int").alias("position"))
+    return g.agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("share"), F.round(F.avg("rating") - 3, 6).alias("level"))
+
+
+def _reductions(s) -> DataFrame:
+    """Grid rows of two algorithms and four dimensions, from events."""
+    pick = lambda i, *v: F.element_at(F.array(*map(F.lit, v)), (i + 1).cast("int"))
+    g = s.features.groupBy(pick(F.col("user_id") % 2, "pca", "svd").alias("algorithm"), pick(F.col("item_id") % 4, 2, 10, 20, 50).alias("dim"))
+    return g.agg(F.round(F.avg("label"), 4).alias("evr"), F.round(F.avg("rating"), 4).alias("error"))
+
+
+def _task_rows(s) -> DataFrame:
+    """Grid rows of three tasks, two algorithms each and a position for each period, from events."""
+    pick = lambda i, *v: F.element_at(F.array(*map(F.lit, v)), (i + 1).cast("int"))
+    g = s.features.groupBy(pick(F.col("user_id") % 3, "class", "cluster", "reduce").alias("task"), pick(F.col("item_id") % 2, "first", "second").alias("algorithm"), F.col("period").alias("position"))
+    return g.agg(F.round(F.avg("rating"), 6).alias("metric"))
+
+
 def _comparison(s):
     x = durable(s.user_rows)
-    z = durable(D.project(x, D.fit(x, 2, True)).withColumnRenamed("coords", "x"))
+    low = lambda centred: durable(D.project(x, D.fit(x, 2, centred)).withColumnRenamed("coords", "x"))
     out = []
-    for name, rows in (("original", x), ("pca-2", z)):
+    for name, rows in (("original", x), ("pca-2", low(True)), ("svd-2", low(False))):
         (labelled, cost), = K.kmeans_grid(rows, [5], n_init=2).values()
-        labels = durable(K.dbscan(rows, 0.05, MIN_SAMPLES))
+        sizes = [r["n"] for r in K.cluster_sizes(labelled, 5).orderBy("cluster").collect()]  # five rows
+        labels = durable(K.dbscan(rows, _eps(rows), MIN_SAMPLES))
         m = K.dbscan_metrics(labels, rows).first()
-        out.append((name, K.cosine_silhouette(labelled), cost, m["clusters"], m["noise"]))
-    return s.spark.createDataFrame(out, "space string, kmeans_silhouette double, kmeans_sse double, dbscan_clusters long, dbscan_noise double")
+        out.append((name, K.cosine_silhouette(labelled), cost, sizes, m["clusters"], m["noise"]))
+    return s.spark.createDataFrame(out, "space string, kmeans_silhouette double, kmeans_sse double, kmeans_sizes array<long>, dbscan_clusters long, dbscan_noise double")
 
 
 def _scatter(s):
     x = durable(s.user_rows)
     coords = D.project(x, D.fit(x, 2, True))
     (labelled, _), = K.kmeans_grid(x, [5], n_init=2).values()
-    both = coords.join(labelled.select("id", "cluster"), "id").join(K.dbscan(x, 0.05, MIN_SAMPLES).withColumnRenamed("cluster", "dbscan"), "id")
+    both = coords.join(labelled.select("id", "cluster"), "id").join(K.dbscan(x, _eps(x), MIN_SAMPLES).withColumnRenamed("cluster", "dbscan"), "id")
     return both.select("id", F.round(F.col("coords")[0], 4).alias("x"), F.round(F.col("coords")[1], 4).alias("y"), "cluster", "dbscan")
 
 
@@ -155,7 +212,7 @@ def _grid_rows(s):
 
 
 def _specs(s):
-    c = s.spark.read.parquet(f"{s.dir}/customer.parquet").where("c_custkey % 100 = 1")
+    c = s.spark.read.parquet(f"{s.dir}/customer.parquet")
     return c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat((F.col("c_custkey") + 9).cast("string"), F.lit("-"), (F.col("c_custkey") + 5).cast("string")), F.lit("a"), F.lit("1-9000")).alias("spec"))
 
 
@@ -188,7 +245,8 @@ _ALL = {
     "quarantine_by_reason": lambda s: C.counts_by(C.quarantine_rows(s.tagged), "kind", "reason"),
     "quarantine_rows": lambda s: C.quarantine_rows(s.tagged),
     "quarantine_samples": lambda s: C.first_rows(C.quarantine_rows(s.tagged).distinct(), ["kind", "reason"], 3),
-    "clean_counts": lambda s: C.counts_by(s.kept, "kind"),
+    "clean_counts": lambda s: C.with_total(C.counts_by(s.kept, "kind"), "kind"),
+    "clean_samples": lambda s: C.first_rows(s.kept.select("kind", "line").distinct(), ["kind"], 3),
     "bad_decoding": lambda s: detect_bad_decoding(s.raw),
     "reference_ids": lambda s: read_ids(s.raw, "users").withColumn("kind", F.lit("users")).union(read_ids(s.raw, "movies").withColumn("kind", F.lit("movies"))),
     "referential_check": lambda s: C.referential_check(P.ratings4(s.raw), read_ids(s.raw, "movies"), "m").select("line"),
@@ -233,21 +291,29 @@ _ALL = {
     "cluster_genre_pref": lambda s: S.genre_pref(s.cells, s.labels, s.typed("movies")),
     "cluster_rep_items": lambda s: S.rep_items(s.cells, s.labels, s.typed("movies"), least=2, good=3.0),
     "cluster_demographics": lambda s: S.demographics(s.labels, s.typed("users")),
-    "cluster_summaries": lambda s: S.summarize(s.cells, s.labels, s.typed("users"), s.typed("movies")),
+    "cluster_summaries": _summaries,
     "expand_user_spec": _asked,
     "membership": _members,
-    "touched_groups": lambda s: S.touched_groups(_members(s), S.genre_pref(s.cells, s.labels, s.typed("movies"))),
+    "touched_groups": lambda s: S.touched_groups(_members(s), S.genre_pref(s.cells, s.labels, s.typed("movies")), S.rep_items(s.cells, s.labels, s.typed("movies"), least=2, good=3.0)),
     "top_loading_items": lambda s: S.top_loading_items(_loadings(s), s.typed("movies")),
     "grid_upsert": lambda s: S.upsert(_grid_rows(s), _grid_rows(s).where("artifact_id = 'class-val'").withColumn("version", F.lit("v2"))),
-    "overview": lambda s: S.overview(_grid_rows(s).select(F.lit("class").alias("task"), F.lit("lr").alias("algorithm"), F.col("artifact_id").alias("position"), "metric")),
+    "overview": lambda s: S.overview(_task_rows(s)),
     "logreg_grid": _logreg,
     "tree_grid": _trees,
-    "select_best": lambda s: L.select_best(_logreg(s), "val_ap", "position"),
+    "select_best": lambda s: L.select_best(_settings(s, 8).select("position", F.col("share").alias("val_ap")), "val_ap", "position"),
+    "top_features": _top_features,
+    "predict_pairs": lambda s: L.predict_pairs(_models(s)["lr"], _pairs(s), s.split, s.typed("users"), s.typed("movies"), STAR),
+    "compare_models": lambda s: L.compare_models(_models(s), _pairs(s), s.split, s.typed("users"), s.typed("movies"), STAR),
     "kmeans_grid": _kmeans,
-    "select_kmeans": lambda s: K.select_kmeans(_kmeans(s)),
+    "select_kmeans": lambda s: K.select_kmeans(_settings(s, 4).select((F.col("position") + 5).alias("k"), F.col("share").alias("silhouette"), F.col("n").alias("sse"))),
+    "select_dbscan": lambda s: K.select_dbscan(_settings(s, 12).select("position", (F.col("n") % 20).alias("clusters"), F.col("share").alias("noise"), F.col("level").alias("silhouette"))),
+    "profile_kmeans": _profile_kmeans,
+    "cosine_silhouette": lambda s: s.spark.createDataFrame([(round(K.cosine_silhouette(s.vectors.withColumn("cluster", (F.col("id") % 3).cast("int"))), 6),)], "silhouette double"),
+    "cluster_sizes": lambda s: K.cluster_sizes(s.labels.where("cluster >= 0"), 6),
+    "dbscan_sizes": lambda s: K.dbscan_sizes(K.dbscan(s.vectors, EPS, MIN_SAMPLES)),
     "pca_report": lambda s: D.report(s.vectors, "pca", [2, 10, 20, 50]),
     "svd_report": lambda s: D.report(s.vectors, "svd", [2, 10, 20, 50]),
-    "reduction_report": lambda s: S.reduction_report(D.report(s.vectors, "pca", [2, 10]), "pca", 12),
+    "reduction_report": lambda s: S.reduction_report(_reductions(s), "pca", 10).union(S.reduction_report(_reductions(s), "pca", 12)),
     "cluster_comparison": _comparison,
     "scatter_2d": _scatter,
 }
