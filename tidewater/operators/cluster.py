@@ -71,7 +71,7 @@ def _pairs(rows: DataFrame, block: int) -> DataFrame:
 
 def _sides(pdf: pd.DataFrame):
     a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    x, y = (np.array(s.x.tolist(), float).reshape(len(s), -1) for s in (a, b))
+    x, y = (np.array(s.x.tolist(), float) for s in (a, b))
     return a.id.to_numpy(), b.id.to_numpy(), np.maximum(1 - x @ y.T, 0) if len(a) and len(b) else np.zeros((len(a), len(b)))
 
 
