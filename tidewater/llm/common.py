@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators.graph import components, durable, join_hot, shared_dir, stored
 
-__all__ = ["WORD", "components", "durable", "join_hot", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "components", "durable", "fresh", "join_hot", "shared_dir", "stored", "table"]
 
 #: ASCII white space; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

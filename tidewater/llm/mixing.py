@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD, durable, stored, table
+from tidewater.llm.common import WORD, durable, fresh, stored, table
 
 #: Start and end weights of the sources in code point order, null last, repeating; the means are 5, 2 and 1.
 CYCLE = ((7.0, 3.0), (2.0, 2.0), (0.5, 1.5))
@@ -111,18 +111,21 @@ def taken_of(planned: DataFrame, copies: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, cycle=CYCLE) -> DataFrame:
     """The training mix: the columns of docs, a row per copy, range-sorted by position; the last copy of a source is cut.
 
+    Null texts and texts without words have size 0 and no place in the mix; an empty table gives an empty mix.
     Rows that are equal in doc_id, source and text take as many copies together as each alone would.
     """
     taken = positions(plan(docs, budget, most, cycle)).groupBy("doc_id", "source", "mark", "copy").agg(F.max("words").alias("words"), F.max("size").alias("size"), F.min("position").alias("position"))
-    taken = taken.select(*[F.col(c).alias(f"mix_{c}") for c in taken.columns])
-    key = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.xxhash64("text") == F.col("mix_mark"))
+    mix = {c: fresh(f"mix_{c}", docs.columns) for c in taken.columns}
+    taken = taken.withColumnsRenamed(mix)
+    key = F.col("doc_id").eqNullSafe(F.col(mix["doc_id"])) & F.col("source").eqNullSafe(F.col(mix["source"])) & (F.xxhash64("text") == F.col(mix["mark"]))
     joined = docs.join(taken, key)
     parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
-    spaced = F.array_join(F.slice(parts, 1, F.col("mix_words").cast("int")), "")
-    text = F.when(F.col("mix_words") < F.col("mix_size"), spaced).otherwise(F.col("text"))
+    spaced = F.array_join(F.slice(parts, 1, F.col(mix["words"]).cast("int")), "")
+    text = F.when(F.col(mix["words"]) < F.col(mix["size"]), spaced).otherwise(F.col("text"))
     fixed = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     cut = joined.withColumns(fixed)
-    return cut.repartitionByRange("mix_position", "mix_doc_id", "mix_copy").sortWithinPartitions("mix_position", "mix_doc_id", "mix_copy").select(*docs.columns)
+    order = [mix[c] for c in ("position", "doc_id", "copy")]
+    return cut.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

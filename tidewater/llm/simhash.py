@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewater.llm.common import components, durable, join_hot, table
+from tidewater.llm.common import components, durable, fresh, join_hot, table
 from tidewater.llm.shingles import shingle_hashes
 
 #: Rows of a bucket that are compared in one piece.
@@ -256,11 +256,11 @@ def _node_batches(batches, width: int):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "fp", "bands"])
 
 
-def _identity_batches(batches):
+def _identity_batches(batches, name: str):
     """Rows of documents with the identity of their text added."""
     for batch in batches:
         ids = pa.array(map(_normal_id, batch.column("text").cast(pa.binary()).to_pylist()), pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "near_id"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
 
 def _similar_batches(batches, least: float):
@@ -354,13 +354,14 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bit
     edges = durable(band_edges(banded, shingle_sets, similarity))
     roots = components(edges.union(near_edges(first.select("id", "fp"), max_bits, shingle_sets, similarity)))
     group = first.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"))
-    keep = group.agg(F.min(F.struct(F.col("first").isNull(), "first", "id")).alias("m")).select(F.col("m.first").alias("near_keep"), F.col("m.id").alias("near_of"))
+    kept_id, kept_of, own = (fresh(n, docs.columns) for n in ("near_keep", "near_of", "near_id"))
+    keep = group.agg(F.min(F.struct(F.col("first").isNull(), "first", "id")).alias("m")).select(F.col("m.first").alias(kept_id), F.col("m.id").alias(kept_of))
     rows = ids.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
     if rows[0] == rows[1]:
-        return docs.join(keep.select("near_keep"), F.col("doc_id").eqNullSafe(F.col("near_keep")), "left_semi")
-    marked = docs.mapInArrow(_identity_batches, StructType([*docs.schema.fields, StructField("near_id", LongType())]))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("near_keep")) & (F.col("near_id") == F.col("near_of")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "near_id"]).drop("near_id")
+        return docs.join(keep.select(kept_id), F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    marked = docs.mapInArrow(partial(_identity_batches, name=own), StructType([*docs.schema.fields, StructField(own, LongType())]))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_of)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
