@@ -23,12 +23,12 @@ from tidewater.llm.common import durable, table
 #: Documents of each language that train it, and rounds of expectation-maximisation.
 PER_LANGUAGE, ROUNDS = 500, 3
 #: Bound of a worker's cache; pieces' pseudo-count; an unknown letter.
-CACHE, PSEUDO, UNKNOWN = 400_000, 0.01, 1e-9
+CACHE, PSEUDO, UNKNOWN = 200_000, 0.01, 1e-9
 #: Letters of a run that are summed in one step; the sums are carried from step to step. Letters in one lattice.
-STEP, CELLS = 1024, 60_000
+STEP, CELLS = 1024, 20_000
 #: Letters after which sums are scaled, so that they never underflow.
 SCALED = 8
-#: Sampled documents whose hashes are broadcast; more are joined by a shuffle.
+#: Languages, or sampled documents, that are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
 LETTERS = regex.compile(r"\p{L}+")
 _vocabularies: dict[str, "Trie"] = {}
@@ -241,8 +241,8 @@ def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
     marks = durable(rows.select("lang", "mark").distinct())
     share = F.shiftrightunsigned("mark", 1) / float(1 << 63)
-    counts = marks.groupBy("lang").agg((4.0 * per_language / F.count("*")).alias("share"))
-    near = marks.join(counts, "lang").where(share <= F.col("share"))
+    counts = durable(marks.groupBy("lang").agg((4.0 * per_language / F.count("*")).alias("share")))
+    near = marks.join(F.broadcast(counts) if counts.count() <= BROADCAST else counts, "lang").where(share <= F.col("share"))
     order = F.row_number().over(W.partitionBy("lang").orderBy(share, "mark"))
     picked = durable(near.withColumn("order", order).where(F.col("order") <= per_language).select("lang", "mark"))
     small = F.broadcast(picked) if picked.count() <= BROADCAST else picked
@@ -276,7 +276,7 @@ class _Known:
 
     def __init__(self, languages: int):
         self.place: dict[str, int] = {}
-        self.score = np.zeros((CACHE + 200_000, languages))
+        self.score = np.zeros((CACHE + 100_000, languages))
         self.letters = np.zeros(len(self.score), bool)
 
     def add(self, words: list[str], path: str, table: np.ndarray):

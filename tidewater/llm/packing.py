@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import stored, table
 
 #: Bound of a worker's cache of encoded words, and bytes of text that are encoded in one piece.
-CACHE, CHUNK = 1_000_000, 8 << 20
+CACHE, CHUNK = 400_000, 4 << 20
 #: Bins in which pieces of one length are ranked; no length lands in one task.
 BINS = 1024
 #: Words of ASCII letters, with ASCII marks other than ' after them.
