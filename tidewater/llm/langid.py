@@ -293,8 +293,8 @@ class _Known:
         self.place.update(zip(words, range(at, at + len(words))))
 
 
-def _predict_batches(batches, path: str, models, name: str):
-    """Columns row and text; adds lang_pred and score."""
+def _predict_batches(batches, path: str, models, name: str, text: int):
+    """Rows whose field `text` is the text, which is carried once; adds lang_pred and score."""
     langs = list(models.value)
     table = np.array(list(models.value.values())).T if langs else np.zeros((1, 0))
     if name not in _scores:
@@ -305,7 +305,7 @@ def _predict_batches(batches, path: str, models, name: str):
             batch, known = whole.slice(at, 256), _scores[name]
             if len(known.place) > CACHE:
                 known = _scores[name] = _Known(len(langs))
-            counts = [Counter(t.lower().split()) if t and langs else Counter() for t in batch.column(1).to_pylist()]
+            counts = [Counter(t.lower().split()) if t and langs else Counter() for t in batch.column(0).field(text).to_pylist()]
             known.add(list({w for c in counts for w in c}.difference(known.place)), path, table)
             picked, score = [], []
             for c in counts:
@@ -330,8 +330,9 @@ def predict(docs: DataFrame, models: dict[str, np.ndarray], path: str) -> DataFr
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    run = partial(_predict_batches, path=path, models=spark.sparkContext.broadcast(models), name=str(id(models)))
-    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(run, schema)
+    at = [c.lower() for c in docs.columns].index("text")
+    run = partial(_predict_batches, path=path, models=spark.sparkContext.broadcast(models), name=str(id(models)), text=at)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def split(doc_id: Column) -> Column:
