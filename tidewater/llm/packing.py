@@ -240,4 +240,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end: i
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of pack() of all documents, in sequences of 4096 tokens; see there for nulls, empty texts and repeats."""
     return pack(table(spark, sf_dir, "documents"))

@@ -63,6 +63,7 @@ def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of format_pairs() for all conversations that have an answer, with the rejected side of swapped_answers()."""
     return format_pairs(*swapped_answers(table(spark, sf_dir, "conversations")))
 
 

@@ -173,4 +173,5 @@ def redact(docs: DataFrame, least: float = 0.5, trees: list[str] | None = None)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of scan() in all documents; see there for nulls, empty texts and repeats."""
     return scan(table(spark, sf_dir, "documents"))

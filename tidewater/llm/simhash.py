@@ -365,4 +365,5 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bit
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document, at 4 bits or fewer; see near_components() for nulls, empty texts and repeats."""
     return near_components(table(spark, sf_dir, "documents"), width=4, max_bits=4)
