@@ -12,6 +12,7 @@ from tidewater.llm.preferences import OP7_SQL, op7_preferences
 from tidewater.llm.secrets import op3_secrets
 from tidewater.llm.simhash import op1_simhash
 from tidewater.llm.sketch import op10_sketch
+from tidewater.llm.trie import OP13_SQL, op13_trie
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_secrets, op4_mixing, op5_classlm, op6_passages, op7_preferences, op8_ann, op9_packing, op10_sketch)}
-ORACLES = {"op4_mixing": OP4_SQL, "op7_preferences": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_secrets, op4_mixing, op5_classlm, op6_passages, op7_preferences, op8_ann, op9_packing, op10_sketch, op13_trie)}
+ORACLES = {"op4_mixing": OP4_SQL, "op7_preferences": OP7_SQL, "op13_trie": OP13_SQL}
