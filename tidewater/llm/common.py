@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators.graph import components, durable, join_hot, shared_dir, stored
 
-__all__ = ["WORD", "components", "durable", "fresh", "join_hot", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "components", "crc32_sql", "durable", "fresh", "join_hot", "shared_dir", "stored", "table"]
 
 #: ASCII white space; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,3 +22,15 @@ def fresh(name: str, columns: list[str]) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression of the unsigned CRC-32 of a text's bytes; its table follows from the polynomial."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    step = f"(xor(a >> 8, {table}[(xor(a, b) & 255) + 1]))"
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {step}), 4294967295::bigint)"

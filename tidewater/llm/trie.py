@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import durable, join_hot, stored, table
+from tidewater.llm.common import crc32_sql, durable, join_hot, stored, table
 from tidewater.llm.mixing import n_words
 
 #: Turns of a prefix shard, unless one sequence alone has more; with more turns than SHARD x HOT_SHARDS they grow, so that at most HOT_SHARDS prefixes are ever split.
@@ -273,18 +273,6 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_shared_heads(turn_lists(table(spark, sf_dir, "conversations"))))
 
 
-def crc32_sql(text: str) -> str:
-    """DuckDB's expression of the unsigned CRC-32 of a text's bytes; its table follows from the polynomial."""
-    table = []
-    for i in range(256):
-        for _ in range(8):
-            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
-        table.append(i)
-    step = f"(xor(a >> 8, {table}[(xor(a, b) & 255) + 1]))"
-    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: {step}), 4294967295::bigint)"
-
-
 OP13_SQL = rf"""
 with f as (select conv_id c, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
 t as (select c, {{'r': r, 'x': x}} m, row_number() over (partition by c order by turn nulls first, r, sha256(strlen(r)::varchar || ':' || r || x)) k from f),
