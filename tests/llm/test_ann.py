@@ -56,3 +56,20 @@ def test_lengths_apart_pieces_and_no_rows(spark, monkeypatch):
     got = found_by(ann.search(frame(spark, rows), F.lit(True)))
     assert all(len(got[i]) == 20 for i in range(200)) and all({v for _, v, _ in got[1000 + i]} == {1000 + j for j in range(4)} - {1000 + i} for i in range(4)) and 2000 not in got
     assert ann.search(frame(spark, []), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_recall_of_random_unit_vectors(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = found_by(ann.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0))
+    ids = list(range(n))
+    hits = [len({v for _, v, _ in own} & set(nearest(ids, x, q))) for q, own in got.items()]
+    assert len(got) == n // 20 and all(len(own) == 20 for own in got.values()) and np.mean(hits) / 20 >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+def test_every_query_gets_its_rows_at_any_scale(spark, scale):
+    x = np.random.default_rng(8).normal(size=(3000, 16)) * scale
+    got = found_by(ann.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0))
+    assert len(got) == 150 and {len(own) for own in got.values()} == {20}

@@ -3,7 +3,7 @@
 Trees split a bounded sample of the vectors by hyperplanes between two random members until leaves hold `leaf`
 sample rows (fewer in a small table); every vector is then indexed by its leaf in each tree. A query walks all trees
 through one priority queue, nearest hyperplane margin first, until the leaves it has opened hold the wanted share of the
-vectors and more than k of them. Index and opened leaves are joined on (tree, leaf), and a leaf's vectors are ranked
+vectors and more than k of them. That share is measured: the least at which the sample's own nearest are found to TARGET. Index and opened leaves are joined on (tree, leaf), and a leaf's vectors are ranked
 exactly for the queries that opened it.
 """
 
@@ -22,6 +22,12 @@ from tidewater.llm.common import durable, table
 
 #: Bounds of what the driver fits trees on, and of the rows and queries of a leaf that are compared in one piece.
 SAMPLE, SHARD, QUERIES = 10_000, 8192, 2048
+#: Recall of the sample's own nearest that the stop is set for, and sample rows that measure it.
+TARGET, PROBES = 0.96, 96
+#: Shares that may be wanted.
+SHARES = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 1.0)
+#: Rounding of an inner product, beside the product of both lengths.
+ROUNDING = 1e-12
 
 
 def build_tree(s: np.ndarray, leaf: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -84,6 +90,37 @@ def walk(trees, counts, total: int, margins, wanted: float, least: int) -> list[
     return opened
 
 
+def calibrate(trees, members, k: int, seed: int) -> tuple[float, float]:
+    """(wanted, recall): the least of SHARES at which the nearest k of sample rows in the sample are found to TARGET, and the recall there.
+
+    Where the sample is part of a table the table's nearest are nearer, and so easier to find, than the sample's.
+    """
+    ids, s, leaves = members
+    probes = np.sort(np.random.default_rng(seed).choice(len(s), min(PROBES, len(s)), replace=False)) if len(s) else []
+    k = min(k, len(s) - 1)
+    if k < 1:
+        return 1.0, 1.0
+    counts = [np.bincount(own, minlength=t["leaves"]) for t, own in zip(trees, leaves)]
+    asked = []
+    for i in probes:
+        score = s @ s[i]
+        score[i] = -np.inf
+        asked.append(([t["normals"] @ s[i] - t["offsets"] for t in trees], np.argpartition(score, -k)[-k:]))
+
+    def recall(wanted: float) -> float:
+        hit = 0
+        for margins, best in asked:
+            own = walk(trees, counts, len(s), margins, wanted, k + 1)
+            hit += int(np.logical_or.reduce([np.isin(leaves[t][best], o) for t, o in enumerate(own)]).sum())
+        return hit / (k * len(asked))
+
+    low, high = 0, len(SHARES) - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall(SHARES[mid]) >= TARGET else (mid + 1, high)
+    return SHARES[low], recall(SHARES[low])
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Lists of one length as rows of doubles."""
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
@@ -105,6 +142,7 @@ def _route_batches(batches, forest, members, counts, total: int, k: int, wanted:
     At least k vectors that the query will meet score `low` or more, so the leaves need not give any below it.
     """
     trees, (ids, s, leaves) = forest.value, members.value
+    longest = float(np.linalg.norm(s, axis=1).max(initial=0))
     for b in batches:
         if not len(b):
             continue
@@ -115,7 +153,7 @@ def _route_batches(batches, forest, members, counts, total: int, k: int, wanted:
             own = walk(trees, counts.value, total, [m[i] for m in margins], wanted, k + 1)
             seen = np.logical_or.reduce([np.isin(leaves[t], o) for t, o in enumerate(own)]) & (ids != query)
             score = s[seen] @ x[i]
-            lows.append(float(np.partition(score, -k)[-k]) if len(score) >= k else -np.inf)
+            lows.append(float(np.partition(score, -k)[-k] - ROUNDING * longest * np.linalg.norm(x[i])) if len(score) >= k else -np.inf)
             opened.append([{"tree": t, "leaf": leaf} for t, o in enumerate(own) for leaf in o])
         kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
         yield pa.RecordBatch.from_arrays([b["vec_id"], b["vector"], pa.array(lows), pa.array(opened, kind)], ["query_id", "vector", "low", "opened"])
@@ -127,21 +165,23 @@ def _best(qs: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     if len(rows) and len(qs):
         ids, queries, x, q = rows["vec_id"].to_numpy(), qs["query_id"].to_numpy(), _matrix(rows["vector"]), _matrix(qs["vector"])
         scores = q @ x.T
-        low = qs["low"].to_numpy() - 1e-9
+        low = qs["low"].to_numpy()
         if len(ids) > k:
-            low = np.maximum(low, np.partition(scores, -k - 1, axis=1)[:, -k - 1] - 1e-9)
+            slack = ROUNDING * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+            low = np.maximum(low, np.partition(scores, -k - 1, axis=1)[:, -k - 1] - slack)
         i, j = np.nonzero((scores >= low[:, None]) & (queries[:, None] != ids))
         query, vec, score = queries[i], ids[j], (x[j] * q[i]).sum(1)
     return pa.table({"query_id": query, "vec_id": vec, "score": score})
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, n_trees: int = 16, leaf: int = 40, wanted: float = 0.5, sample: int = SAMPLE, seed: int = 1) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, n_trees: int = 16, leaf: int = 40, wanted: float | None = None, sample: int = SAMPLE, seed: int = 1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, best first, ties to the smaller vec_id.
 
     `vectors` has vec_id and embedding; `is_query` is a Column over it. Vectors that are null, empty, zero or hold a
     null or non-finite component take no part, nor do rows of null vec_id; a vector meets those of its length only. A
     query gets k rows, or all candidates if there are fewer. Of equal vectors only the k + 1 smallest vec_ids can ever
-    be among a query's k nearest, so the others need no place in the index; all of them may be queries. Of rows that
+    be among a query's k nearest, so the others need no place in the index; all of them may be queries. `wanted` fixes
+    the share of the vectors that a query opens; without it calibrate() sets it. Of rows that
     repeat a vec_id the least vector counts. Other columns are not read.
     """
     v = F.transform("embedding", lambda c: c.cast("double"))
@@ -154,7 +194,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, n_trees: int = 16, leaf: i
     return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _search(clean: DataFrame, k: int, n_trees: int, leaf: int, wanted: float, sample: int, seed: int) -> DataFrame:
+def _search(clean: DataFrame, k: int, n_trees: int, leaf: int, wanted: float | None, sample: int, seed: int) -> DataFrame:
     spark = clean.sparkSession
     kind = dict(clean.dtypes)["vector"]
     first = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
@@ -163,8 +203,9 @@ def _search(clean: DataFrame, k: int, n_trees: int, leaf: int, wanted: float, sa
     ids, s, rng = picked["vec_id"].to_numpy(), np.array(picked["vector"].tolist(), float), np.random.default_rng(seed)
     leaf = max(2, min(leaf, len(s) // 64))
     trees = [build_tree(s, leaf, rng) for _ in range(n_trees)]
-    forest = spark.sparkContext.broadcast(trees)
-    members = spark.sparkContext.broadcast((ids, s, [leaf_of(t, s) for t in trees]))
+    known = (ids, s, [leaf_of(t, s) for t in trees])
+    wanted = calibrate(trees, known, k, seed)[0] if wanted is None else wanted
+    forest, members = spark.sparkContext.broadcast(trees), spark.sparkContext.broadcast(known)
     index = durable(distinct.select("vec_id", "vector").mapInArrow(partial(_index_batches, forest=forest), f"vec_id long, vector {kind}, leaves array<int>"))
     placed = index.select("vec_id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
     counts = [np.zeros(t["leaves"], np.int64) for t in trees]
