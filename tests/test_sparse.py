@@ -136,11 +136,12 @@ def test_pairs_knn_and_dbscan_settings(spark, monkeypatch, block):
     rows = N.unit_sparse(frame(spark, x)).cache()
     live = np.flatnonzero(np.linalg.norm(x, axis=1) > 0)
     reps, _ = N.classes(rows)
-    ids = np.array(sorted(r.rep for r in reps.collect()))
+    ids = np.array([r.first for r in reps.orderBy("rep").select("first").collect()])
+    assert ids.tolist() == sorted(set(live.tolist()) - {100, 101, 102, 103})
     s = unit(x[ids]) @ unit(x[ids]).T
     for least in (0.9, 0.5, 0.2):
         pairs, compared = N.cosine_pairs(reps, least)
-        want = {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(np.triu(s >= least, 1)))}
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= least, 1)))}
         assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) <= compared < len(ids) * (len(ids) - 1) // 2
     d = np.maximum(1 - unit(x[live]) @ unit(x[live]).T, 0)
     np.fill_diagonal(d, np.inf)
@@ -162,6 +163,31 @@ def test_pairs_knn_and_dbscan_settings(spark, monkeypatch, block):
     assert [r.cluster for r in K.dbscan(dense, 0.2, 3).orderBy("id").collect()] == plain_dbscan(x, 0.2, 3).tolist()
 
 
+def test_dense_graphs_and_wide_settings(spark):
+    rng = np.random.default_rng(7)
+    x = np.abs(1 + 0.2 * rng.normal(size=(300, 12)))
+    x[0] = 0
+    rows = N.unit_sparse(frame(spark, x))
+    settings = [(0.02, 5), (0.3, 5), (1.0, 5), (1.0, 400)]
+    got = N.dbscan_settings(rows, settings).cache()
+    for e, m in settings:
+        own = {r.id: r.cluster for r in got.where((F.col("eps") == e) & (F.col("min_samples") == m)).collect()}
+        assert [own[i] for i in range(300)] == plain_dbscan(x, e, m).tolist()
+    small = frame(spark, np.eye(3)[:, :2])
+    assert N.sparse_knn(small, [1, 5]).where("k = 5").count() == 0 and [r.distance for r in N.sparse_knn(small, [1]).collect()] == [1.0, 1.0]
+
+
+def test_periods_are_apart(spark):
+    rng = np.random.default_rng(8)
+    a, b = table(rng, 60, 30, 0.15), table(rng, 60, 30, 0.0, groups=3)
+    rows = N.unit_sparse(frame(spark, a, "a").union(frame(spark, b, "b")))
+    got = N.dbscan_settings(rows, [(0.3, 3), (0.6, 3)]).collect()
+    for period, x in (("a", a), ("b", b)):
+        for e in (0.3, 0.6):
+            own = {r.id: r.cluster for r in got if r.period == period and r.eps == e}
+            assert [own[i] for i in range(60)] == plain_dbscan(x, e, 3).tolist()
+
+
 def test_ranked(spark):
     rng = np.random.default_rng(6)
     ids = rng.integers(-(2**62), 2**62, 5000).tolist()

@@ -7,12 +7,13 @@ items meet, and frequent items mostly stay out. A pair is compared where its fir
 are dealt as pairs of blocks i <= j. Equal rows are compared as one.
 
 For one min_samples a link of two rows counts from the eps on at which it is short enough and both are cores, so clusters
-are nested: links are added in order of that eps, and each setting's components start from those before.
+are nested: links are added in order of that eps, and each setting's components start from those before. A piece gives a
+forest of its links by that order, which joins at every eps what all its links join.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +27,30 @@ from tidewater.operators.sparse import Csr, csr_of, unit_sparse
 
 #: Postings of an item that are compared in one piece.
 BLOCK = 512
+#: Rounding of a distance.
+CLOSE = 1e-12
+
+
+def by_period(rows: DataFrame) -> DataFrame:
+    """The rows with their period; rows of different periods share no item and so are never compared."""
+    return rows if "period" in rows.columns else rows.withColumn("period", F.lit(""))
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(reps, members) of unit rows (id, idx, val) that aren't empty: reps (rep, copies, idx, val), one for each different row; members (id, rep)."""
-    live = rows.where(F.size("idx") > 0)
-    reps = stored(live.groupBy("idx", "val").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "neighbour-classes")
-    members = live.join(reps.select("idx", "val", "rep"), ["idx", "val"]).select("id", "rep")
-    return reps.select("rep", "copies", "idx", "val"), stored(members, "neighbour-members")
+    """(reps, members) of unit rows ([period,] id, idx, val) that aren't empty: reps (rep, period, first, copies, idx, val), one for each
+    different row of a period, numbered in order of their smallest id, `first`; members (period, id, rep)."""
+    live = by_period(rows).where(F.size("idx") > 0)
+    once = live.groupBy("period", "idx", "val").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    reps = stored(ranked(once, "period", "first").withColumnRenamed("place", "rep"), "neighbour-classes")
+    members = live.join(reps.select("period", "idx", "val", "rep"), ["period", "idx", "val"]).select("period", "id", "rep")
+    return reps, stored(members, "neighbour-members")
 
 
 def by_rarity(reps: DataFrame) -> DataFrame:
     """The rows with their items renumbered from the rarest to the most frequent, and in that order."""
-    long = reps.select("rep", F.explode(F.arrays_zip("idx", "val")).alias("e")).select("rep", "e.idx", "e.val")
-    order = ranked(long.groupBy("idx").agg(F.count("*").alias("n")), "n", "idx").select("idx", F.col("place").cast("int").alias("item"))
-    both = long.join(order, "idx").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("item", "val"))).alias("m"))
+    long = reps.select("rep", "period", F.explode(F.arrays_zip("idx", "val")).alias("e")).select("rep", "period", "e.idx", "e.val")
+    order = ranked(long.groupBy("period", "idx").agg(F.count("*").alias("n")), "n", "period", "idx").select("period", "idx", F.col("place").cast("int").alias("item"))
+    both = long.join(order, ["period", "idx"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("item", "val"))).alias("m"))
     return both.join(reps.select("rep", "copies"), "rep").select("rep", "copies", F.col("m.item").alias("idx"), F.col("m.val").alias("val"))
 
 
@@ -52,127 +62,224 @@ def prefix_length(least: float):
     return F.size(F.filter(left, lambda x: x >= least * least * (1 - 1e-9)))
 
 
-def _inner(x: Csr, y: Csr) -> tuple[np.ndarray, int]:
-    """All inner products of two blocks, by y's postings; and how many products of two numbers that took."""
+def _inner(x: Csr, y: Csr) -> np.ndarray:
+    """All inner products of two blocks, by y's postings."""
     order = np.argsort(y.idx, kind="stable")
     items, rows, vals = y.idx[order], y.row[order], y.val[order]
     a, b = np.searchsorted(items, x.idx, "left"), np.searchsorted(items, x.idx, "right")
     n = b - a
-    at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    flat = np.bincount(np.repeat(x.row, n) * len(y) + rows[at], np.repeat(x.val, n) * vals[at], len(x) * len(y))
-    return flat.reshape(len(x), len(y)), int(n.sum())
+    at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+    return np.bincount(np.repeat(x.row, n) * len(y) + rows[at], np.repeat(x.val, n) * vals[at], len(x) * len(y)).reshape(len(x), len(y))
+
+
+class Met:
+    """One piece of an item's postings: two blocks, the cosines of their rows, and which pairs are compared here: those whose first shared prefix item it is."""
+
+    def __init__(self, group):
+        side, item = group["side"].to_numpy(), group["item"][0].as_py()
+        self.own = group["p"][0].as_py() == group["q"][0].as_py()
+        self.left = group.filter(pa.array(side == 0))
+        self.right = self.left if self.own else group.filter(pa.array(side == 1))
+        first = _inner(_before(self.left, item), _before(self.right, item)) == 0
+        self.here = np.triu(first, 1) if self.own else first
+        self.cosine = _inner(csr_of(self.left), csr_of(self.right)) if self.here.any() else np.zeros(first.shape)
+        self.distance = np.maximum(1 - self.cosine, 0)
+        # All rows of the piece, and where the right side's begin.
+        self.rows = self.left if self.own else pa.concat_tables([self.left, self.right])
+        self.shift = 0 if self.own else len(self.left)
+
+    def both(self, of_left: np.ndarray, of_right: np.ndarray) -> np.ndarray:
+        """Sums over the left side's partners and the right side's, for all rows."""
+        return of_left + of_right if self.own else np.r_[of_left, of_right]
+
+    def extra(self) -> np.ndarray:
+        return np.stack([np.asarray(v) for v in self.rows["extra"].to_numpy(zero_copy_only=False)]) if len(self.rows) else np.zeros((0, 0), int)
+
+
+def _before(t, item: int) -> Csr:
+    """The prefix items that come before this one."""
+    m, prefix = csr_of(t), t["prefix"].to_numpy()
+    keep = (np.arange(len(m.idx)) - m.start[:-1][m.row] < prefix[m.row]) & (m.idx < item)
+    return Csr(np.r_[0, np.cumsum(np.bincount(m.row, keep, len(m)))].astype(np.int64), m.idx[keep], np.ones(int(keep.sum())))
 
 
 def _pairs(group, least):
-    """(a, b, cosine) of the pairs of one piece of an item's postings whose first shared prefix item it is; and a row (null, null, comparisons)."""
-    side, item, own = group["side"].to_numpy(), group["item"][0].as_py(), group["p"][0].as_py() == group["q"][0].as_py()
-    left = group.filter(pa.array(side == 0))
-    right = left if own else group.filter(pa.array(side == 1))
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-    if not len(left) or not len(right) or own and len(left) < 2:
-        return none
-
-    def before(t) -> Csr:
-        """The prefix items that come before this one."""
-        m, prefix = csr_of(t), t["prefix"].to_numpy()
-        keep = (np.arange(len(m.idx)) - m.start[:-1][m.row] < prefix[m.row]) & (m.idx < item)
-        return Csr(np.r_[0, np.cumsum(np.bincount(m.row, keep, len(m)))].astype(np.int64), m.idx[keep], np.ones(int(keep.sum())))
-
-    first = _inner(before(left), before(right))[0] == 0
-    if own:
-        first &= np.triu(np.ones(first.shape, bool), 1)
-    cosine, _ = _inner(csr_of(left), csr_of(right))
-    i, j = np.nonzero(first & (cosine >= least))
-    a, b = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
-    found = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[i, j]})
-    return pa.concat_tables([found, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cosine": pa.array([float(first.sum())])})])
+    """(a, b, cosine), and a row (null, null, comparisons)."""
+    m = Met(group)
+    i, j = np.nonzero(m.here & (m.cosine >= least))
+    rep = m.rows["rep"].to_numpy()
+    a, b = rep[i], rep[m.shift + j]
+    found = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": m.cosine[i, j]})
+    return pa.concat_tables([found, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cosine": pa.array([float(m.here.sum())])})])
+
+
+def _nearest(group, k):
+    """(rep, distance, copies): for each row of the piece the k nearest that it is compared with here."""
+    m = Met(group)
+    rep, copies, out = m.rows["rep"].to_numpy(), m.rows["copies"].to_numpy(), [[], [], []]
+    d = np.where(m.here, m.distance, np.inf)
+    sides = [(d, 0, m.shift), (d.T, m.shift, 0)]
+    for far, mine, theirs in sides:
+        best = np.argsort(far, axis=1, kind="stable")[:, :k]
+        row, place = np.nonzero(np.isfinite(np.take_along_axis(far, best, 1)))
+        other = best[row, place]
+        for column, x in zip(out, (rep[mine + row], far[row, other], copies[theirs + other])):
+            column.append(x)
+    return pa.table(dict(zip(("rep", "distance", "copies"), map(np.concatenate, out))))
+
+
+def _degrees(group, epss):
+    """(rep, level, n): copies of the others within each eps, for rows that have some."""
+    m = Met(group)
+    rep, copies, out = m.rows["rep"].to_numpy(), m.rows["copies"].to_numpy(), [[], [], []]
+    for level, eps in enumerate(epss):
+        near = m.here & (m.distance <= eps + CLOSE)
+        n = m.both(near @ copies[m.shift :], copies[: len(m.left)] @ near)
+        at = np.flatnonzero(n)
+        for column, x in zip(out, (rep[at], np.full(len(at), level), n[at])):
+            column.append(x.astype(np.int64))
+    return pa.table(dict(zip(("rep", "level", "n"), map(np.concatenate, out))))
+
+
+def _forests(group, epss):
+    """(setting, a, b, level): for each min_samples a forest of the piece's links by the level from which they count. extra: a row's first level as a core."""
+    m = Met(group)
+    rep, first, out = m.rows["rep"].to_numpy(), m.extra(), [[], [], [], []]
+    long = np.where(m.here, np.searchsorted(np.array(epss) + CLOSE, m.distance), len(epss))
+    for s in range(first.shape[1] if len(first) else 0):
+        at = np.maximum(long, np.maximum(first[: len(m.left), s][:, None], first[m.shift :, s][None, :]))
+        root = np.arange(len(rep))
+        for level in range(len(epss)):
+            i, j = np.nonzero(at == level)
+            j = j + m.shift
+            now = root.copy()
+            while True:
+                low = np.minimum(now[i], now[j])
+                new = now.copy()
+                np.minimum.at(new, now[i], low)
+                np.minimum.at(new, now[j], low)
+                new = new[new][root]
+                if (new == now).all():
+                    break
+                now = new
+            joined = np.flatnonzero((root == np.arange(len(rep))) & (now != root))
+            for column, x in zip(out, (np.full(len(joined), s), rep[joined], rep[now[joined]], np.full(len(joined), level))):
+                column.append(x.astype(np.int64))
+            root = now
+    columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+    return pa.table(dict(zip(("setting", "a", "b", "level"), columns)))
+
+
+def _borders(group, settings):
+    """(rep, setting, cluster): the smallest cluster of cores near each row that isn't one. extra: a row's cluster in each setting if it is a core, else -1."""
+    m = Met(group)
+    rep, own, most, out = m.rows["rep"].to_numpy(), m.extra(), np.iinfo(np.int64).max, [[], [], []]
+    for s, eps in enumerate(settings):
+        near = m.here & (m.distance <= eps + CLOSE)
+        c = np.where(own[:, s] >= 0, own[:, s], most)
+        left = np.where(near, c[m.shift :][None, :], most).min(1, initial=most)
+        right = np.where(near, c[: len(m.left)][:, None], most).min(0, initial=most)
+        best = np.minimum(left, right) if m.own else np.r_[left, right]
+        at = np.flatnonzero((best < most) & (own[:, s] < 0))
+        for column, x in zip(out, (rep[at], np.full(len(at), s), best[at])):
+            column.append(x.astype(np.int64))
+    return pa.table(dict(zip(("rep", "setting", "cluster"), map(np.concatenate, out))))
+
+
+class Index:
+    """Rows (rep, copies, idx, val) by their prefix items at cosine `least`; each pass compares every pair that may reach it once."""
+
+    def __init__(self, reps: DataFrame, least: float):
+        self.rows = stored(by_rarity(reps).withColumn("prefix", prefix_length(least)), "neighbour-rows")
+        items = self.rows.select(F.explode(F.slice("idx", F.lit(1), F.col("prefix"))).alias("item"))
+        self.blocks = stored(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select("item", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "neighbour-blocks")
+
+    def over(self, f, schema: str, extra: DataFrame | None = None) -> DataFrame:
+        """What f makes of every piece; extra: (rep, extra), an array of ints for each row."""
+        columns = ["rep", "copies", "idx", "val", "prefix"] + (["extra"] if extra is not None else [])
+        rows = self.rows if extra is None else self.rows.join(extra, "rep")
+        posted = rows.select(*columns, F.explode(F.slice("idx", F.lit(1), F.col("prefix"))).alias("item"))
+        dealt = posted.join(self.blocks, "item").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        one = dealt.select("item", F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q"), F.lit(0).alias("side"), *columns)
+        other = dealt.where("block > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("p"), F.col("block").alias("q"), F.lit(1).alias("side"), *columns)
+        return one.union(other).groupBy("item", "p", "q").applyInArrow(f, schema)
 
 
 def cosine_pairs(reps: DataFrame, least: float) -> tuple[DataFrame, int]:
-    """(pairs, comparisons): pairs (a, b, cosine), a < b, of rows (rep, copies, idx, val) at cosine `least` or more and above 0, exactly; and how many pairs were compared."""
-    rows = stored(by_rarity(reps).withColumn("prefix", prefix_length(least)), "neighbour-rows")
-    posted = rows.select("rep", "idx", "val", "prefix", F.explode(F.slice("idx", F.lit(1), F.col("prefix"))).alias("item"))
-    counts = posted.groupBy("item").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = posted.join(counts, "item").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    columns = ["rep", "idx", "val", "prefix"]
-    one = dealt.select("item", F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q"), F.lit(0).alias("side"), *columns)
-    other = dealt.where("block > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("p"), F.col("block").alias("q"), F.lit(1).alias("side"), *columns)
-    floor = least if least > 0 else 1e-12
-    found = stored(one.union(other).groupBy("item", "p", "q").applyInArrow(partial(_pairs, least=floor), "a long, b long, cosine double"), "neighbour-pairs")
+    """(pairs, comparisons): the join itself, a row (a, b, cosine), a < b, for each pair of rows (rep, copies, idx, val) at cosine `least` > 0 or more; and how many pairs were compared."""
+    found = stored(Index(reps, least).over(partial(_pairs, least=least), "a long, b long, cosine double"), "neighbour-pairs")
     return found.where("a is not null"), int(found.where("a is null").agg(F.sum("cosine")).first()[0] or 0)
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """(rep, other, distance)."""
-    d = F.greatest(1 - F.col("cosine"), F.lit(0.0)).alias("distance")
-    return pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), d).union(pairs.select("b", "a", d))
-
-
 def sparse_knn(rows: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, id, distance): cosine distance to the k-th other row, for unit rows (id, idx, val); empty rows take no part. Rows without a shared item are at distance 1."""
+    """(k, id, distance): cosine distance to the k-th other row, for unit rows (id, idx, val); empty rows take no part.
+    Rows without a shared item are at distance 1. A row leaves k distances for each of its items' pieces, never all."""
     reps, members = classes(rows)
     total = members.count()
-    near = both_ways(cosine_pairs(reps, 0.0)[0]).join(reps.select(F.col("rep").alias("other"), "copies"), "other").select("rep", "distance", "copies")
+    near = Index(reps, 0.0).over(partial(_nearest, k=max(ks)), "rep long, distance double, copies long")
     # A row's own copies are at distance 0.
     near = near.union(reps.where("copies > 1").select("rep", F.lit(0.0), F.col("copies") - 1))
     held = F.sum("copies").over(W.partitionBy("rep").orderBy("distance").rowsBetween(W.unboundedPreceding, 0))
-    reached = near.withColumn("held", held)
-    out = None
-    for k in ks:
-        own = reached.where(F.col("held") >= k).groupBy("rep").agg(F.min("distance").alias("distance"))
-        each = members.join(own, "rep", "left").select(F.lit(k).alias("k"), "id", F.coalesce("distance", F.lit(1.0)).alias("distance"))
-        each = each if total > k else each.where("false")
-        out = each if out is None else out.union(each)
-    return out
+    reached = stored(near.withColumn("held", held).groupBy("rep").agg(*[F.min(F.when(F.col("held") >= k, F.col("distance"))).alias(f"d{k}") for k in ks]), "neighbour-distances")
+    whole = members.join(reached, "rep", "left").where(F.lit(True))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"d{k}", F.lit(1.0)).alias("distance")) for k in ks if total > k] or [F.lit(None).cast("struct<k: int, distance: double>")]))
+    return whole.select("id", each.alias("x")).where("x is not null").select("x.k", "id", "x.distance")
 
 
 def dbscan_settings(rows: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
-    """(eps, min_samples, id, cluster) for each setting, for unit rows (id, idx, val), eps below 1; as cluster.dbscan() labels them one at a time.
+    """([period,] eps, min_samples, id, cluster) for each setting, for unit rows ([period,] id, idx, val) without negative values; as cluster.dbscan() labels them one at a time.
 
     A row is its own neighbour; empty rows and noise are -1; clusters are numbered by their smallest core id; a border
-    row takes the smallest cluster near it. The pairs at the largest eps are found once.
+    row takes the smallest cluster near it. Three passes serve all settings and periods: degrees, forests of links,
+    borders; none emits pairs, so a graph in which almost all rows are near each other is no harder. From eps 1 on all rows are near.
     """
+    spark, kept = rows.sparkSession, [c for c in ("period",) if c in rows.columns]
+    rows = by_period(rows)
     reps, members = classes(rows)
-    widest = max(e for e, _ in settings)
-    pairs, _ = cosine_pairs(reps, 1 - widest - 1e-12)
-    near = stored(both_ways(pairs), "neighbour-near")
-    weigh = near.join(reps.select(F.col("rep").alias("other"), "copies"), "other")
-    # Neighbours within each eps, from one pass over the pairs.
-    epss = sorted({e for e, _ in settings})
-    degrees = weigh.groupBy("rep").agg(*[F.sum(F.when(F.col("distance") <= e, F.col("copies")).otherwise(0)).alias(f"n{i}") for i, e in enumerate(epss)])
-    degrees = stored(reps.select("rep", "copies").join(degrees, "rep", "left").select("rep", *[(F.col("copies") + F.coalesce(f"n{i}", F.lit(0))).alias(f"n{i}") for i in range(len(epss))]), "neighbour-degrees")
-    out = None
-    for ms in sorted({m for _, m in settings}):
-        # The first eps at which a row is a core.
-        first = F.coalesce(*[F.when(F.col(f"n{i}") >= ms, F.lit(e)) for i, e in enumerate(epss)])
-        cores = stored(degrees.select("rep", first.alias("from")).where("from is not null"), "neighbour-cores")
-        ends = near.where("rep < other").join(cores, "rep").join(cores.select(F.col("rep").alias("other"), F.col("from").alias("other_from")), "other")
-        links = stored(ends.select(F.col("rep").alias("a"), F.col("other").alias("b"), F.greatest("distance", "from", "other_from").alias("at")), "neighbour-links")
-        roots, last = cores.select("rep", F.col("rep").alias("root")), -1.0
-        for e in epss:
-            # Links of earlier eps are in `roots` already; new ones join the clusters that stand.
-            new = links.where((F.col("at") > last) & (F.col("at") <= e)).join(roots.select(F.col("rep").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("rep").alias("b"), F.col("root").alias("rb")), "b")
-            merged = components(new.where("ra <> rb").select("ra", "rb").toDF("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            roots, last = stored(roots.join(merged, "root", "left").select("rep", F.coalesce("to", "root").alias("root")), "neighbour-roots"), e
-            if (e, ms) in settings:
-                labels = _labelled(rows, members, near, cores.where(F.col("from") <= e), roots, e).select(F.lit(e).alias("eps"), F.lit(ms).alias("min_samples"), "id", "cluster")
-                out = labels if out is None else out.union(labels)
-    return out
-
-
-def _labelled(rows: DataFrame, members: DataFrame, near: DataFrame, cores: DataFrame, roots: DataFrame, eps: float) -> DataFrame:
-    cores = roots.join(cores.select("rep"), "rep", "left_semi")
-    numbers = ranked(cores.select("root").distinct(), "root").select("root", F.col("place").cast("int").alias("cluster"))
-    cores = stored(cores.join(numbers, "root").select("rep", "cluster"), "neighbour-clusters")
-    border = near.where(F.col("distance") <= eps).join(cores.select(F.col("rep").alias("other"), "cluster"), "other").join(cores.select("rep"), "rep", "left_anti").groupBy("rep").agg(F.min("cluster").alias("cluster"))
-    return rows.select("id").join(members.join(cores.union(border), "rep").select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    epss, samples = sorted({e for e, _ in settings if e < 1}), sorted({m for _, m in settings})
+    index = Index(reps, 1 - epss[-1] - CLOSE) if epss else None
+    counts = reps.select("rep", "copies")
+    if index:
+        found = index.over(partial(_degrees, epss=epss), "rep long, level long, n long").groupBy("rep").pivot("level", list(range(len(epss)))).agg(F.sum("n"))
+        counts = counts.join(found, "rep", "left")
+    counts = counts.select("rep", *[(F.col("copies") + F.coalesce(F.col(str(i)), F.lit(0))).alias(f"n{i}") for i in range(len(epss))])
+    # For each min_samples the first level at which a row is a core.
+    first = F.array(*[F.coalesce(*[F.when(F.col(f"n{i}") >= m, F.lit(i)) for i in range(len(epss))], F.lit(len(epss))) for m in samples])
+    cores = stored(counts.select("rep", first.alias("extra")), "neighbour-cores")
+    near = [(e, m) for e, m in settings if e < 1]
+    named = F.array(*[F.struct(F.lit(i).cast("long").alias("at"), F.lit(epss.index(e)).alias("top"), F.lit(samples.index(m)).alias("ms")) for i, (e, m) in enumerate(near)]) if near else None
+    labels = spark.createDataFrame([], "setting long, period string, id long, cluster long")
+    if near:
+        links = stored(index.over(partial(_forests, epss=epss), "setting long, a long, b long, level long", cores), "neighbour-links")
+        # A node for each row and setting; a setting's links are those up to its level.
+        node = lambda c: F.col(c) * len(near) + F.col("x.at")
+        edges = links.select("*", F.explode(named).alias("x")).where((F.col("x.ms") == F.col("setting")) & (F.col("level") <= F.col("x.top"))).select(node("a").alias("a"), node("b").alias("b"))
+        own = cores.select("rep", "extra", F.explode(named).alias("x")).where(F.get("extra", F.col("x.ms")) <= F.col("x.top")).select("rep", F.col("x.at").alias("setting"), node("rep").alias("node"))
+        roots = own.join(components(edges), "node", "left").select("rep", "setting", F.coalesce("root", "node").alias("root"))
+        roots = stored(roots.join(reps.select("rep", "period"), "rep"), "neighbour-roots")
+        # Clusters are numbered from 0 in each period and setting.
+        order = ranked(roots.select("period", "setting", "root").distinct(), "period", "setting", "root")
+        front = order.groupBy("period", "setting").agg(F.min("place").alias("front"))
+        numbers = order.join(F.broadcast(front), ["period", "setting"]).select("root", (F.col("place") - F.col("front")).alias("cluster"))
+        cored = stored(roots.join(numbers, "root").select("rep", "setting", "cluster"), "neighbour-clusters")
+        wide = cored.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("setting", "cluster"))).alias("m"))
+        known = reps.select("rep").join(wide, "rep", "left").select("rep", F.array(*[F.coalesce(F.try_element_at("m", F.lit(i).cast("long")), F.lit(-1)) for i in range(len(near))]).alias("extra"))
+        border = index.over(partial(_borders, settings=[e for e, _ in near]), "rep long, setting long, cluster long", stored(known, "neighbour-known")).groupBy("rep", "setting").agg(F.min("cluster").alias("cluster"))
+        labels = members.join(cored.select("rep", "setting", "cluster").union(border.select("rep", "setting", "cluster")), "rep").select("setting", "period", "id", "cluster")
+    for e, m in [x for x in settings if x[0] >= 1]:
+        near.append((e, m))
+        whole = members.groupBy("period").agg(F.count("*").alias("n")).where(F.col("n") >= m)
+        labels = labels.union(members.join(whole, "period").select(F.lit(len(near) - 1).cast("long"), "period", "id", F.lit(0).cast("long")))
+    every = F.broadcast(spark.createDataFrame([(i, float(e), m) for i, (e, m) in enumerate(near)], "setting long, eps double, min_samples int"))
+    full = rows.select("period", "id").crossJoin(every).join(labels, ["setting", "period", "id"], "left")
+    return full.select(*kept, "eps", "min_samples", "id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def sparse_silhouette(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(eps, min_samples, silhouette) of labels (eps, min_samples, id, cluster) over unit rows (id, idx, val): the mean cosine
+    """([period,] eps, min_samples, silhouette) of labels (..., id, cluster) over unit rows ([period,] id, idx, val): the mean cosine
     silhouette of rows that aren't empty and have a label, null with fewer than two rows or clusters. Linear in the entries."""
-    by = ["eps", "min_samples"]
-    live = labels.where("cluster >= 0").join(rows.where(F.size("idx") > 0), "id")
+    by = [c for c in labels.columns if c not in ("id", "cluster")]
+    live = labels.where("cluster >= 0").join(rows.where(F.size("idx") > 0), [c for c in ("period", "id") if c in rows.columns])
     sizes = live.groupBy(*by, "cluster").agg(F.count("*").alias("n"))
     long = live.select(*by, "id", "cluster", F.explode(F.arrays_zip("idx", "val")).alias("e")).select(*by, "id", "cluster", "e.idx", "e.val")
     sums = long.groupBy(*by, "cluster", "idx").agg(F.sum("val").alias("s"))

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.config import Rules
+from tidewater.operators.graph import stored_path
+from tidewater.operators.order import ranked
+from tidewater.operators.sparse import sparse_rows
 
 
 def time_split(ratings: DataFrame, rules: Rules) -> DataFrame:
     return ratings.withColumn("period", F.when(F.col("ts") <= rules.t1, "train").when(F.col("ts") <= rules.t2, "val").otherwise("test"))
 
 
-def vocabulary(split: DataFrame, column: str, bins: int = 1024) -> DataFrame:
-    """(id, idx): distinct train ids in order, from 0. Ranks are taken in id ranges and carried over the ranges' counts."""
+def vocabulary(split: DataFrame, column: str) -> DataFrame:
+    """(id, idx): distinct train ids in order, from 0; see ranked()."""
     ids = split.where("period = 'train'").select(F.col(column).alias("id")).distinct()
-    ranges = ids.withColumn("bin", F.floor(F.col("id") / bins))
-    fronts = ranges.groupBy("bin").count().select("bin", F.coalesce(F.sum("count").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("front"))
-    inside = F.row_number().over(W.partitionBy("bin").orderBy("id")) - 1
-    return ranges.withColumn("inside", inside).join(fronts, "bin").select("id", (F.col("front") + F.col("inside")).alias("idx"))
+    return ranked(ids, "id").select("id", F.col("place").alias("idx"))
 
 
 def train_ids(split: DataFrame, column: str) -> DataFrame:
@@ -37,14 +37,27 @@ def user_item_cells(split: DataFrame) -> DataFrame:
 
 
 def profile_vectors(cells: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, vector): a row for each vocabulary user, also of users without cells; sparse vectors over the item vocabulary."""
-    width = items.count()
-    pair = F.struct(F.col("idx").cast("int").alias("i"), F.col("value").cast("double").alias("v"))
-    own = cells.join(items, F.col("item_id") == F.col("id")).groupBy("user_id").agg(F.array_sort(F.collect_list(pair)).alias("m"))
-    full = users.select(F.col("id").alias("user_id")).join(own, "user_id", "left")
-    # There is no function that makes a sparse vector of columns.
-    sparse = F.udf(lambda i, v: Vectors.sparse(width, i or [], v or []), VectorUDT())
-    return full.select("user_id", sparse("m.i", "m.v").alias("vector"))
+    """(user_id, vector): a row for each vocabulary user, also of users without cells; sparse vectors over the item vocabulary.
+
+    The fields of a sparse vector are written as Parquet and read back under the vector type, so no row passes through Python.
+    """
+    rows = sparse_rows(cells, users, items)
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(items.count()).cast("int").alias("size"), F.col("idx").alias("indices"), F.col("val").alias("values"))
+    path = stored_path(rows.sparkSession, "profile-vectors")
+    rows.select(F.col("id").alias("user_id"), vector.alias("vector")).write.parquet(path)
+    return rows.sparkSession.read.schema(StructType([StructField("user_id", LongType()), StructField("vector", VectorUDT())])).parquet(path)
+
+
+def profile_tables(split: DataFrame, users: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
+    """All that a later stage reads of a profile: the cells of each period by vocabulary places, vocabularies, attributes and train statistics."""
+    who, what = vocabulary(split, "user_id"), vocabulary(split, "item_id")
+    cells = user_item_cells(split).join(who.select(F.col("id").alias("user_id"), F.col("idx").alias("row")), "user_id").join(what.select(F.col("id").alias("item_id"), F.col("idx").alias("column")), "item_id")
+    stats = user_stats(split)
+    tables = {f"cells_{p}": cells.where(F.col("period") == p).select("row", "column", "value") for p in ("train", "val", "test")}
+    return tables | {
+        "user_vocabulary": who, "item_vocabulary": what, "users": users, "items": items, "user_stats": stats, "item_stats": item_stats(split), "global_mean": global_mean(split),
+        "low_history": low_history(stats), "new_items": new_items(split), "meta": profile_meta(split),
+    }
 
 
 def user_stats(split: DataFrame) -> DataFrame:

@@ -148,6 +148,11 @@ ORACLES: dict[str, str] = {
     "monthly_histogram": _q(_RAW, "select strftime(to_timestamp(lt) at time zone 'UTC','%Y-%m') as month, count(*) n from r4 where lr between 1 and 5 and lt between 788918400 and 1009843199 group by 1"),
     "order_statistics": _q(_RAW, "select share, ts from (select lt ts, row_number() over (order by lt)-1 k, count(*) over () n from r4 where lr between 1 and 5 and lt between 788918400 and 1009843199) join (select unnest([0.0::double,0.25,0.5,0.9,0.99]) share) on k=least(floor(n*share)::bigint,n-1)"),
     "dirty_samples": _q(_RAW, "select kind, defect, place, line from (select *, row_number() over (partition by kind, defect order by line)::int place from (select kind, line, unnest(list_filter([case when len(f)<>w then 'width' end, case when kind='ratings' and len(f)=w and try_cast(f[4] as bigint)>2000000000 then 'late_ts' end, case when kind='ratings' and len(f)=w and not coalesce(try_cast(f[3] as bigint) between 1 and 5,false) then 'rating' end, case when kind='users' and len(f)=w and f[2] not in ('F','M') then 'gender' end, case when kind='users' and len(f)=w and f[3] not in ('1','18','25','35','45','50','56') then 'age' end, case when kind='users' and len(f)=w and coalesce(try_cast(f[4] as int),-1) not between 0 and 20 then 'occupation' end, case when kind='movies' and len(f)=w and not coalesce(nullif(regexp_extract(f[2],'\\(([0-9]{4})\\)',1),'')::int between 1880 and 2010,false) then 'year' end, case when kind='movies' and len(f)=w and (trim(f[3])='' or not list_has_all(" + _GENRES + ", string_split(regexp_replace(f[3],'[|]+$',''),'|'))) then 'genre' end], lambda x: x is not null)) defect from rf)) where place<=3"),
+    "typed_failures": _q(_RAW, "select kind, reason, n from (" + " union all ".join([
+        "select kind, unnest(['lines','failed','no_user_id','no_item_id','no_rating','no_ts']) reason, unnest([count(*), count(*) filter (u is null or i is null or r is null or t is null), count(*) filter (u is null), count(*) filter (i is null), count(*) filter (r is null), count(*) filter (t is null)]) n from (select kind, try_cast(f[1] as bigint) u, try_cast(f[2] as bigint) i, try_cast(f[3] as int) r, try_cast(f[4] as bigint) t from rf where kind='ratings') group by kind",
+        "select kind, unnest(['lines','failed','no_user_id','no_gender','no_age','no_occupation','no_zip']), unnest([count(*), count(*) filter (u is null or g is null or a is null or o is null or z is null), count(*) filter (u is null), count(*) filter (g is null), count(*) filter (a is null), count(*) filter (o is null), count(*) filter (z is null)]) from (select kind, try_cast(f[1] as bigint) u, f[2] g, try_cast(f[3] as int) a, try_cast(f[4] as int) o, f[5] z from rf where kind='users') group by kind",
+        "select kind, unnest(['lines','failed','no_item_id','no_title','no_genres']), unnest([count(*), count(*) filter (i is null or t is null or g is null), count(*) filter (i is null), count(*) filter (t is null), count(*) filter (g is null)]) from (select kind, try_cast(f[1] as bigint) i, f[2] t, f[3] g from rf where kind='movies') group by kind"]) + ")"),
+    "profile_export": _q(_TYPED, "select 'cells_' || period name, count(distinct (user_id, item_id)) n from iv group by period union all select 'user_vocabulary', count(*) from tu union all select 'item_vocabulary', count(*) from ti union all select 'users', count(*) from us union all select 'items', count(*) from im union all select 'user_stats', count(*) from tu union all select 'item_stats', count(*) from ti union all select 'global_mean', 1 union all select 'low_history', count(*) from (select user_id from sp where period='train' group by user_id having count(*) < 5) union all select 'new_items', count(distinct period) from sp where period<>'train' union all select 'meta', count(distinct period) from sp"),
     "time_split": _q(_TYPED, "select period, rating, count(*) n from sp group by all"),
     "vocabulary": _q(_TYPED, "select user_id id, row_number() over (order by user_id)-1 idx from tu"),
     "user_item_cells": _q(_TYPED, "select * from ce"),

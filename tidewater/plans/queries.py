@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.ml.feature import Normalizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +12,20 @@ from tidewater.functions import rules as R
 from tidewater.operators import classify as L
 from tidewater.operators import cluster as K
 from tidewater.operators import govern as C
+from tidewater.operators import kmeans as KM
+from tidewater.operators import neighbours as N
 from tidewater.operators import probe as P
 from tidewater.operators import profile as FE
 from tidewater.operators import reduce as D
+from tidewater.operators import results as G
+from tidewater.operators import sparse as SP
 from tidewater.operators import summaries as S
-from tidewater.operators.graph import durable
-from tidewater.sources.records import detect_bad_decoding, read_ids, star_raw, to_typed
+from tidewater.operators.graph import durable, stored, stored_path
+from tidewater.sources.records import detect_bad_decoding, read_ids, star_raw, to_typed, write_profile, write_typed
 
 EPS, MIN_SAMPLES = 0.68, 5
+#: The grids on profiles.
+PERIODS, KS, SEEDS, SAMPLES, PERCENTS, DIMS = ("train", "val", "test"), [5, 6, 7, 8], 10, [3, 5], [50, 70, 90], [2, 10, 20, 50]
 
 
 class Star:
@@ -67,6 +72,49 @@ class Star:
         e = self.spark.read.parquet(f"{self.dir}/embeddings.parquet")
         return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
+    @cached_property
+    def vocabularies(self):
+        return durable(FE.vocabulary(self.split, "user_id")), durable(FE.vocabulary(self.split, "item_id"))
+
+    @cached_property
+    def profiles(self):
+        """(period, id, idx, val): the user x item rows of each period, over the train vocabulary, of length 1."""
+        return stored(N.unit_sparse(SP.sparse_rows(FE.user_item_cells(self.split), *self.vocabularies, by=["period"])), "profiles")
+
+    def profile(self, period):
+        return self.profiles.where(F.col("period") == period).select("id", "idx", "val")
+
+    @cached_property
+    def profile_values(self):
+        """(id, idx, val): the train rows with ratings as they are."""
+        return stored(SP.sparse_rows(self.cells, *self.vocabularies), "profile-values")
+
+    @cached_property
+    def profile_runs(self):
+        """Grid and centres of k-means: every k, seed and period."""
+        return KM.fit_runs(self.profiles, self.vocabularies[1].count(), KS, SEEDS)
+
+    @cached_property
+    def profile_fits(self):
+        """PCA and SVD of the train rows, as many components as the largest dimension."""
+        width = self.vocabularies[1].count()
+        return {a: D.fit(self.profile_values, max(DIMS), a == "pca", width) for a in ("pca", "svd")}
+
+    @cached_property
+    def dbscan_labels(self):
+        """(period, eps, min_samples, id, cluster) for eps at percentiles of the train rows' distance to the min_samples-th neighbour."""
+        knn = durable(N.sparse_knn(self.profile("train"), SAMPLES))
+        settings = sorted({(r["eps"], m) for m in SAMPLES for r in K.eps_candidates(knn.where(F.col("k") == m), PERCENTS).collect()}, key=lambda x: (x[1], x[0]))
+        return settings, stored(N.dbscan_settings(self.profiles, settings), "dbscan-labels")
+
+    @cached_property
+    def results(self):
+        """The stored results of all grids."""
+        path = stored_path(self.spark, "results")
+        for rows in _fitted(self):
+            G.record(path, rows)
+        return path
+
     @property
     def user_rows(self):
         """(id, x): each user's mean rating and share of events by genre, from train cells."""
@@ -138,16 +186,92 @@ def _eps(rows) -> float:
 
 
 def _profile_kmeans(s):
-    """k-means on the sparse user x item profiles of each period, over the train vocabulary."""
-    users, items, out = durable(FE.vocabulary(s.split, "user_id")), durable(FE.vocabulary(s.split, "item_id")), []
-    every = durable(FE.user_item_cells(s.split))
-    for period in ("train", "val", "test"):
-        own = FE.profile_vectors(every.where(F.col("period") == period), users, items)
-        unit = durable(Normalizer(inputCol="vector", outputCol="features").transform(own).select(F.col("user_id").alias("id"), "features"))
-        for k, (labelled, cost) in K.fit_kmeans(unit, [5], n_init=2, max_iter=20).items():
-            sizes = [r["n"] for r in K.cluster_sizes(labelled, k).orderBy("cluster").collect()]  # k rows
-            out.append((period, k, cost, sizes))
-    return s.spark.createDataFrame(out, "period string, k int, sse double, sizes array<long>")
+    """k-means on the sparse user x item profiles of each period: the best of all seeds for each k."""
+    rows = [(p, k, sse, sil, sizes) for p, k, _, sse, sil, sizes in KM.best_runs(s.profile_runs[0])]
+    return s.spark.createDataFrame(rows, "period string, k int, sse double, silhouette double, sizes array<long>")
+
+
+def _profile_dbscan(s):
+    """DBSCAN on the profiles: (period, position, eps, min_samples, clusters, noise, largest, silhouette)."""
+    settings, labels = s.dbscan_labels
+    places = F.broadcast(s.spark.createDataFrame([(i, float(e), m) for i, (e, m) in enumerate(settings)], "position int, eps double, min_samples int"))
+    by = ["period", "eps", "min_samples"]
+    live = labels.join(s.profiles.where(F.size("idx") > 0).select("period", "id"), ["period", "id"], "left_semi")
+    sizes = live.where("cluster >= 0").groupBy(*by, "cluster").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count("*").alias("clusters"), F.max("n").alias("largest"))
+    noise = live.groupBy(*by).agg(F.round(F.avg((F.col("cluster") == -1).cast("double")), 4).alias("noise"))
+    row = noise.join(sizes, by, "left").join(N.sparse_silhouette(s.profiles, labels), by, "left").join(places, by[1:])
+    return durable(row.select("period", "position", "eps", "min_samples", F.coalesce("clusters", F.lit(0)).alias("clusters"), "noise", F.coalesce("largest", F.lit(0)).alias("largest"), F.round("silhouette", 6).alias("silhouette")))
+
+
+def _selected(s) -> tuple[int, float, int]:
+    """k, eps and min_samples that the val rows of the stored results choose."""
+    r = G.read_results(s.spark, s.results)
+    of = lambda m: F.try_element_at("metrics", F.lit(m))
+    val = r.where(of("period") == PERIODS.index("val"))
+    k = K.select_kmeans(val.where("algorithm = 'kmeans'").select(of("k").cast("int").alias("k"), of("silhouette").alias("silhouette"))).first()["k"]
+    d = K.select_dbscan(val.where("algorithm = 'dbscan'").select("position", *[of(m).alias(m) for m in ("eps", "min_samples", "clusters", "noise", "silhouette")])).first()
+    return k, d["eps"], int(d["min_samples"])
+
+
+def _fitted(s):
+    """The results of every grid, for the stored table."""
+    version = "v1"
+    period = F.element_at(F.create_map(*[x for i, p in enumerate(PERIODS) for x in (F.lit(p), F.lit(i))]), F.col("period"))
+    yield G.rows_of(_logreg(s), "class", "logreg", ["params"], ["val_ap", "test_ap", "test_f1"], version, "position")
+    yield G.rows_of(_trees(s), "class", "tree", ["params"], ["val_ap", "test_ap", "test_f1"], version, "position")
+    km = _profile_kmeans(s)
+    yield G.rows_of(km.select(F.col("period").alias("of"), period.alias("period"), "k", "sse", "silhouette"), "cluster", "kmeans", ["of", "k"], ["period", "k", "sse", "silhouette"], version, "k")
+    db = _profile_dbscan(s)
+    yield G.rows_of(db.select(F.col("period").alias("of"), period.alias("period"), *db.columns[1:]), "cluster", "dbscan", ["of", "eps", "min_samples"], ["period", "eps", "min_samples", "clusters", "noise", "silhouette"], version, "position")
+    for a in ("pca", "svd"):
+        yield G.rows_of(D.report_of(s.spark, s.profile_fits[a], a, DIMS), "reduce", a, ["dim"], ["dim", "evr", "error"], version, "dim")
+
+
+_METRICS = {("class", "logreg"): "val_ap", ("class", "tree"): "val_ap", ("cluster", "kmeans"): "silhouette", ("cluster", "dbscan"): "silhouette", ("reduce", "pca"): "evr", ("reduce", "svd"): "evr"}
+
+
+def _results_overview(s):
+    r = G.read_results(s.spark, s.results)
+    own = F.coalesce(F.try_element_at("metrics", F.lit("period")), F.lit(PERIODS.index("val"))) == PERIODS.index("val")
+    return G.results_overview(r.where(own), _METRICS)
+
+
+def _results_selected(s):
+    k, eps, ms = _selected(s)
+    best = L.select_best(G.read_results(s.spark, s.results).where("task = 'class'").select("params", F.try_element_at("metrics", F.lit("val_ap")).alias("val_ap"), F.xxhash64("params").alias("position")), "val_ap", "position").first()
+    return s.spark.createDataFrame([(best["params"], best["val_ap"], k, eps, ms)], "classifier string, val_ap double, k int, eps double, min_samples int")
+
+
+def _results_reduction(s):
+    r = G.read_results(s.spark, s.results)
+    return G.reduction_row(r, "pca", 10).union(G.reduction_row(r, "svd", 50)).union(G.reduction_row(r, "pca", 12))
+
+
+def _spaces(s) -> dict[str, DataFrame]:
+    """The train profile as it is and in reduced coordinates (id, idx, val), of length 1."""
+    low = {}
+    for a, m in s.profile_fits.items():
+        for k in (2, 50):
+            coords = D.project(s.profile_values, D.leading(m, k)).withColumnRenamed("coords", "x")
+            low[f"{a}-{k}"] = stored(N.unit_sparse(SP.dense_as_sparse(coords)), f"coords-{a}-{k}")
+    return {"original": s.profile("train")} | low
+
+
+def _typed_failures(s):
+    """Lines of the raw records that don't cast, by kind and column, counted while the others are written."""
+    rows = []
+    for kind in ("ratings", "users", "movies"):
+        seen = write_typed(s.raw.where(F.col("kind") == kind).select("line"), kind, stored_path(s.spark, "typed"))
+        rows += [(kind, name, n) for name, n in seen.items()]
+    return s.spark.createDataFrame(rows, "kind string, reason string, n long")
+
+
+def _profile_export(s):
+    """Rows of each table of the profile, as written and read back."""
+    out, tables = stored_path(s.spark, "profile"), FE.profile_tables(s.split, s.typed("users"), s.typed("movies"))
+    write_profile(tables, out)
+    counts = [s.spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in tables]
+    return reduce(DataFrame.union, counts)
 
 
 def _models(s) -> dict:
@@ -181,23 +305,30 @@ def _task_rows(s) -> DataFrame:
 
 
 def _comparison(s):
-    x = durable(s.user_rows)
-    low = lambda centred: durable(D.project(x, D.fit(x, 2, centred)).withColumnRenamed("coords", "x"))
-    out = []
-    for name, rows in (("original", x), ("pca-2", low(True)), ("svd-2", low(False))):
-        (labelled, cost), = K.kmeans_grid(rows, [5], n_init=2).values()
-        sizes = [r["n"] for r in K.cluster_sizes(labelled, 5).orderBy("cluster").collect()]  # five rows
-        labels = durable(K.dbscan(rows, _eps(rows), MIN_SAMPLES))
-        m = K.dbscan_metrics(labels, rows).first()
-        out.append((name, K.cosine_silhouette(labelled), cost, sizes, m["clusters"], m["noise"]))
-    return s.spark.createDataFrame(out, "space string, kmeans_silhouette double, kmeans_sse double, kmeans_sizes array<long>, dbscan_clusters long, dbscan_noise double")
+    """k-means and DBSCAN with the selected parameters on the train profile and on its reductions."""
+    (k, eps, ms), out = _selected(s), []
+    for name, rows in _spaces(s).items():
+        columns = s.vocabularies[1].count() if name == "original" else int(name.split("-")[1])
+        grid, _ = KM.fit_runs(rows.select(F.lit("train").alias("period"), "*"), columns, [k], SEEDS)
+        (_, _, _, cost, silhouette, sizes), = KM.best_runs(grid)
+        if name == "original":
+            labels = s.dbscan_labels[1].where((F.col("period") == "train") & (F.col("eps") == eps) & (F.col("min_samples") == ms)).select("id", "cluster")
+        else:
+            labels = durable(K.dbscan(rows.select("id", F.col("val").alias("x")), eps, ms))
+        m = K.dbscan_metrics(labels, rows.select("id", F.col("val").alias("x"))).first()
+        out.append((name, k, silhouette, cost, sizes, eps, ms, m["clusters"], m["noise"]))
+    return s.spark.createDataFrame(out, "space string, k int, kmeans_silhouette double, kmeans_sse double, kmeans_sizes array<long>, eps double, min_samples int, dbscan_clusters long, dbscan_noise double")
 
 
 def _scatter(s):
-    x = durable(s.user_rows)
-    coords = D.project(x, D.fit(x, 2, True))
-    (labelled, _), = K.kmeans_grid(x, [5], n_init=2).values()
-    both = coords.join(labelled.select("id", "cluster"), "id").join(K.dbscan(x, _eps(x), MIN_SAMPLES).withColumnRenamed("cluster", "dbscan"), "id")
+    """Two principal coordinates of the train profile with the labels of the selected settings."""
+    k, eps, ms = _selected(s)
+    coords = D.project(s.profile_values, D.leading(s.profile_fits["pca"], 2))
+    grid, centres = s.profile_runs
+    (run,) = [r for r in KM.best_runs(grid) if r[:2] == ("train", k)]
+    labels = KM.labels_of(s.profile("train"), centres[KM.Run(*run[:3])])
+    found = s.dbscan_labels[1].where((F.col("period") == "train") & (F.col("eps") == eps) & (F.col("min_samples") == ms)).select("id", F.col("cluster").alias("dbscan"))
+    both = coords.join(labels, "id").join(found, "id")
     return both.select("id", F.round(F.col("coords")[0], 4).alias("x"), F.round(F.col("coords")[1], 4).alias("y"), "cluster", "dbscan")
 
 
@@ -308,6 +439,15 @@ _ALL = {
     "select_kmeans": lambda s: K.select_kmeans(_settings(s, 4).select((F.col("position") + 5).alias("k"), F.col("share").alias("silhouette"), F.col("n").alias("sse"))),
     "select_dbscan": lambda s: K.select_dbscan(_settings(s, 12).select("position", (F.col("n") % 20).alias("clusters"), F.col("share").alias("noise"), F.col("level").alias("silhouette"))),
     "profile_kmeans": _profile_kmeans,
+    "profile_dbscan": _profile_dbscan,
+    "pca_profile": lambda s: D.report_of(s.spark, s.profile_fits["pca"], "pca", DIMS),
+    "svd_profile": lambda s: D.report_of(s.spark, s.profile_fits["svd"], "svd", DIMS),
+    "pca_loading_items": lambda s: S.top_loading_items(D.loadings(s.profile_fits["pca"], s.vocabularies[1]), s.typed("movies")),
+    "results_overview": _results_overview,
+    "results_selected": _results_selected,
+    "results_reduction": _results_reduction,
+    "typed_failures": _typed_failures,
+    "profile_export": _profile_export,
     "cosine_silhouette": lambda s: s.spark.createDataFrame([(round(K.cosine_silhouette(s.vectors.withColumn("cluster", (F.col("id") % 3).cast("int"))), 6),)], "silhouette double"),
     "cluster_sizes": lambda s: K.cluster_sizes(s.labels.where("cluster >= 0"), 6),
     "dbscan_sizes": lambda s: K.dbscan_sizes(K.dbscan(s.vectors, EPS, MIN_SAMPLES)),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import rules as R
@@ -25,14 +27,29 @@ def read_ids(raw: DataFrame, kind: str) -> DataFrame:
 
 def to_typed(lines: DataFrame, kind: str) -> DataFrame:
     """Typed rows of cleaned lines (line); those that fail to cast are left out."""
+    return typed_columns(lines, kind).dropna()
+
+
+def write_typed(lines: DataFrame, kind: str, out: str) -> dict[str, int]:
+    """Writes to_typed() and counts in the same pass: lines, failed, and `no_<column>` for each column that some line has no value for."""
+    typed = typed_columns(lines, kind)
+    seen = Observation()
+    missing = [F.col(c).isNull() for c in typed.columns]
+    counts = [F.count("*").alias("lines"), F.count_if(reduce(lambda a, b: a | b, missing)).alias("failed"), *[F.count_if(m).alias(f"no_{c}") for c, m in zip(typed.columns, missing)]]
+    typed.observe(seen, *counts).dropna().write.mode("overwrite").parquet(out)
+    return seen.get
+
+
+def typed_columns(lines: DataFrame, kind: str) -> DataFrame:
+    """The columns of a kind's lines, null where a field is missing or fails to cast."""
     f = R.raw_fields(F.col("line"))
     number = lambda i, t: R.at(f, i).try_cast(t)
     if kind == "ratings":
-        return lines.select(number(0, "bigint").alias("user_id"), number(1, "bigint").alias("item_id"), number(2, "int").alias("rating"), number(3, "bigint").alias("ts")).dropna()
+        return lines.select(number(0, "bigint").alias("user_id"), number(1, "bigint").alias("item_id"), number(2, "int").alias("rating"), number(3, "bigint").alias("ts"))
     if kind == "users":
-        return lines.select(number(0, "bigint").alias("user_id"), R.at(f, 1).alias("gender"), number(2, "int").alias("age"), number(3, "int").alias("occupation"), R.at(f, 4).alias("zip")).dropna()
+        return lines.select(number(0, "bigint").alias("user_id"), R.at(f, 1).alias("gender"), number(2, "int").alias("age"), number(3, "int").alias("occupation"), R.at(f, 4).alias("zip"))
     genres = F.filter(F.split(R.at(f, 2), "[|]"), lambda g: g != "")
-    return lines.select(number(0, "bigint").alias("item_id"), F.trim(R.at(f, 1)).alias("title"), genres.alias("genres")).dropna()
+    return lines.select(number(0, "bigint").alias("item_id"), F.trim(R.at(f, 1)).alias("title"), genres.alias("genres"))
 
 
 def detect_bad_decoding(raw: DataFrame) -> DataFrame:
