@@ -180,7 +180,11 @@ def moved(after: np.ndarray, before: np.ndarray, own: np.ndarray, cls: np.ndarra
 
 
 def exchange(docs: DataFrame, tokens: np.ndarray, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts): sweeps until none raises the likelihood. Units start dealt out by their token counts; END, the last, is alone in the last class."""
+    """(class of each unit, class bigram counts): at most `sweeps` sweeps; units start dealt out by their token counts, END, the last, is alone in the last class.
+
+    A sweep's moves are weighed one by one against the counts at its start. Where together they don't raise the
+    likelihood, half of them are taken back, and half of the rest, until what is left does.
+    """
     cls = np.empty(len(tokens), np.int64)
     cls[np.argsort(-tokens[:-1], kind="stable")] = np.arange(len(tokens) - 1) % classes
     cls[-1] = classes
@@ -189,10 +193,14 @@ def exchange(docs: DataFrame, tokens: np.ndarray, classes: int, sweeps: int) ->
         after, before, own = neighbours(docs, cls)
         n = transitions(after, cls)
         if best is not None and likelihood(n) <= best[0]:
-            break
-        best = likelihood(n), cls, n
+            apart = np.flatnonzero(cls != best[1])
+            cls[apart[1::2]] = best[1][apart[1::2]]
+            if len(apart) < 2:
+                break
+            continue
+        best = likelihood(n), cls.copy(), n
         if sweep < sweeps:
-            cls = moved(after, before, own, cls)
+            cls = moved(after, before, own, cls).copy()
             if (cls == best[1]).all():
                 break
     return best[1], best[2]

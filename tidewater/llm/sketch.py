@@ -53,16 +53,16 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
-def likeness(x: np.ndarray, y: np.ndarray, scale: int = SCALE) -> float:
-    """Containment of two shingle sets, estimated from their sketches.
+def likeness(x: np.ndarray, y: np.ndarray, scale: int = SCALE) -> tuple[float, str]:
+    """Containment of two shingle sets, and what it was taken from: `sketch`, as their sketches give it, or `shingles`.
 
     A set without a hash under the threshold has no sample that compares with another's, so such a pair is compared on
     the whole sets.
     """
     limit = np.uint64(2**64 // scale)
     if any(len(h) and h[0] >= limit for h in (x, y)):
-        return containment(x, y)
-    return containment(retained(x, scale), retained(y, scale))
+        return containment(x, y), "shingles"
+    return containment(retained(x, scale), retained(y, scale)), "sketch"
 
 
 def as_text(h: np.ndarray) -> str:
@@ -83,7 +83,7 @@ def _compare_batches(batches, width: int, scale: int):
                 edited = prior[: len(prior) - n] + text[:n]
                 changed = shingle_set(edited, width)
                 digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-                out.append((before, len(prior), digest, as_text(retained(mine, scale)), as_text(retained(changed, scale)), likeness(mine, changed, scale), likeness(mine, own, scale)))
+                out.append((before, len(prior), digest, as_text(retained(mine, scale)), as_text(retained(changed, scale)), *likeness(mine, changed, scale), *likeness(mine, own, scale)))
             held = (bucket, copied, doc_id, text, own)
             if len(out) >= 256:
                 yield _rows(out)
@@ -93,13 +93,16 @@ def _compare_batches(batches, width: int, scale: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.string())
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "edited_basis", "near_next", "next_basis"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
 def compare_with_next(docs: DataFrame, width: int = 5, scale: int = SCALE) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, edited_basis, near_next, next_basis for each document.
+
+    A basis is `sketch` where the likeness follows from the two fingerprints, `shingles` where one of the texts has no
+    hash under the threshold and whole shingle sets are compared.
 
     The edited text's last floor(n_chars / 2) code points are replaced by the first as many of the next document in
     order of doc_id (null first, equal doc_ids by text hash), the first following the last; a table of one document
@@ -114,18 +117,23 @@ def compare_with_next(docs: DataFrame, width: int = 5, scale: int = SCALE) -> Da
     cuts = sorted(set(cuts))
     bucket = F.lit(0)
     if cuts:
-        bucket = F.coalesce(F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda k, c: k + (c <= F.col("doc_id")).cast("int")), F.lit(0))
+        # Every wide-th cut leads to the cuts that are looked through, so a row is compared with about twice their square root.
+        wide = max(1, int(len(cuts) ** 0.5))
+        low = lambda values: F.aggregate(values, F.lit(0), lambda k, c: k + (c <= F.col("doc_id")).cast("int"))
+        lists = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + wide]]) for i in range(0, len(cuts), wide)])
+        at = F.greatest(low(F.array(*[F.lit(c) for c in cuts[::wide]])) - 1, F.lit(0))
+        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(at * wide + low(F.get(lists, at)))
     dealt = rows.withColumns({"bucket": bucket, "mark": F.xxhash64("text")})
     firsts = ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("bucket").collect()
     if not firsts:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, edited_basis string, near_next double, next_basis string")
     # (the range's first doc_id, the range before); there are at most as many as shuffle partitions.
     to = [(None if r["has_null"] else r["first"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]
     heads = spark.createDataFrame(to, "head long, before int")
     extra = dealt.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")))
     both = dealt.select("bucket", F.lit(0).alias("copied"), "doc_id", "text", "mark").union(extra.select(F.col("before").alias("bucket"), F.lit(1).alias("copied"), "doc_id", "text", "mark"))
     ordered = both.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "copied", F.col("doc_id").asc_nulls_first(), "mark")
-    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, edited_basis string, near_next double, next_basis string"
     return ordered.select("bucket", "copied", "doc_id", "text").mapInArrow(partial(_compare_batches, width=width, scale=scale), out)
 
 
