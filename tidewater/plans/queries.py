@@ -306,11 +306,12 @@ def _task_rows(s) -> DataFrame:
 
 def _comparison(s):
     """k-means and DBSCAN with the selected parameters on the train profile and on its reductions."""
-    (k, eps, ms), out = _selected(s), []
-    for name, rows in _spaces(s).items():
-        columns = s.vocabularies[1].count() if name == "original" else int(name.split("-")[1])
-        grid, _ = KM.fit_runs(rows.select(F.lit("train").alias("period"), "*"), columns, [k], SEEDS)
-        (_, _, _, cost, silhouette, sizes), = KM.best_runs(grid)
+    (k, eps, ms), out, spaces = _selected(s), [], _spaces(s)
+    # All spaces are fitted in the same scans.
+    every = reduce(DataFrame.union, [rows.select(F.lit(name).alias("period"), "id", "idx", "val") for name, rows in spaces.items()])
+    best = {r[0]: r for r in KM.best_runs(KM.fit_runs(every, s.vocabularies[1].count(), [k], SEEDS)[0])}
+    for name, rows in spaces.items():
+        _, _, _, cost, silhouette, sizes = best[name]
         if name == "original":
             labels = s.dbscan_labels[1].where((F.col("period") == "train") & (F.col("eps") == eps) & (F.col("min_samples") == ms)).select("id", "cluster")
         else:
