@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import langid
+from tidewater.llm.common import worker_cache
 
 VOCABULARY = ["a", "b", "c", "▁", "▁a", "ab", "ba", "aba", "bab", "abcab", "▁ab", "ca"]
 
@@ -23,7 +24,7 @@ def by_segmentation(word, p):
 @pytest.fixture
 def trie(monkeypatch):
     t = langid.Trie({w: i for i, w in enumerate(VOCABULARY)})
-    monkeypatch.setitem(langid._vocabularies, "test", t)
+    monkeypatch.setitem(worker_cache("langid"), "test", t)
     return t
 
 

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators.graph import components, durable, join_hot, shared_dir, stored
 
-__all__ = ["WORD", "components", "crc32_sql", "durable", "fresh", "join_hot", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "components", "crc32_sql", "durable", "fresh", "join_hot", "shared_dir", "stored", "table", "worker_cache"]
 
 #: ASCII white space; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between an operator's tasks. A worker lives on through all stages of an application, so what other operators have left in it is dropped first."""
+    if owner not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """The name, with underscores before it as long as a column has it."""
     taken = {c.lower() for c in columns}

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import durable, table
+from tidewater.llm.common import durable, table, worker_cache
 
 #: Documents of each language that train it, and rounds of expectation-maximisation.
 PER_LANGUAGE, ROUNDS = 500, 3
@@ -31,8 +31,6 @@ SCALED = 8
 #: Languages, or sampled documents, that are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
 LETTERS = regex.compile(r"\p{L}+")
-_vocabularies: dict[str, "Trie"] = {}
-_scores: dict[str, tuple] = {}
 
 
 def public_vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -69,12 +67,13 @@ class Trie:
 
 def vocabulary(path: str) -> Trie:
     """The trie of a public vocabulary's pieces, without control and byte pieces."""
-    if path not in _vocabularies:
+    kept = worker_cache("langid")
+    if path not in kept:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        _vocabularies[path] = Trie({sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))})
-    return _vocabularies[path]
+        kept[path] = Trie({sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))})
+    return kept[path]
 
 
 class Lattice:
@@ -297,14 +296,14 @@ def _predict_batches(batches, path: str, models, name: str, text: int):
     """Rows whose field `text` is the text, which is carried once; adds lang_pred and score."""
     langs = list(models.value)
     table = np.array(list(models.value.values())).T if langs else np.zeros((1, 0))
-    if name not in _scores:
-        _scores.clear()
-        _scores[name] = _Known(len(langs))
+    kept = worker_cache("langid")
+    if kept.get("model") != name:
+        kept |= {"model": name, "known": _Known(len(langs))}
     for whole in batches:
         for at in range(0, len(whole), 256):
-            batch, known = whole.slice(at, 256), _scores[name]
+            batch, known = whole.slice(at, 256), kept["known"]
             if len(known.place) > CACHE:
-                known = _scores[name] = _Known(len(langs))
+                known = kept["known"] = _Known(len(langs))
             counts = [Counter(t.lower().split()) if t and langs else Counter() for t in batch.column(0).field(text).to_pylist()]
             known.add(list({w for c in counts for w in c}.difference(known.place)), path, table)
             picked, score = [], []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored, table
+from tidewater.llm.common import stored, table, worker_cache
 
 #: Bound of a worker's cache of encoded words, and bytes of text that are encoded in one piece.
 CACHE, CHUNK = 400_000, 4 << 20
@@ -27,7 +27,6 @@ CACHE, CHUNK = 400_000, 4 << 20
 BINS = 1024
 #: Words of ASCII letters, with ASCII marks other than ' after them.
 PLAIN = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
-_encoders: dict[str, "Encoder"] = {}
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -129,9 +128,10 @@ def _piece_batches(batches, path: str, size: int, end: int):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    encoder = _encoders[path]
+    kept = worker_cache("packing")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    encoder = kept[path]
     for whole in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         cuts = np.r_[0, np.flatnonzero(np.diff(ends // CHUNK)) + 1, len(ends)]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewater.llm.common import components, durable, fresh, join_hot, table
+from tidewater.llm.common import components, durable, fresh, join_hot, table, worker_cache
 from tidewater.llm.shingles import shingle_hashes
 
 #: Rows of a bucket that are compared in one piece.
@@ -247,6 +247,7 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.nd
 
 def _node_batches(batches, width: int):
     """Identity, fingerprint over distinct words and band keys over shingles; texts stay where they are read."""
+    worker_cache("simhash")  # what other stages have left in the worker goes
     for batch in batches:
         texts = batch.column(1).to_pylist()
         distinct = (set(t.lower().split()) if t else () for t in texts)
@@ -258,6 +259,7 @@ def _node_batches(batches, width: int):
 
 def _identity_batches(batches, name: str):
     """Rows of documents with the identity of their text added."""
+    worker_cache("simhash")  # what other stages have left in the worker goes
     for batch in batches:
         ids = pa.array(map(_normal_id, batch.column("text").cast(pa.binary()).to_pylist()), pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
