@@ -74,6 +74,18 @@ def distinct_counts(raw: DataFrame) -> DataFrame:
     return users.join(items)
 
 
+def monthly_sketches(raw: DataFrame, size: int = 14) -> DataFrame:
+    """(month, users, items): a HyperLogLog sketch of 2^size registers of each month's distinct ids, of ratings with a time before 2033. Sketches of months, and of later loads, merge."""
+    timed = ratings4(raw).withColumn("ts", long_of(F.col("t"))).where(F.col("ts").between(1, 1_999_999_999))
+    return timed.groupBy(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM").alias("month")).agg(F.hll_sketch_agg("u", F.lit(size)).alias("users"), F.hll_sketch_agg("m", F.lit(size)).alias("items"))
+
+
+def distinct_of_sketches(sketches: DataFrame) -> DataFrame:
+    """(month, users, items): estimated distinct ids of each month, and of all by the sketches' union, with a null month."""
+    each = sketches.select("month", *[F.hll_sketch_estimate(c).alias(c) for c in ("users", "items")])
+    return each.union(sketches.agg(F.lit(None).cast("string").alias("month"), *[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("users", "items")]))
+
+
 def value_distribution(raw: DataFrame, rules: Rules) -> DataFrame:
     f = F.col("f")
     sets = {"gender": (1, rules.genders), "age": (2, rules.ages), "occupation": (3, rules.occupations)}

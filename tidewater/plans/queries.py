@@ -390,6 +390,7 @@ _ALL = {
     "exact_duplicates": lambda s: P.exact_duplicates(s.raw),
     "key_conflicts": lambda s: P.key_conflicts(s.raw),
     "distinct_counts": lambda s: P.distinct_counts(s.raw),
+    "distinct_sketches": lambda s: P.distinct_of_sketches(P.monthly_sketches(s.raw)),
     "value_distribution": lambda s: P.value_distribution(s.raw, STAR),
     "zip_report": lambda s: P.zip_report(s.raw),
     "title_report": lambda s: P.title_report(s.raw, STAR),
