@@ -45,6 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes what stored_path() has named, once nothing reads it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, by: list[str], counts: DataFrame | None = None) -> DataFrame:
     """rows.join(keyed, key) for `keyed` of one row a key; `counts` (key, n) says how many of `rows` a key has.
 
@@ -69,18 +77,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds, about twice the logarithm of the longest chain. A round joins edges
     to one minimum for each node, so a hub is one row for each of its edges, never a list, and its rows are split.
-    Each round is written as Parquet, so that lineage and size estimates don't grow. Nodes without an edge to another
-    don't appear; an empty table gives an empty table.
+    Each round is written as Parquet, so that lineage and size estimates don't grow, and deleted after the next one.
+    Nodes without an edge to another don't appear; an empty table gives an empty table.
     """
+    spark, spent = edges.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        spent.append(stored_path(spark, name))
+        df.write.parquet(spent[-1])
+        return spark.read.parquet(spent[-1])
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def least_of(e: DataFrame, split: bool) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        return stored(least, "components-least") if split else least
+        return kept(least, "components-least") if split else least
 
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = mark(now)
     while before[0]:
         # With few edges a hub is small too, and splitting it costs more than it saves.
@@ -89,10 +103,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = least_of(both, split).withColumn("m", F.least("u", "m"))
         large = join(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "components") if split else large
+        large = kept(large, "components") if split else large
         small = join(large, least_of(large, split)).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = stored(small.where("u <> v").distinct(), "components")
+        now = kept(small.where("u <> v").distinct(), "components")
         after = mark(now)
+        discard(spark, spent[:-1])
+        del spent[:-1]
         if after == before:
             break
         before = after
