@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,27 +68,33 @@ def train_logreg(train: DataFrame, c: float):
 
 
 def train_tree(train: DataFrame, depth: int | None, leaf: int):
-    return DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=30 if depth is None else depth, minInstancesPerNode=leaf, maxBins=256, seed=42, maxMemoryInMB=512).fit(train)
+    """A tree whose leaves give the weighted share of positive rows. On 0 and 1 the variance is half the Gini impurity, so splits are
+    those of a classifier; a classifier would then merge leaves of one predicted class, and ranking by score needs them apart."""
+    return DecisionTreeRegressor(labelCol="label", weightCol="weight", maxDepth=30 if depth is None else depth, minInstancesPerNode=leaf, maxBins=256, seed=42, maxMemoryInMB=512).fit(train)
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    """Adds score: the probability of label 1. Those of trees have 12 places, so that leaves of one share tie whatever the order of their sums."""
+    out = model.transform(rows)
+    score = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in out.columns else F.round("prediction", 12)
+    return out.withColumn("score", score).drop("rawPrediction", "probability", "prediction")
 
 
-def average_precision(scores: DataFrame, bins: int = 1000) -> DataFrame:
-    """One row, average_precision: sum over distinct scores, descending, of (recall step) x precision. Running sums are taken in
-    score bins and carried over the bins' sums."""
-    each = scores.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).withColumn("bin", F.floor(F.col("score") * bins))
-    later = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    fronts = each.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("n").alias("k")).select("bin", F.coalesce(F.sum("p").over(later), F.lit(0)).alias("p0"), F.coalesce(F.sum("k").over(later), F.lit(0)).alias("k0"))
-    inside = W.partitionBy("bin").orderBy(F.desc("score"))
-    run = each.withColumns({"p": F.sum("pos").over(inside), "k": F.sum("n").over(inside)}).join(fronts, "bin")
-    return run.agg((F.sum(F.col("pos") * (F.col("p0") + F.col("p")) / (F.col("k0") + F.col("k"))) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+def average_precision(scores: DataFrame, bins: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """average_precision, one row, or one for each group of by: sum over distinct scores, descending, of (recall step) x precision.
+    Running sums are taken in score bins and carried over the bins' sums."""
+    each = scores.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).withColumn("bin", F.floor(F.col("score") * bins))
+    later = W.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
+    fronts = each.groupBy(*by, "bin").agg(F.sum("pos").alias("p"), F.sum("n").alias("k")).select(*by, "bin", F.coalesce(F.sum("p").over(later), F.lit(0)).alias("p0"), F.coalesce(F.sum("k").over(later), F.lit(0)).alias("k0"))
+    inside = W.partitionBy(*by, "bin").orderBy(F.desc("score"))
+    run = each.withColumns({"p": F.sum("pos").over(inside), "k": F.sum("n").over(inside)}).join(fronts, [*by, "bin"])
+    return run.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("p0") + F.col("p")) / (F.col("k0") + F.col("k"))) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
-def threshold_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+def threshold_metrics(scores: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion counts, F1, accuracy and positive ratio, one row, or one for each group of by."""
     yes, is_ = F.col("score") >= threshold, F.col("label") == 1
-    c = scores.agg(F.count_if(~is_ & ~yes).alias("tn"), F.count_if(~is_ & yes).alias("fp"), F.count_if(is_ & ~yes).alias("fn"), F.count_if(is_ & yes).alias("tp"), F.count("*").alias("n"))
+    c = scores.groupBy(*by).agg(F.count_if(~is_ & ~yes).alias("tn"), F.count_if(~is_ & yes).alias("fp"), F.count_if(is_ & ~yes).alias("fn"), F.count_if(is_ & yes).alias("tp"), F.count("*").alias("n"))
     f1 = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
     return c.select("*", F.round(f1, 4).alias("f1"), F.round((F.col("tn") + F.col("tp")) / F.nullif("n", F.lit(0)), 4).alias("accuracy"), F.round((F.col("fn") + F.col("tp")) / F.nullif("n", F.lit(0)), 4).alias("positive_ratio"))
 
@@ -116,22 +123,26 @@ def predict_status(pairs: DataFrame, split: DataFrame, users: DataFrame, items:
     return x.select("user_id", "item_id", status.alias("status"), F.when(status == "ok", text).otherwise("").alias("notes"))
 
 
-def predict_pairs(model, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules, threshold: float = 0.5) -> DataFrame:
-    """predict_status() with prob and pred of the pairs whose status is ok; null for the others. Features are those of the train period."""
+def _pair_scores(models: dict, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules, threshold: float) -> DataFrame:
+    """predict_status() with prob_ and pred_ of each named model, all scored from the same features, those of the train period."""
     status = predict_status(pairs, split, users, items)
     blank = lambda c, t: F.lit(None).cast(t).alias(c)
     asked = status.where("status = 'ok'").select("user_id", "item_id", blank("ts", "long"), blank("rating", "int"), F.lit("asked").alias("period"))
     known = event_features(split, users, items, rules, asked)
-    scaled = feature_vectors(standardize(known, event_features(split, users, items, rules)), rules)
-    prob = scored(model, scaled).select("user_id", "item_id", F.col("score").alias("prob"))
-    return status.join(prob, ["user_id", "item_id"], "left").withColumn("pred", (F.col("prob") >= threshold).cast("int"))
+    rows = feature_vectors(standardize(known, event_features(split, users, items, rules)), rules).select("user_id", "item_id", "features")
+    for name, model in models.items():
+        rows = scored(model, rows).withColumnRenamed("score", f"prob_{name}")
+    out = status.join(rows.drop("features"), ["user_id", "item_id"], "left")
+    return out.withColumns({f"pred_{n}": (F.col(f"prob_{n}") >= threshold).cast("int") for n in models})
+
+
+def predict_pairs(model, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules, threshold: float = 0.5) -> DataFrame:
+    """predict_status() with prob and pred of the pairs whose status is ok; null for the others."""
+    return _pair_scores({"own": model}, pairs, split, users, items, rules, threshold).withColumnsRenamed({"prob_own": "prob", "pred_own": "pred"})
 
 
-def compare_models(models: dict, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+def compare_models(models: dict, pairs: DataFrame, split: DataFrame, users: DataFrame, items: DataFrame, rules: Rules, threshold: float = 0.5) -> DataFrame:
     """One row a pair: status, notes, prob_ and pred_ of each named model, and whether all models agree (null where none scores)."""
-    out = None
-    for name, model in models.items():
-        own = predict_pairs(model, pairs, split, users, items, rules).withColumnsRenamed({"prob": f"prob_{name}", "pred": f"pred_{name}"})
-        out = own if out is None else out.join(own.drop("status", "notes"), ["user_id", "item_id"])
     preds = [F.col(f"pred_{n}") for n in models]
-    return out.withColumn("agree", F.when(preds[0].isNotNull(), F.size(F.array_distinct(F.array(*preds))) == 1))
+    agree = F.when(preds[0].isNotNull(), F.size(F.array_distinct(F.array(*preds))) == 1)
+    return _pair_scores(models, pairs, split, users, items, rules, threshold).withColumn("agree", agree)

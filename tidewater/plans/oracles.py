@@ -155,6 +155,8 @@ ORACLES: dict[str, str] = {
     "profile_export": _q(_TYPED, "select 'cells_' || period name, count(distinct (user_id, item_id)) n from iv group by period union all select 'user_vocabulary', count(*) from tu union all select 'item_vocabulary', count(*) from ti union all select 'users', count(*) from us union all select 'items', count(*) from im union all select 'user_stats', count(*) from tu union all select 'item_stats', count(*) from ti union all select 'global_mean', 1 union all select 'low_history', count(*) from (select user_id from sp where period='train' group by user_id having count(*) < 5) union all select 'new_items', count(distinct period) from sp where period<>'train' union all select 'meta', count(distinct period) from sp"),
     "time_split": _q(_TYPED, "select period, rating, count(*) n from sp group by all"),
     "vocabulary": _q(_TYPED, "select user_id id, row_number() over (order by user_id)-1 idx from tu"),
+    "raw_files": _q(_RAW, "select kind, count(*) lines, sum(regexp_matches(line,'[ae]')::int)::bigint accented, sum(length(line))::bigint characters from raw group by 1"),
+    "user_activity": _q(_TYPED, "select user_id, count(*) items, sum(value)::bigint total, any_value(user_mean) user_mean, any_value(user_count) user_count from tc join st using (user_id) group by 1"),
     "user_item_cells": _q(_TYPED, "select * from ce"),
     "user_stats": _q(_TYPED, "select * from st"),
     "item_stats": _q(_TYPED, "select * from ic cross join gm"),

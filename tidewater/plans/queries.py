@@ -21,9 +21,11 @@ from tidewater.operators import results as G
 from tidewater.operators import sparse as SP
 from tidewater.operators import summaries as S
 from tidewater.operators.graph import durable, stored, stored_path
-from tidewater.sources.records import detect_bad_decoding, read_ids, star_raw, to_typed, write_profile, write_typed
+from tidewater.sources.records import detect_bad_decoding, read_ids, read_raw, star_raw, to_typed, write_bucketed, write_profile, write_raw, write_typed
 
 EPS, MIN_SAMPLES = 0.68, 5
+#: Buckets of tables by user; on a cluster as many as keep a bucket's rows within a task's memory.
+BUCKETS = 64
 #: The grids on profiles.
 PERIODS, KS, SEEDS, SAMPLES, PERCENTS, DIMS = ("train", "val", "test"), [5, 6, 7, 8], 10, [3, 5], [50, 70, 90], [2, 10, 20, 50]
 
@@ -146,15 +148,14 @@ def _grid(s, fits) -> DataFrame:
     """One row a setting: validation and test average precision, and F1."""
     f = durable(L.standardize(s.features))
     lr = durable(L.feature_vectors(f, STAR))
-    train = L.balanced(lr.where("period = 'train'"))
+    train, later = L.balanced(lr.where("period = 'train'")), lr.where("period <> 'train'")
     rows = []
     for i, (name, fit) in enumerate(fits.items()):
-        model = fit(train)
-        own = {}
-        for period in ("val", "test"):
-            scored = L.scored(model, lr.where(F.col("period") == period)).select("label", "score")
-            own[period] = (L.average_precision(scored).first()[0], L.threshold_metrics(scored).first()["f1"])
-        rows.append((name, i, round(own["val"][0] or 0.0, 4), round(own["test"][0] or 0.0, 4), own["test"][1]))
+        scores = L.scored(fit(train), later).select("period", "label", "score")
+        both = L.average_precision(scores, by=("period",)).join(L.threshold_metrics(scores, by=("period",)), "period")
+        own = {r["period"]: r for r in both.collect()}  # two rows
+        ap = {p: round(own[p]["average_precision"] or 0.0, 4) if p in own else 0.0 for p in ("val", "test")}
+        rows.append((name, i, ap["val"], ap["test"], own["test"]["f1"] if "test" in own else 0.0))
     return s.spark.createDataFrame(rows, "params string, position int, val_ap double, test_ap double, test_f1 double")
 
 
@@ -274,6 +275,21 @@ def _profile_export(s):
     return reduce(DataFrame.union, counts)
 
 
+def _raw_files(s):
+    """Raw lines, with accents, written to a folder for each kind in a one-byte charset and read back: lines, lines with an accent and characters of each kind."""
+    out = stored_path(s.spark, "raw")
+    write_raw(s.raw.select("kind", F.translate("line", "ae", "\u00e0\u00e9").alias("line")), out, "ISO-8859-1")
+    read = read_raw(s.spark, out, "ISO-8859-1")
+    return read.groupBy("kind").agg(F.count("*").alias("lines"), F.count_if(F.col("line").rlike("[\u00e0\u00e9]")).alias("accented"), F.sum(F.length("line")).alias("characters"))
+
+
+def _user_activity(s):
+    """Each train user's cells and mean, from tables in buckets by user: neither the grouping nor the join shuffles them."""
+    cells, stats = (write_bucketed(df, name, "user_id", BUCKETS) for df, name in ((s.cells, "cells"), (FE.user_stats(s.split), "user_stats")))
+    own = cells.groupBy("user_id").agg(F.count("*").alias("items"), F.sum("value").alias("total"))
+    return own.join(stats.hint("merge"), "user_id").select("user_id", "items", "total", "user_mean", "user_count")
+
+
 def _models(s) -> dict:
     train = L.balanced(durable(L.feature_vectors(L.standardize(s.features), STAR).where("period = 'train'")))
     return {"lr": L.train_logreg(train, 0.1), "tree": L.train_tree(train, 6, 50)}
@@ -450,6 +466,8 @@ _ALL = {
     "results_reduction": _results_reduction,
     "typed_failures": _typed_failures,
     "profile_export": _profile_export,
+    "raw_files": _raw_files,
+    "user_activity": _user_activity,
     "cosine_silhouette": lambda s: s.spark.createDataFrame([(round(K.cosine_silhouette(s.vectors.withColumn("cluster", (F.col("id") % 3).cast("int"))), 6),)], "silhouette double"),
     "cluster_sizes": lambda s: K.cluster_sizes(s.labels.where("cluster >= 0"), 6),
     "dbscan_sizes": lambda s: K.dbscan_sizes(K.dbscan(s.vectors, EPS, MIN_SAMPLES)),

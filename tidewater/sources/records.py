@@ -8,18 +8,26 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import rules as R
+from tidewater.operators.graph import stored_path
 
 KINDS = ("ratings", "users", "movies")
 
 
 def read_raw(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
-    """(kind, line, path) of the non-blank lines below path. kind is the first of rating, user, movie in a file's name and folder; other files are left out."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.decode(F.col("value").cast("binary"), charset).alias("line"), F.col("_metadata.file_path").alias("path"))
+    """(kind, line, path) of the non-blank lines below path. kind is the first of rating, user, movie in a file's name and folder; other files are left out.
+    Bytes that are no UTF-8 are read as U+FFFD, which detect_bad_decoding() counts; with other charsets bytes that they lack are an error."""
+    text = F.make_valid_utf8("value") if charset.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), charset)
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(text.alias("line"), F.col("_metadata.file_path").alias("path"))
     name = F.lower(F.concat_ws("/", F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)))
     kind = F.when(name.contains("rating"), "ratings").when(name.contains("user"), "users").when(name.contains("movie"), "movies")
     return rows.withColumn("kind", kind).where(F.col("kind").isNotNull() & ~R.is_blank(F.col("line"))).select("kind", "line", "path")
 
 
+def write_raw(raw: DataFrame, out: str, charset: str = "ISO-8859-1") -> None:
+    """The lines of (kind, line) as text in a charset that keeps the newline's byte, a folder for each kind; read_raw() reads them back."""
+    raw.select("kind", F.encode("line", charset).cast("string").alias("value")).write.mode("overwrite").partitionBy("kind").text(out)
+
+
 def read_ids(raw: DataFrame, kind: str) -> DataFrame:
     """Distinct leading ids of the raw lines of a kind, as strings."""
     return raw.where(F.col("kind") == kind).select(R.leading_id(F.col("line")).alias("id")).where("id is not null").distinct()
@@ -71,6 +79,15 @@ def write_profile(tables: dict[str, DataFrame], out: str) -> None:
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
+def write_bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Writes the rows to a new table in buckets of a column, a sorted file each, and reads it. Tables in as many buckets of the same column are grouped and joined on it without a shuffle."""
+    spark = df.sparkSession
+    path = stored_path(spark, name)
+    unique = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(buckets, by).write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(unique)
+    return spark.table(unique)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     seconds: Column = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
