@@ -194,3 +194,16 @@ def test_ranked(spark):
     got = ranked(spark.createDataFrame([(i,) for i in ids], "id long").repartition(7), "id").orderBy("place").collect()
     assert [r.place for r in got] == list(range(5000)) and [r.id for r in got] == sorted(ids)
     assert ranked(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_kmeans_in_groups_of_runs_is_the_same(spark, monkeypatch):
+    """No more centres are held than the bound, or one run's."""
+    x = unit(table(np.random.default_rng(6), 150, 40, 0.2))
+    rows = frame(spark, x, "train").union(frame(spark, x[:90], "val"))
+    grid, centres = KM.fit_runs(rows, 40, [3, 4], seeds=2)
+    held = []
+    plain = KM._stacked
+    monkeypatch.setattr(KM, "CENTRES", 300)
+    monkeypatch.setattr(KM, "_stacked", lambda runs, c: held.append(sum(c[r].size for r in runs)) or plain(runs, c))
+    again, other = KM.fit_runs(rows, 40, [3, 4], seeds=2)
+    assert again == grid and max(held) <= 300 and all(np.allclose(other[r], centres[r]) for r in centres)
