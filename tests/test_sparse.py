@@ -207,3 +207,27 @@ def test_kmeans_in_groups_of_runs_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(KM, "_stacked", lambda runs, c: held.append(sum(c[r].size for r in runs)) or plain(runs, c))
     again, other = KM.fit_runs(rows, 40, [3, 4], seeds=2)
     assert again == grid and max(held) <= 300 and all(np.allclose(other[r], centres[r]) for r in centres)
+
+
+@pytest.mark.parametrize("centred", [True, False])
+def test_reduction_in_slices_equals_exact(spark, monkeypatch, centred):
+    x = table(np.random.default_rng(1), 200, 60, 0.1, groups=5)
+    x[7] = 0
+    monkeypatch.setattr(D, "SLICE", 800)  # 60 x 13 fits 800 only in slices of rows, 200 x 4
+    monkeypatch.setattr(D, "SPAN", 5)
+    y = x - x.mean(0) if centred else x
+    u, s, v = np.linalg.svd(y, full_matrices=False)
+    m = D.fit(frame(spark, x), 4, centred, width=62, extra=9, passes=4)
+    assert not isinstance(m["components"], np.ndarray) and np.allclose(m["values"], s[:4] ** 2, rtol=1e-3)
+    w = np.zeros((62, 4))
+    for r in m["components"].collect():
+        w[r.id] = r.x
+    assert np.allclose(w.T @ w, np.eye(4), atol=1e-9) and (w[np.abs(w).argmax(0), np.arange(4)] > 0).all()
+    z = {r.id: r.coords for r in D.project(frame(spark, x), D.leading(m, 2)).collect()}
+    want = (np.pad(x, ((0, 0), (0, 2))) - (np.pad(x, ((0, 0), (0, 2))).mean(0) if centred else 0)) @ w[:, :2]
+    assert len(z) == 200 and np.allclose([z[i] for i in range(200)], want, atol=1e-9)
+    items = spark.createDataFrame([(i + 1000, i) for i in range(62)], "id long, idx int")
+    got = {(r.component, r.item_id): r.loading for r in D.loadings(m, items).collect()}
+    assert len(got) == 248 and all(np.isclose(got[c, i + 1000], w[i, c]) for i in range(62) for c in range(4))
+    plain = D.leading(m, 2)
+    assert np.isclose(plain["error"], np.sqrt(1 - (s[:2] ** 2).sum() / (s**2).sum()), atol=1e-4)
