@@ -117,3 +117,9 @@ def test_sources_and_sinks_round_trip(spark, tmp_path):
     tables = {"a": spark.range(3), "b": spark.range(2)}
     S.write_profile(tables, str(tmp_path / "profile"))
     assert {n: spark.read.parquet(f"{tmp_path}/profile/{n}").count() for n in tables} == {"a": 3, "b": 2}
+
+
+def test_pairs_of_blocks_copy_each_row_once_a_block(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7) + 1, 1.0]) for i in range(120)], "id long, x array<double>")
+    assert K._pairs(rows, 20).count() == 120 * 6  # with both sides of every ordered pair 1440
+    assert K._blocks(rows, None) == 1 and K._blocks(rows.crossJoin(spark.range(200).select(F.col("id").alias("copy"))).select("id", "x"), None) == 8
