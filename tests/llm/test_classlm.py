@@ -85,3 +85,18 @@ def test_no_training_text_and_no_rows(spark):
     got = classlm.score(docs, F.lit(True)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (3, 0, 0)]
     assert classlm.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_neighbours_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    r = np.random.default_rng(5)
+    texts = [np.append(r.integers(0, 9, r.integers(0, 30)), 9).astype("<u2").tobytes() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["units"])
+    classes, most, real = SimpleNamespace(value=np.r_[np.arange(9) % 3, 3]), [], np.bincount
+    want = [b.to_pydict() for b in classlm._neighbour_batches([batch], classes)]
+    monkeypatch.setattr(np, "bincount", lambda x, **k: most.append(len(x)) or real(x, **k))
+    monkeypatch.setattr(classlm, "TOKENS", 100)
+    assert [b.to_pydict() for b in classlm._neighbour_batches([batch], classes)] == want
+    assert max(most) < 200

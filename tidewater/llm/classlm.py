@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import join_hot, stored, table
+from tidewater.llm.shingles import by_bytes
 
 #: Words with a place of their own in the exchange, endings (by hash of three bytes) that stand for all others, classes, sweeps.
 WORDS, ENDINGS, CLASSES, SWEEPS = 16_384, 1024, 64, 5
 #: Bytes of text in a block, which has one list of words.
 BLOCK_BYTES = 24_000_000
+#: Tokens whose neighbours a task counts at once, a text at the least.
+TOKENS = 1 << 19
 #: The end of a text as a word; no word has a space.
 END = b" "
 _BLOCK = "block long, doc_id long, held_out boolean, ids binary, idx int, h long, ending int, count long"
@@ -90,9 +93,9 @@ def _neighbour_batches(batches, classes):
     cls = classes.value
     n, wide = len(cls), int(cls.max()) + 1
     after, before, own = np.zeros(n * wide, np.int64), np.zeros(n * wide, np.int64), np.zeros(n, np.int64)
-    for batch in batches:
+    for part in (part for batch in batches for part in by_bytes(batch, batch.schema.get_field_index("units"), 2 * TOKENS)):
         # Every text ends in END, the last unit, which is also what comes before its first word.
-        u = np.concatenate([np.array([n - 1]), *(np.frombuffer(x, "<u2") for x in batch["units"].to_pylist())]).astype(np.int64)
+        u = np.concatenate([np.array([n - 1]), *(np.frombuffer(x, "<u2") for x in part["units"].to_pylist())]).astype(np.int64)
         k = cls[u]
         after += np.bincount(u[:-1] * wide + k[1:], minlength=n * wide)
         before += np.bincount(u[1:] * wide + k[:-1], minlength=n * wide)
