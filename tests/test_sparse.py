@@ -231,3 +231,21 @@ def test_reduction_in_slices_equals_exact(spark, monkeypatch, centred):
     assert len(got) == 248 and all(np.isclose(got[c, i + 1000], w[i, c]) for i in range(62) for c in range(4))
     plain = D.leading(m, 2)
     assert np.isclose(plain["error"], np.sqrt(1 - (s[:2] ** 2).sum() / (s**2).sum()), atol=1e-4)
+
+
+def test_short_items_share_pieces(spark, monkeypatch):
+    """A piece for each item would cost a call each: short ones share pieces of bounded pairs, and compare each pair once."""
+    monkeypatch.setattr(N, "PAIRS", 1 << 9)
+    monkeypatch.setattr(N, "HELD", 100)
+    x = table(np.random.default_rng(9), 200, 300, 0.03)
+    reps, _ = N.classes(N.unit_sparse(frame(spark, x)))
+    index = N.Index(reps, 0.1)
+    pieces = index.over(lambda g: g.select(["piece", "rep"]).slice(0, 1), "piece long, rep long").count()
+    assert 1 < pieces <= 12 < index.blocks.count() / 10
+    ids = np.array([r.first for r in reps.orderBy("rep").select("first").collect()])
+    s = unit(x[ids]) @ unit(x[ids]).T
+    pairs, compared = N.cosine_pairs(reps, 0.1)
+    got = {(r.a, r.b): r.cosine for r in pairs.collect()}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= 0.1, 1)))}
+    assert got.keys() == want and len(got) == pairs.count() and all(abs(got[p] - s[p]) < 1e-12 for p in want)
+    assert len(want) <= compared <= np.triu(s > 0, 1).sum()

@@ -3,8 +3,8 @@ the k-th neighbour, and DBSCAN for all eps and min_samples at once.
 
 Items are ranked from rare to frequent. A row's prefix at threshold t is the least number of its first items after which
 what is left has length below t: two rows at cosine t or more share an item in both prefixes, so only postings of prefix
-items meet, and frequent items mostly stay out. A pair is compared where its first shared prefix item is. Long postings
-are dealt as pairs of blocks i <= j. Equal rows are compared as one.
+items meet, and frequent items mostly stay out. A pair is compared where its first shared prefix item is. Short postings
+share pieces; long ones are dealt as pairs of blocks i <= j. Equal rows are compared as one.
 
 For one min_samples a link of two rows counts from the eps on at which it is short enough and both are cores, so clusters
 are nested: links are added in order of that eps, and each setting's components start from those before. A piece gives a
@@ -25,8 +25,8 @@ from tidewater.operators.graph import components, stored
 from tidewater.operators.order import ranked
 from tidewater.operators.sparse import Csr, csr_of, unit_sparse
 
-#: Postings of an item that are compared in one piece.
-BLOCK = 512
+#: Postings of an item that are compared in one piece; pairs of a piece of short items; looked up numbers that a task holds at once.
+BLOCK, PAIRS, HELD = 512, 1 << 18, 1 << 21
 #: Rounding of a distance.
 CLOSE = 1e-12
 
@@ -72,25 +72,65 @@ def _inner(x: Csr, y: Csr) -> np.ndarray:
     return np.bincount(np.repeat(x.row, n) * len(y) + rows[at], np.repeat(x.val, n) * vals[at], len(x) * len(y)).reshape(len(x), len(y))
 
 
+def _pairs_inside(item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places whose items are the same."""
+    order = np.argsort(item, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0])
+    size = np.diff(np.r_[begin, len(item)])
+    # Each place meets those after it in its item's run.
+    after = np.repeat(begin + size, size) - np.arange(len(item)) - 1
+    left = np.repeat(np.arange(len(item)), after)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+    return order[left], order[right]
+
+
+def _shared(m: Csr, i: np.ndarray, j: np.ndarray):
+    """(first shared item, cosine) of pairs of rows that share one, by looking the shorter row's items up in the longer."""
+    width, length = int(m.idx.max(initial=0)) + 1, np.diff(m.start)
+    keys = m.row * width + m.idx
+    i, j = np.where(length[i] <= length[j], i, j), np.where(length[i] <= length[j], j, i)
+    ends, first, cosine, begin = np.cumsum(length[i]), np.zeros(len(i), np.int64), np.zeros(len(i)), 0
+    while begin < len(i):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HELD, "right")))
+        n = length[i[begin:end]]
+        of = np.repeat(np.arange(end - begin), n)
+        at = m.start[i[begin:end]][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        want = j[begin:end][of] * width + m.idx[at]
+        to = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = np.flatnonzero(keys[to] == want)
+        of, at, to = of[hit], at[hit], to[hit]
+        cosine[begin:end] = np.bincount(of, m.val[at] * m.val[to], end - begin)
+        first[begin:end] = m.idx[at[np.flatnonzero(np.r_[True, np.diff(of) != 0])]]
+        begin = end
+    return first, cosine
+
+
 class Met:
-    """One piece of an item's postings: two blocks, the cosines of their rows, and which pairs are compared here: those whose first shared prefix item it is."""
+    """One piece: its rows, and the pairs (i, j) of them that are compared here, with their cosines: those whose first shared prefix item is here.
+
+    A piece is the postings of some short items, or two blocks of one long item's postings."""
 
     def __init__(self, group):
-        side, item = group["side"].to_numpy(), group["item"][0].as_py()
-        self.own = group["p"][0].as_py() == group["q"][0].as_py()
-        self.left = group.filter(pa.array(side == 0))
-        self.right = self.left if self.own else group.filter(pa.array(side == 1))
-        first = _inner(_before(self.left, item), _before(self.right, item)) == 0
-        self.here = np.triu(first, 1) if self.own else first
-        self.cosine = _inner(csr_of(self.left), csr_of(self.right)) if self.here.any() else np.zeros(first.shape)
+        item = group["item"].to_numpy()
+        if group["piece"][0].as_py() < 0:
+            _, once, of = np.unique(group["rep"].to_numpy(), return_index=True, return_inverse=True)
+            self.rows = group.take(pa.array(once))
+            a, b = _pairs_inside(item)
+            i, j = of[a], of[b]
+            first, cosine = _shared(csr_of(self.rows), i, j)
+            # Items before this one in both rows are in both prefixes.
+            here = np.flatnonzero(first == item[a])
+            self.i, self.j, self.cosine = i[here], j[here], cosine[here]
+        else:
+            side, own = group["side"].to_numpy(), group["p"][0].as_py() == group["q"][0].as_py()
+            left = group.filter(pa.array(side == 0))
+            right = left if own else group.filter(pa.array(side == 1))
+            here = _inner(_before(left, item[0]), _before(right, item[0])) == 0
+            self.i, self.j = np.nonzero(np.triu(here, 1) if own else here)
+            self.cosine = _inner(csr_of(left), csr_of(right))[self.i, self.j] if len(self.i) else np.zeros(0)
+            self.rows = left if own else pa.concat_tables([left, right])
+            self.j = self.j if own else self.j + len(left)
         self.distance = np.maximum(1 - self.cosine, 0)
-        # All rows of the piece, and where the right side's begin.
-        self.rows = self.left if self.own else pa.concat_tables([self.left, self.right])
-        self.shift = 0 if self.own else len(self.left)
-
-    def both(self, of_left: np.ndarray, of_right: np.ndarray) -> np.ndarray:
-        """Sums over the left side's partners and the right side's, for all rows."""
-        return of_left + of_right if self.own else np.r_[of_left, of_right]
 
     def extra(self) -> np.ndarray:
         return np.stack([np.asarray(v) for v in self.rows["extra"].to_numpy(zero_copy_only=False)]) if len(self.rows) else np.zeros((0, 0), int)
@@ -106,26 +146,22 @@ def _before(t, item: int) -> Csr:
 def _pairs(group, least):
     """(a, b, cosine), and a row (null, null, comparisons)."""
     m = Met(group)
-    i, j = np.nonzero(m.here & (m.cosine >= least))
+    near = m.cosine >= least
     rep = m.rows["rep"].to_numpy()
-    a, b = rep[i], rep[m.shift + j]
-    found = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": m.cosine[i, j]})
-    return pa.concat_tables([found, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cosine": pa.array([float(m.here.sum())])})])
+    a, b = rep[m.i[near]], rep[m.j[near]]
+    found = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": m.cosine[near]})
+    return pa.concat_tables([found, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cosine": pa.array([float(len(m.i))])})])
 
 
 def _nearest(group, k):
     """(rep, distance, copies): for each row of the piece the k nearest that it is compared with here."""
     m = Met(group)
-    rep, copies, out = m.rows["rep"].to_numpy(), m.rows["copies"].to_numpy(), [[], [], []]
-    d = np.where(m.here, m.distance, np.inf)
-    sides = [(d, 0, m.shift), (d.T, m.shift, 0)]
-    for far, mine, theirs in sides:
-        best = np.argsort(far, axis=1, kind="stable")[:, :k]
-        row, place = np.nonzero(np.isfinite(np.take_along_axis(far, best, 1)))
-        other = best[row, place]
-        for column, x in zip(out, (rep[mine + row], far[row, other], copies[theirs + other])):
-            column.append(x)
-    return pa.table(dict(zip(("rep", "distance", "copies"), map(np.concatenate, out))))
+    rep, copies = m.rows["rep"].to_numpy(), m.rows["copies"].to_numpy()
+    row, other, far = np.r_[m.i, m.j], np.r_[m.j, m.i], np.r_[m.distance, m.distance]
+    order = np.lexsort((far, row))
+    begin = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0][: len(order)])
+    best = order[np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)])) < k]
+    return pa.table({"rep": rep[row[best]], "distance": far[best], "copies": copies[other[best]]})
 
 
 def _degrees(group, epss):
@@ -133,8 +169,9 @@ def _degrees(group, epss):
     m = Met(group)
     rep, copies, out = m.rows["rep"].to_numpy(), m.rows["copies"].to_numpy(), [[], [], []]
     for level, eps in enumerate(epss):
-        near = m.here & (m.distance <= eps + CLOSE)
-        n = m.both(near @ copies[m.shift :], copies[: len(m.left)] @ near)
+        near = m.distance <= eps + CLOSE
+        i, j = m.i[near], m.j[near]
+        n = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
         at = np.flatnonzero(n)
         for column, x in zip(out, (rep[at], np.full(len(at), level), n[at])):
             column.append(x.astype(np.int64))
@@ -145,13 +182,12 @@ def _forests(group, epss):
     """(setting, a, b, level): for each min_samples a forest of the piece's links by the level from which they count. extra: a row's first level as a core."""
     m = Met(group)
     rep, first, out = m.rows["rep"].to_numpy(), m.extra(), [[], [], [], []]
-    long = np.where(m.here, np.searchsorted(np.array(epss) + CLOSE, m.distance), len(epss))
+    long = np.searchsorted(np.array(epss) + CLOSE, m.distance)
     for s in range(first.shape[1] if len(first) else 0):
-        at = np.maximum(long, np.maximum(first[: len(m.left), s][:, None], first[m.shift :, s][None, :]))
+        at = np.maximum(long, np.maximum(first[m.i, s], first[m.j, s]))
         root = np.arange(len(rep))
         for level in range(len(epss)):
-            i, j = np.nonzero(at == level)
-            j = j + m.shift
+            i, j = m.i[at == level], m.j[at == level]
             now = root.copy()
             while True:
                 low = np.minimum(now[i], now[j])
@@ -175,11 +211,12 @@ def _borders(group, settings):
     m = Met(group)
     rep, own, most, out = m.rows["rep"].to_numpy(), m.extra(), np.iinfo(np.int64).max, [[], [], []]
     for s, eps in enumerate(settings):
-        near = m.here & (m.distance <= eps + CLOSE)
+        near = m.distance <= eps + CLOSE
+        i, j = m.i[near], m.j[near]
         c = np.where(own[:, s] >= 0, own[:, s], most)
-        left = np.where(near, c[m.shift :][None, :], most).min(1, initial=most)
-        right = np.where(near, c[: len(m.left)][:, None], most).min(0, initial=most)
-        best = np.minimum(left, right) if m.own else np.r_[left, right]
+        best = np.full(len(rep), most)
+        np.minimum.at(best, i, c[j])
+        np.minimum.at(best, j, c[i])
         at = np.flatnonzero((best < most) & (own[:, s] < 0))
         for column, x in zip(out, (rep[at], np.full(len(at), s), best[at])):
             column.append(x.astype(np.int64))
@@ -192,17 +229,20 @@ class Index:
     def __init__(self, reps: DataFrame, least: float):
         self.rows = stored(by_rarity(reps).withColumn("prefix", prefix_length(least)), "neighbour-rows")
         items = self.rows.select(F.explode(F.slice("idx", F.lit(1), F.col("prefix"))).alias("item"))
-        self.blocks = stored(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select("item", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "neighbour-blocks")
+        self.blocks = stored(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select("item", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "neighbour-blocks")
+        self.pieces = int((self.blocks.where("blocks = 1").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0) // PAIRS) + 1
 
     def over(self, f, schema: str, extra: DataFrame | None = None) -> DataFrame:
         """What f makes of every piece; extra: (rep, extra), an array of ints for each row."""
         columns = ["rep", "copies", "idx", "val", "prefix"] + (["extra"] if extra is not None else [])
         rows = self.rows if extra is None else self.rows.join(extra, "rep")
         posted = rows.select(*columns, F.explode(F.slice("idx", F.lit(1), F.col("prefix"))).alias("item"))
-        dealt = posted.join(self.blocks, "item").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        one = dealt.select("item", F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q"), F.lit(0).alias("side"), *columns)
-        other = dealt.where("block > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("p"), F.col("block").alias("q"), F.lit(1).alias("side"), *columns)
-        return one.union(other).groupBy("item", "p", "q").applyInArrow(f, schema)
+        dealt = posted.join(self.blocks.drop("n"), "item").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        # Short items share pieces, numbered below 0.
+        piece = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("item"), F.lit(self.pieces))).otherwise(F.col("item")).alias("piece")
+        one = dealt.select(piece, F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q"), F.lit(0).alias("side"), "item", *columns)
+        other = dealt.where("block > 0").select(piece, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("p"), F.col("block").alias("q"), F.lit(1).alias("side"), "item", *columns)
+        return one.union(other).groupBy("piece", "p", "q").applyInArrow(f, schema)
 
 
 def cosine_pairs(reps: DataFrame, least: float) -> tuple[DataFrame, int]:
