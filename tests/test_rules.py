@@ -49,3 +49,13 @@ def test_empty_id_set_disables_the_check(spark):
     raw = spark.createDataFrame([("ratings", "1::2::3::800000000")], "kind string, line string")
     none, some = spark.createDataFrame([], "id string"), spark.createDataFrame([("9",)], "id string")
     assert [clean_ratings(raw, u, none, STAR).first()["reason"] for u in (none, some)] == [None, "unknown_user"]
+
+
+def test_only_lines_and_ids_pass_the_id_joins(spark):
+    from tidewater.operators.govern import clean_ratings
+
+    raw = spark.createDataFrame([("ratings", "1::2::3::800000000")], "kind string, line string")
+    ids = spark.createDataFrame([("1",), ("2",)], "id string")
+    rows = clean_ratings(raw, ids, ids, STAR)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS f#" not in plan[plan.index("Join") :] and rows.first()["reason"] is None

@@ -36,11 +36,12 @@ def referential_check(events: DataFrame, ids: DataFrame, column: str) -> DataFra
 
 def clean_ratings(raw: DataFrame, user_ids: DataFrame, item_ids: DataFrame, rules: Rules) -> DataFrame:
     f = R.split_fields(R.normalize_separator(F.col("line")), 4, rules.sentinel)
-    rows = raw.where("kind = 'ratings'").select("kind", "line", f.alias("f"))
+    rows = raw.where("kind = 'ratings'").select("kind", "line", R.at(f, 0).alias("u"), R.at(f, 1).alias("m"))
+    # Lines are split again after the joins: the fields would be shuffled beside the line.
+    rows = known(known(rows, user_ids, "u", "has_user"), item_ids, "m", "has_item").withColumn("f", f)
     ts = R.at(F.col("f"), 3).try_cast("bigint")
-    rows = rows.select("kind", "line", "f", R.at(F.col("f"), 0).alias("u"), R.at(F.col("f"), 1).alias("m"), R.at(F.col("f"), 2).alias("r"), F.when(R.is_long(R.at(F.col("f"), 3)), ts).alias("long_ts"))
+    rows = rows.select("kind", "line", "f", "u", "m", R.at(F.col("f"), 2).alias("r"), F.when(R.is_long(R.at(F.col("f"), 3)), ts).alias("long_ts"), "has_user", "has_item")
     rows = rows.withColumn("sec", R.normalize_epoch(F.col("long_ts"), rules))
-    rows = known(known(rows, user_ids, "u", "has_user"), item_ids, "m", "has_item")
     n = F.size("f")
     reason = _first_failure([
         (n < 4, "missing_fields"), (n > 4, "extra_fields"), (~(R.is_int(F.col("u")) & R.is_int(F.col("m"))), "id_not_int"), (~R.is_int(F.col("r")), "rating_not_int"),
