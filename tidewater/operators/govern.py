@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.config import Rules
 from tidewater.functions import rules as R
+from tidewater.operators.graph import stored
 from tidewater.sources.records import read_ids
 
 
@@ -77,10 +80,9 @@ def _tagged(rows: DataFrame, reason: Column, cleaned: Column, key: Column) -> Da
     return out.withColumn("fixed", ok & (F.col("cleaned") != F.col("line")))
 
 
-def tag_all(raw: DataFrame, rules: Rules, ids_from: DataFrame | None = None) -> DataFrame:
-    """(kind, line, reason, cleaned, key, fixed) for each raw row; ids are those of `ids_from`, else of the raw rows."""
-    ids = raw if ids_from is None else ids_from
-    ratings = clean_ratings(raw, read_ids(ids, "users"), read_ids(ids, "movies"), rules)
+def tag_all(raw: DataFrame, rules: Rules, ids_from: DataFrame | None = None, ids: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(kind, line, reason, cleaned, key, fixed) for each raw row; ids are those of `ids_from`, else of the raw rows, unless their stored_ids() are given."""
+    ratings = clean_ratings(raw, *(ids or stored_ids(raw if ids_from is None else ids_from)), rules)
     return ratings.union(clean_users(raw, rules)).union(clean_items(raw, rules))
 
 
@@ -127,26 +129,38 @@ def first_rows(df: DataFrame, group: list[str], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy("line"))).where(F.col("place") <= n)
 
 
-def score(raw: DataFrame, ids_from: DataFrame, rules: Rules) -> DataFrame:
+def stored_ids(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The user and item ids of the raw rows, written once: each is asked whether it is empty and joined."""
+    return stored(read_ids(raw, "users"), "user-ids"), stored(read_ids(raw, "movies"), "item-ids")
+
+
+def score(raw: DataFrame, ids_from: DataFrame, rules: Rules, ids: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row: five dimensions and overall, 0..100, two digits, half up. A dimension without records is 0.
 
     Consistency checks ids only if both id sets have members, on leading ids; `ids_from` is the raw input also
-    when cleaned rows are scored. Two id joins and one group by the whole line; the rest is conditional sums.
+    when cleaned rows are scored; `ids` are its stored_ids(), where those are at hand. Two id joins and one group by the
+    whole line; the rest is conditional sums.
     """
-    users, items = read_ids(ids_from, "users"), read_ids(ids_from, "movies")
-    f = R.raw_fields(F.col("line"))
-    rows = raw.select("kind", "line", f.alias("f")).withColumns({"lead0": R.leading_id(R.at(F.col("f"), 0)), "lead1": R.leading_id(R.at(F.col("f"), 1))})
-    rows = known(known(rows, users, "lead0", "has_user"), items, "lead1", "has_item")
-    f, kind = F.col("f"), F.col("kind")
-    width = F.size("f") == F.when(kind == "ratings", 4).when(kind == "users", 5).otherwise(3)
-    good = F.when(kind == "ratings", R.valid_rating(f, rules)).when(kind == "users", R.valid_user(f, rules)).otherwise(R.valid_item(f, rules))
-    both = F.lit(not (users.isEmpty() or items.isEmpty()))
-    linked = width & ((kind != "ratings") | ~both | (F.col("has_user") & F.col("has_item")))
-    ts = F.when(R.is_long(R.at(f, 3)), R.at(f, 3).try_cast("bigint"))
-    on_time = (kind == "ratings") & (F.size("f") == 4) & R.valid_ts(R.normalize_epoch(ts, rules), rules)
-    c = rows.agg(
-        F.count("*").alias("total"), F.count_if(kind == "ratings").alias("ratings"), F.count_if(good).alias("accurate"), F.count_if(width & R.all_non_empty(f)).alias("complete"),
-        F.count_if(linked).alias("consistent"), F.count_if(on_time).alias("timely"))
+    users, items = ids or stored_ids(ids_from)
+    # Most lines are ratings without a fault; only others are split.
+    line, f, kind, fine = F.col("line"), F.col("f"), F.col("kind"), F.col("fine")
+    rows = raw.select("kind", "line", ((F.col("kind") == "ratings") & R.valid_rating_line(line, rules)).alias("fine"))
+    rows = rows.withColumn("f", F.when(~fine, R.raw_fields(line)))
+    width = fine | (F.size("f") == F.when(kind == "ratings", 4).when(kind == "users", 5).otherwise(3))
+    good = F.when(kind == "ratings", fine).when(kind == "users", R.valid_user(f, rules)).otherwise(R.valid_item(f, rules))
+    ts = F.when(fine, R.rating_time(line)).when(R.is_long(R.at(f, 3)), R.at(f, 3).try_cast("bigint"))
+    on_time = (kind == "ratings") & (fine | (F.size("f") == 4)) & R.valid_ts(R.normalize_epoch(ts, rules), rules)
+    # A row's marks, a bit each, and its ids are all that the id joins carry.
+    marks = {"ratings": kind == "ratings", "accurate": good, "complete": fine | (width & R.all_non_empty(f)), "width": width, "timely": on_time}
+    bits = reduce(lambda out, c: out + c, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(marks.values())])
+    rated = lambda i: F.when(fine, F.substring_index(F.substring_index(line, "::", i + 1), "::", -1)).when(kind == "ratings", R.leading_id(R.at(f, i)))
+    rows = rows.select(bits.cast("tinyint").alias("bits"), rated(0).alias("lead0"), rated(1).alias("lead1"))
+    has = {name: F.col("bits").bitwiseAND(F.lit(1 << i)) != 0 for i, name in enumerate(marks)}
+    linked = has["width"]
+    if not (users.isEmpty() or items.isEmpty()):
+        rows = known(known(rows, users, "lead0", "has_user"), items, "lead1", "has_item")
+        linked &= ~has["ratings"] | (F.col("has_user") & F.col("has_item"))
+    c = rows.agg(F.count("*").alias("total"), *[F.count_if(has[name]).alias(name) for name in ("ratings", "accurate", "complete", "timely")], F.count_if(linked).alias("consistent"))
     d = raw.groupBy("kind", "line").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeats"))
     share = lambda a, b: F.when(b > 0, a * 100.0 / b).otherwise(0.0)
     total = F.col("total")

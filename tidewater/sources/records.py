@@ -99,12 +99,16 @@ def star_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, line): customers as users, parts as items, order lines as ratings, with every defect at fixed rates."""
     line = lambda *c, by="::": F.concat_ws(by, *[F.lit(x).cast("string") if not isinstance(x, Column) else x.cast("string") for x in c])
     u, m, r, ts, h = (F.col(c) for c in ("u", "m", "r", "ts", "h"))
-    broken = {0: line(u, m, r, ts, by=","), 1: line(u, m, r, ts, "EXTRA_FIELD"), 2: line(u, m, 9, ts), 3: line(u, m, r, ts * 1000), 4: line(u, m, r), 5: line(u, m + 10000000, r, ts), 6: line(u, m, r, 0), 7: line(u, m, "x", ts), 8: line(u, m, r, ts, "a"), 9: line(u, m, "", ts)}
-    own = line(u, m, r, ts)
-    for k, x in broken.items():
-        own = F.when(h == k, x).otherwise(own)
-    both = F.array_compact(F.array(own, F.when(h == 20, own), F.when(h == 21, line(u, m, r % 5 + 1, ts))))
-    ratings = _events(spark, sf_dir).select(F.lit("ratings").alias("kind"), F.explode(both).alias("line"))
+    # One line of the fields as the defects leave them; concat_ws leaves out null ones.
+    text = lambda c: c.cast("string")
+    item = F.when(h == 5, text(m + 10000000)).otherwise(text(m))
+    rating = F.when(h == 2, "9").when(h == 7, "x").when(h == 9, "").otherwise(text(r))
+    time = F.when(h == 3, text(ts * 1000)).when(h == 6, "0").when(h == 4, None).otherwise(text(ts))
+    more = F.when(h == 1, "EXTRA_FIELD").when(h == 8, "a")
+    made = [text(u), item, rating, time, more]
+    own = _events(spark, sf_dir).select("*", F.when(h == 0, F.concat_ws(",", *made)).otherwise(F.concat_ws("::", *made)).alias("own"))
+    both = F.when(h == 20, F.array("own", "own")).when(h == 21, F.array(F.col("own"), line(u, m, r % 5 + 1, ts))).otherwise(F.array("own"))
+    ratings = own.select(F.lit("ratings").alias("kind"), F.explode(both).alias("line"))
 
     c = F.col("c_custkey")
     gender, zip_ = F.when(c % 3 == 0, "F").otherwise("M"), F.lpad((F.col("c_nationkey") * 997).cast("string"), 5, "0")
