@@ -59,3 +59,39 @@ def test_only_lines_and_ids_pass_the_id_joins(spark):
     rows = clean_ratings(raw, ids, ids, STAR)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert " AS f#" not in plan[plan.index("Join") :] and rows.first()["reason"] is None
+
+
+def test_valid_rating_line_equals_the_fields_rule(spark):
+    lines = ["1::2::3::4", "1::2::3::-4", "1::2::3::+4\n", "1::2::3\n::4", "1::2::6::4", "1::2::99999999999::4", "1::2::3::99999999999999999999", "1::2::3", "1::2::3::4::5", "1::2:::3::4", "1::2::3:::4", "1:: 2::3::4", "::2::3::4", "1::2::3::", "١::2::3::4", "1,2,3,4", "", "1::2::3::4 ", "1::2::3::4\r"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    line = F.col("line")
+    got = rows.select("line", R.valid_rating_line(line).alias("a"), R.valid_rating(R.raw_fields(line)).alias("b"), R.rating_time(line).alias("t"), R.at(R.raw_fields(line), 3).try_cast("bigint").alias("u")).collect()
+    assert [r["line"] for r in got if r["a"]] == [r["line"] for r in got if r["b"]]
+    assert all(r["t"] == r["u"] for r in got if r["a"])
+
+
+def test_id_joins_of_scores_carry_no_lines(spark):
+    from tidewater.config import STAR
+    from tidewater.operators import govern as C
+
+    raw = spark.createDataFrame([("ratings", "1::2::3::800000000"), ("users", "1::F::25::1::12345"), ("movies", "2::A (1990)::Drama")], "kind string, line string")
+    score = C.score(raw, raw, STAR)
+    todo, joined = [score._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joined += [x.output().apply(i).name() for x in below for i in range(x.output().size())]
+        todo += below
+    assert "lead0" in joined and not {"line", "f", "kind"} & set(joined)
+    assert score.first()["overall"] == 100.0
+
+
+def test_order_statistics_reads_the_times_once(spark):
+    from tidewater.operators import probe as P
+
+    seen = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda x: seen.add(1) or x, "long")
+    times = spark.range(1000).select((once("id") * 1000).alias("ts"))
+    got = {r["share"]: r["ts"] for r in P.order_statistics(times, [0.0, 0.5, 0.99]).collect()}
+    assert got == {0.0: 0, 0.5: 500000, 0.99: 990000} and seen.value == 1000

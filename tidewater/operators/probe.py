@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.config import Rules
 from tidewater.functions import rules as R
+from tidewater.operators.graph import stored
 
 
 def fields(raw: DataFrame, kind: str, width: int | None = None) -> DataFrame:
@@ -117,7 +118,8 @@ def orphan_counts(raw: DataFrame) -> DataFrame:
 
 
 def valid_times(raw: DataFrame, rules: Rules, lo: int, hi: int) -> DataFrame:
-    rows = fields(raw, "ratings", 4).where(R.valid_rating(F.col("f"), rules)).select(R.at(F.col("f"), 3).try_cast("bigint").alias("ts"))
+    line = F.col("line")
+    rows = raw.where((F.col("kind") == "ratings") & R.valid_rating_line(line, rules)).select(R.rating_time(line).alias("ts"))
     return rows.where(F.col("ts").between(lo, hi))
 
 
@@ -126,13 +128,13 @@ def monthly_histogram(raw: DataFrame, rules: Rules, lo: int, hi: int) -> DataFra
 
 
 def order_statistics(times: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, ts): the sorted times' element at int(n * share), from 0. Counts for each second are summed inside days and over days, so no task holds all seconds."""
+    """(share, ts): the sorted times' element at int(n * share), from 0. Counts for each second are summed inside days and over days, so no task holds all seconds. The times are read once."""
     day = F.floor(F.col("ts") / 86400)
-    seconds = times.groupBy("ts").agg(F.count("*").alias("k")).withColumn("day", day)
+    seconds = stored(times.groupBy("ts").agg(F.count("*").alias("k")).withColumn("day", day), "seconds")
     days = seconds.groupBy("day").agg(F.sum("k").alias("k"))
     fronts = days.select("day", F.coalesce(F.sum("k").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("front"))
     up_to = seconds.withColumn("inside", F.sum("k").over(W.partitionBy("day").orderBy("ts"))).join(fronts, "day").select("ts", (F.col("front") + F.col("inside")).alias("upto"), (F.col("front") + F.col("inside") - F.col("k")).alias("before"))
-    total = times.agg(F.count("*").alias("n"))
+    total = days.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
     asked = total.select("n", F.explode(F.array(*[F.lit(p) for p in shares])).alias("share")).select("share", F.least((F.col("n") * F.col("share")).cast("long"), F.col("n") - 1).alias("at"))
     return up_to.join(F.broadcast(asked), (F.col("before") <= F.col("at")) & (F.col("at") < F.col("upto"))).select("share", "ts")
 
