@@ -142,3 +142,13 @@ def test_pairs_train_only_the_model_they_ask(spark, monkeypatch):
     monkeypatch.setattr(L, "train_tree", lambda *a: pytest.fail("no tree is asked"))
     got = QUERIES["predict_pairs"](spark, DIR)
     assert got.where("(status = 'ok') <> (prob is not null)").count() == 0 and got.where("prob is not null").count() > 0
+
+
+def test_user_rows_join_items_alone_and_equal_the_plain_means(spark):
+    s = star(spark, "/root/testdata/sf0.001")
+    assert "Join" not in s.cells._jdf.queryExecution().optimizedPlan().toString()
+    plain = FE.user_item_cells(s.split).where("period = 'train'").drop("period")
+    assert sorted(map(tuple, s.cells.collect())) == sorted(map(tuple, plain.collect()))
+    g = plain.join(s.typed("movies").select("item_id", F.explode("genres").alias("genre")), "item_id")
+    want = g.groupBy("user_id").agg(*[F.coalesce(F.avg(F.when(F.col("genre") == n, F.col("value"))), F.lit(0.0)).alias(n) for n in sorted(STAR.genres)])
+    assert {r["id"]: r["x"] for r in s.user_rows.collect()} == {r[0]: list(r[1:]) for r in want.collect()}

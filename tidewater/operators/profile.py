@@ -36,6 +36,11 @@ def user_item_cells(split: DataFrame) -> DataFrame:
     return in_vocabulary(split).groupBy("period", "user_id", "item_id").agg(F.sum("rating").cast("long").alias("value"))
 
 
+def train_cells(split: DataFrame) -> DataFrame:
+    """(user_id, item_id, value) of user_item_cells() of the train period, whose users and items are the vocabulary."""
+    return split.where("period = 'train' and user_id is not null and item_id is not null").select("user_id", "item_id", "rating").repartition("item_id").groupBy("user_id", "item_id").agg(F.sum("rating").cast("long").alias("value"))
+
+
 def profile_vectors(cells: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """(user_id, vector): a row for each vocabulary user, also of users without cells; sparse vectors over the item vocabulary.
 
