@@ -101,6 +101,24 @@ def test_kmeans_and_dbscan_grids(spark):
     assert grid.count() == 2 and best.clusters == 3 and best.largest <= 40 and best.silhouette > 0.9
 
 
+def test_dbscan_metrics_have_sizes_and_silhouette(spark):
+    """Zero rows and noise take no part; a cluster of one row counts as 0."""
+    r = np.random.default_rng(3)
+    points = np.vstack([r.normal(c, 0.1, (n, 3)) for c, n in zip(np.eye(3), (20, 12, 1))] + [np.zeros((2, 3)), [[-1.0, -1, -1]]])
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "id long, x array<double>")
+    own = np.r_[np.zeros(20, int), np.ones(12, int), 2, -1, -1, -1]
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(own)], "id long, cluster int")
+    got = K.dbscan_metrics(labels, rows).first()
+    x = points[:33] / np.linalg.norm(points[:33], axis=1)[:, None]
+    d, c, each = 1 - x @ x.T, own[:33], []
+    for i in range(32):
+        a, b = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1), min(d[i, c == o].mean() for o in {0, 1, 2} - {int(c[i])})
+        each.append((b - a) / max(a, b))
+    assert (got.clusters, got.noise, got.sizes) == (3, round(1 / 34, 4), [20, 12, 1]) and abs(got.silhouette - sum(each) / 33) < 1e-5
+    alone = K.dbscan_metrics(labels.withColumn("cluster", F.lit(-1)), rows).first()
+    assert (alone.clusters, alone.noise, alone.sizes, alone.silhouette) == (0, 1.0, [], None)
+
+
 def test_sources_and_sinks_round_trip(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "ratings.dat").write_bytes("1::2::3::978300760\n\n1::2::é::5\n".encode("latin-1"))
