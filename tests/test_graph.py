@@ -1,6 +1,7 @@
 """Connected components and joins with hot keys."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -42,3 +43,15 @@ def test_join_hot_equals_join(spark):
     keyed = rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("k <> 4")
     got, want = graph.join_hot(rows, keyed, "k", ["id"]), rows.join(keyed.drop("n"), "k")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and "hot_part" in got._jdf.queryExecution().toString()
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """A chain of writes would keep the shuffles of all of them on the disk."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size()) if disk.getAllFiles().apply(i).getName().startswith("shuffle_")}
+    before = files()
+    kept = graph.stored(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s")), "kept")
+    assert not files() - before and kept.count() == 5000 and spark.conf.get(graph.CLEANUP) == "false"
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    graph.drop_stored(kept)
+    assert not Path(path).exists()
