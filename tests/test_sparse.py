@@ -249,3 +249,17 @@ def test_short_items_share_pieces(spark, monkeypatch):
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= 0.1, 1)))}
     assert got.keys() == want and len(got) == pairs.count() and all(abs(got[p] - s[p]) < 1e-12 for p in want)
     assert len(want) <= compared <= np.triu(s > 0, 1).sum()
+
+
+def test_rows_are_copied_once_a_block_and_levels_nest(spark, monkeypatch):
+    """Not once for each of their items; components of a level start from those before."""
+    monkeypatch.setattr(N, "BLOCK", 70)
+    x = table(np.random.default_rng(9), 200, 300, 0.05)
+    reps, _ = N.classes(N.unit_sparse(frame(spark, x)))
+    held = N.Index(reps, 0.0).over(lambda g: g.select(["piece", "rep"]), "piece long, rep long").groupBy("rep").count()
+    assert {r["count"] for r in held.collect()} == {-(-reps.count() // 70)}
+    links = spark.createDataFrame([(0, 5, 3, 0), (0, 9, 8, 0), (1, 5, 9, 0), (0, 9, 5, 1), (0, 2, 1, 1), (0, 3, 1, 2)], "setting long, a long, b long, level long")
+    got = [{(r.node // 2, r.node % 2): r.root // 2 for r in level.collect()} for level in N.nested_components(links, 2, 3)]
+    first = {(5, 0): 3, (3, 0): 3, (9, 0): 8, (8, 0): 8, (5, 1): 5, (9, 1): 5}
+    second = first | {(9, 0): 3, (8, 0): 3, (2, 0): 1, (1, 0): 1}
+    assert got == [first, second, {k: 5 if k[1] else 1 for k in second}]
