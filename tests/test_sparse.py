@@ -263,3 +263,23 @@ def test_rows_are_copied_once_a_block_and_levels_nest(spark, monkeypatch):
     first = {(5, 0): 3, (3, 0): 3, (9, 0): 8, (8, 0): 8, (5, 1): 5, (9, 1): 5}
     second = first | {(9, 0): 3, (8, 0): 3, (2, 0): 1, (1, 0): 1}
     assert got == [first, second, {k: 5 if k[1] else 1 for k in second}]
+
+
+def test_products_hold_few_entries_at_once(monkeypatch):
+    """Not all rows of a task, whose product with all slices would be held beside them."""
+    held, times = [], D.times
+    monkeypatch.setattr(D, "TAKEN", 50)
+    monkeypatch.setattr(D, "times", lambda m, right: held.append(len(m.idx)) or times(m, right))
+    rng = np.random.default_rng(3)
+    x, right = table(rng, 90, 20, 0.2), rng.normal(size=(20, 5))
+    rows = [(i, np.flatnonzero(v).tolist(), v[v > 0].tolist()) for i, v in enumerate(x)]
+    schema = D.pa.schema([("id", D.pa.int64()), ("idx", D.pa.list_(D.pa.int32())), ("val", D.pa.list_(D.pa.float64()))])
+    batches = [D.pa.RecordBatch.from_arrays([D.pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5]), schema.types)], schema=schema) for k in range(0, 90, 5)]
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    out = list(D._times_batches(iter(batches), [Sent(right[:, :3]), Sent(right[:, 3:])], 5))
+    assert max(held) < 50 + max(len(b["idx"].flatten()) for b in batches)
+    assert [i for b in out for i in b["id"].to_pylist()] == list(range(90)) and np.allclose(np.concatenate([D._matrix(b) for b in out]), x @ right)
