@@ -51,3 +51,15 @@ def test_profile_vectors_pass_no_python(spark):
     users, items = spark.createDataFrame([(1, 0), (2, 1)], "id long, idx long"), spark.createDataFrame([(10, 0), (30, 1)], "id long, idx long")
     plan = FE.profile_vectors(cells, users, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_grids_are_fitted_for_the_queries_that_read_them(spark, monkeypatch):
+    """A query of the reductions waits for no classifier or clustering; a grid is recorded once."""
+    from tidewater.plans import queries as Q
+
+    s, made = Q.Star(spark, "/root/testdata/sf0.001"), []
+    fitted = Q._fitted(s)
+    monkeypatch.setattr(Q, "_fitted", lambda star: {n: (lambda n=n, f=f: made.append(n) or f()) for n, f in fitted.items()})
+    rows = {(r.algorithm, r.dim): r.status for r in Q._results_reduction(s).collect()}
+    assert made == ["pca", "svd"] and rows == {("pca", 10): "ok", ("svd", 50): "ok", ("pca", 12): "not_registered"}
+    assert s.results("pca").where("algorithm = 'pca'").count() == len(Q.DIMS) and made == ["pca", "svd"]
