@@ -283,3 +283,18 @@ def test_products_hold_few_entries_at_once(monkeypatch):
     out = list(D._times_batches(iter(batches), [Sent(right[:, :3]), Sent(right[:, 3:])], 5))
     assert max(held) < 50 + max(len(b["idx"].flatten()) for b in batches)
     assert [i for b in out for i in b["id"].to_pylist()] == list(range(90)) and np.allclose(np.concatenate([D._matrix(b) for b in out]), x @ right)
+
+
+def test_runs_take_the_places_of_done_ones(spark, monkeypatch):
+    """With groups that are fitted one after the other, each would scan until its slowest run is done."""
+    x = unit(table(np.random.default_rng(6), 150, 40, 0.2))
+    scans, plain = [], KM._sums
+    monkeypatch.setattr(KM, "CENTRES", 4 * 40 * 3)
+    monkeypatch.setattr(KM, "_sums", lambda rows, columns, centres: scans.append(len(centres)) or plain(rows, columns, centres))
+    grid, centres = KM.fit_runs(frame(spark, x, "train"), 40, [4], seeds=9)
+    assert [r[2] for r in grid] == list(range(9)) and len(centres) == 9
+    # All scans are full while runs wait.
+    assert scans[0] == 3 and scans == sorted(scans, reverse=True)
+    parts = KM.parts_of({"a": np.arange(3000.0), "b": np.ones(5)})
+    both = SP._add_parts(SP.pa.Table.from_batches([parts, parts]))
+    assert sorted((n, b, sum(v)) for n, b, v in zip(*(both[c].to_pylist() for c in ("name", "block", "values")))) == sorted((n, b, 2 * sum(v)) for n, b, v in zip(*(parts[c].to_pylist() for c in ("name", "block", "values"))))
